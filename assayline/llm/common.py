@@ -128,13 +128,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS
 
 
-def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
-    """Per text the sorted distinct 64-bit hashes of its `width`-word shingles; with fewer words one, of the whole sequence; without words none."""
+def shingle_sets(texts: list[str | None], width: int, key=lambda x: x) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes, through `key`, of its `width`-word shingles; with fewer words one, of the whole sequence; without words none."""
     h, ends = word_hashes(texts)
     rolled = np.zeros(max(len(h) - width + 1, 0), np.uint64)
     for i in range(width):
         rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + h[i : i + len(rolled)]
-    rolled = mix64(rolled + np.uint64(width))
+    rolled = key(mix64(rolled + np.uint64(width)))
     lo = 0
     for hi in ends:
         n = int(hi) - lo
@@ -144,7 +144,7 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             x = np.uint64(n)
             for w in h[lo:hi]:
                 x = np.uint64((int(x) * 0xD6E8FEB86659FD93 + int(w)) % (1 << 64))
-            yield mix64(np.array([x], np.uint64))
+            yield key(mix64(np.array([x], np.uint64)))
         else:
             yield np.zeros(0, np.uint64)
         lo = int(hi)

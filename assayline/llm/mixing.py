@@ -77,6 +77,15 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, weights=(3, 1, 2),
     return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", taken.cast("long").alias("taken"), copies.alias("copies"))
 
 
+def mix_rows(docs: DataFrame, quality: DataFrame | None = None, **how) -> DataFrame:
+    """docs with each row as often as `mix` takes the whole document: its epochs, and once more if at least half of it is taken then."""
+    plan = mix(docs, quality, **how).groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    plan = put(plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("_copies")), "mix-copies")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("_n", size).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
     return plan.select("doc_id", "size", "source_size", "target", "taken")

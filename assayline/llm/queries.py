@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from assayline.llm import mixing, packing
+from assayline.llm import ann, exact, jaccard, langid, lines, mixing, packing, pii, quality, secrets
 
-MODULES = (packing, mixing)
+MODULES = (langid, ann, packing, mixing, exact, secrets, pii, lines, jaccard, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
