@@ -18,6 +18,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
+# A run of the pattern is as long as it can be, so the long ones are found as such.
+LONG_HEX = re.compile(HEX.pattern.replace("+", "{%d,}" % LEAST["hex"]))
 KINDS = ("assign", "access", "hex", "novel")
 
 # Words that make the text before a string sensitive, and identifiers that code around secrets is made of.
@@ -37,9 +39,11 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~!@#$%^&*-]{12,}", re.ASCII)
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), in the order start, then kind as listed."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
+    found = []
+    if ":" in text or "=" in text:
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
+    found += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
     return [(start, end, KINDS[k]) for start, k, end in sorted(found)]
 
 
