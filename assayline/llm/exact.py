@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 
 from assayline.llm.common import put, scratch
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STORE = "spark.sql.streaming.stateStore"
+#: State on disk, with bounded memory for all stores of an executor, and no disk set aside ahead of need (4 MB a store).
+STREAM = {
+    f"{STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STORE}.rocksdb.allowFAllocate": "false",
+    f"{STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{STORE}.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -38,14 +44,16 @@ def keyed_state(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STREAM}
+    for k, v in STREAM.items():
+        spark.conf.set(k, v)
     try:
         run = state.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
         run.awaitTermination()
         batches = 1 + max((p.batchId for p in run.recentProgress), default=-1)
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     if not batches:
         return spark.createDataFrame([], state.schema)
     updates = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in state.schema)}, batch long").parquet(out)
