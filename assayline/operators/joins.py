@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -40,15 +43,38 @@ def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
 
 
-def euclid_nn(train: DataFrame, test: DataFrame, v: str = "v") -> DataFrame:
-    """(record_id, nn_dist): distance of each test row to the nearest train row other than itself.
+def knn(left: DataFrame, right: DataFrame, k: int = 1, v: str = "v", block: int = 4096) -> DataFrame:
+    """(record_id, neighbour, dist, nth): of each left row its k nearest right rows other than itself, exactly; ties to the smaller id.
 
-    Exact: test rows meet all train rows, in a nested loop that broadcasts the smaller side if it is below the planner's
-    bound. A caller bounds train by a documented sample.
+    Both sides are cut into blocks by a hash of record_id and each pair of blocks is one task's matrix of distances, of
+    which k rows per left row leave it. Work is left times right: callers bound right by a class or a documented sample.
     """
-    t = train.select(F.col("record_id").alias("_r"), F.col(v).alias("_v"))
-    near = test.select("record_id", v).join(t, F.col("record_id") != F.col("_r")).groupBy("record_id").agg(F.min(squared_distance(F.col(v), F.col("_v"))).alias("d"))
-    return near.select("record_id", F.sqrt("d").alias("nn_dist"))
+    parts = lambda df: 1 + df.count() // block
+    m, n = parts(left), parts(right)
+    at = lambda c: F.pmod(F.xxhash64("record_id"), F.lit(c)).cast("int")
+    a = left.select("record_id", F.col(v).alias("v"), at(m).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    b = right.select("record_id", F.col(v).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), at(n).alias("j"))
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            y = y.sort_values("record_id")
+            ids, w = y["record_id"].to_numpy(), np.array(y["v"].tolist(), float)
+            for i, row in zip(x["record_id"], x["v"], strict=True):
+                d = np.sqrt(((w - np.array(row, float)) ** 2).sum(1))
+                d[ids == i] = np.inf
+                for at in np.argsort(d, kind="stable")[:k]:
+                    if np.isfinite(d[at]):
+                        out.append((i, ids[at], d[at]))
+        return pd.DataFrame(out, columns=["record_id", "neighbour", "dist"]).astype({"record_id": "int64", "neighbour": "int64", "dist": float})
+
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(near, "record_id long, neighbour long, dist double")
+    return found.withColumn("nth", F.row_number().over(W.partitionBy("record_id").orderBy("dist", "neighbour"))).filter(F.col("nth") <= k)
+
+
+def euclid_nn(train: DataFrame, test: DataFrame, v: str = "v") -> DataFrame:
+    """(record_id, nn_dist): distance of each test row to the nearest train row other than itself; train is a bounded sample."""
+    return knn(test, train, 1, v).select("record_id", F.col("dist").alias("nn_dist"))
 
 
 def pair_experiments(rows: DataFrame, by: str, name: str, value: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.columns import draw
 from assayline.operators.features import standardize
-from assayline.operators.joins import squared_distance
+from assayline.operators.joins import knn, squared_distance
 
 
 def class_weight(df: DataFrame, by: str) -> DataFrame:
@@ -28,19 +28,12 @@ def random_undersample(df: DataFrame, by: list[str], seed: int = 42) -> DataFram
     return df.withColumn("_nth", nth).join(n, by).filter("_nth <= _least").drop("_nth", "_least")
 
 
-def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, d): squared distances of all rows of a to those of b; callers bound b by a class of the training sample."""
-    x, y = a.select(F.col("record_id").alias("i"), F.col("v").alias("vi")), b.select(F.col("record_id").alias("j"), F.col("v").alias("vj"))
-    return x.join(y, F.col("i") != F.col("j")).select("i", "j", squared_distance(F.col("vi"), F.col("vj")).alias("d"))
-
-
 def near_miss(df: DataFrame, m: int = 3, k: int = 3) -> DataFrame:
     """All positives, and as many negatives: those among each positive's m nearest negatives whose mean distance to their k nearest positives is largest."""
     pos, neg = df.filter("label = 1"), df.filter("label = 0")
-    d = _pairs(pos, neg)
-    near = d.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).filter(F.col("r") <= m).select(F.col("j").alias("record_id")).distinct()
-    back = d.withColumn("r", F.row_number().over(W.partitionBy("j").orderBy("d", "i"))).filter(F.col("r") <= k).groupBy(F.col("j").alias("record_id")).agg(F.avg(F.sqrt("d")).alias("far"))
-    ranked = near.join(back, "record_id").withColumn("r", F.row_number().over(W.orderBy(F.desc("far"), "record_id")))
+    near = neg.join(knn(pos, neg, m).select(F.col("neighbour").alias("record_id")).distinct(), "record_id", "left_semi")
+    far = knn(near, pos, k).groupBy("record_id").agg(F.avg("dist").alias("far"))
+    ranked = far.withColumn("r", F.row_number().over(W.orderBy(F.desc("far"), "record_id")))
     keep = ranked.join(pos.agg(F.count("*").alias("n")), F.col("r") <= F.col("n")).select("record_id")
     return pos.unionByName(neg.join(keep, "record_id", "left_semi"))
 
@@ -48,17 +41,16 @@ def near_miss(df: DataFrame, m: int = 3, k: int = 3) -> DataFrame:
 def smote_tomek(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     """Positives filled up to the number of negatives by points between a positive and one of its k nearest positives, then rows of Tomek links removed. Made rows have negative ids."""
     pos = df.filter("label = 1")
-    near = _pairs(pos, pos).withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).filter(F.col("r") <= k)
+    near = knn(pos, pos, k).select(F.col("record_id").alias("i"), F.col("neighbour").alias("j"))
     n = df.agg((F.count_if(F.col("label") == 0) - F.count_if(F.col("label") == 1)).alias("missing"), F.count_if(F.col("label") == 1).alias("p"))
     rounds = near.crossJoin(F.broadcast(n)).withColumn("times", F.ceil(F.col("missing") / F.greatest(F.col("p") * k, F.lit(1)))).filter("times > 0").withColumn("t", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     nth = F.row_number().over(W.orderBy(draw(seed, "i", "j", "t"), "i", "j", "t"))
     made = rounds.withColumn("nth", nth).filter("nth <= missing").select("i", "j", "nth", (draw(seed, "nth") / F.lit(4294967296.0)).alias("u"))
     v = pos.select("record_id", "v")
     made = made.join(v.select(F.col("record_id").alias("i"), F.col("v").alias("vi")), "i").join(v.select(F.col("record_id").alias("j"), F.col("v").alias("vj")), "j")
-    made = made.select((-F.col("nth")).cast("long").alias("record_id"), F.zip_with("vi", "vj", lambda a, b: a).alias("_a"), F.col("vi"), F.col("vj"), "u")
-    made = made.withColumn("v", F.transform(F.arrays_zip("vi", "vj"), lambda z: z["vi"] + F.col("u") * (z["vj"] - z["vi"]))).select("record_id", "v", F.lit(1).alias("label"))
+    made = made.select((-F.col("nth")).cast("long").alias("record_id"), F.zip_with("vi", "vj", lambda a, b: a + F.col("u") * (b - a)).alias("v"), F.lit(1).alias("label"))
     both = df.select("record_id", "v", "label").unionByName(made)
-    nn = _pairs(both, both).withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).filter("r = 1").select("i", "j")
+    nn = knn(both, both).select(F.col("record_id").alias("i"), F.col("neighbour").alias("j"))
     mutual = nn.join(nn.select(F.col("i").alias("j"), F.col("j").alias("i2")), "j").filter("i = i2").select("i", "j")
     side = both.select("record_id", "label")
     tomek = mutual.join(side.select(F.col("record_id").alias("i"), F.col("label").alias("li")), "i").join(side.select(F.col("record_id").alias("j"), F.col("label").alias("lj")), "j").filter("li <> lj").select(F.col("i").alias("record_id"))
@@ -102,6 +94,7 @@ def combined_sample(df: DataFrame, cols: list[str], n: int, w: float = 0.5, prof
 def sampling_coverage(everything: DataFrame, chosen: DataFrame, cols: list[str]) -> DataFrame:
     """Mean, median, 95th percentile and maximum of the distance from each row to the nearest chosen one, in scores standardized over all rows."""
     z = standardize(everything, cols).select("record_id", F.array(*cols).alias("v"))
-    s = z.join(chosen.select("record_id"), "record_id", "left_semi").select(F.col("v").alias("w"))
-    d = z.join(s).groupBy("record_id").agg(F.sqrt(F.min(squared_distance(F.col("v"), F.col("w")))).alias("d"))
+    # A chosen row is at distance 0 from itself, which a neighbour search leaves out.
+    d = z.join(chosen.select("record_id"), "record_id", "left_anti")
+    d = knn(d, z.join(chosen.select("record_id"), "record_id", "left_semi")).select(F.col("dist").alias("d")).unionAll(chosen.select(F.lit(0.0).alias("d")))
     return d.agg(*[F.round(x, 4).alias(n) for n, x in (("coverage_mean_dist", F.avg("d")), ("coverage_median_dist", F.median("d")), ("coverage_95th_dist", F.percentile("d", F.lit(0.95))), ("coverage_max_dist", F.max("d")))])
