@@ -52,8 +52,8 @@ def knn(left: DataFrame, right: DataFrame, k: int = 1, v: str = "v", block: int
     parts = lambda df: 1 + df.count() // block
     m, n = parts(left), parts(right)
     at = lambda c: F.pmod(F.xxhash64("record_id"), F.lit(c)).cast("int")
-    a = left.select("record_id", F.col(v).alias("v"), at(m).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    b = right.select("record_id", F.col(v).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), at(n).alias("j"))
+    a = left.select((F.col("record_id") + 0).alias("record_id"), F.col(v).alias("v"), at(m).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    b = right.select((F.col("record_id") + 0).alias("record_id"), F.col(v).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), at(n).alias("j"))
 
     def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
