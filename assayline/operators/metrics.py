@@ -187,8 +187,8 @@ def wilcoxon_signed_rank(df: DataFrame, by: list[str], a: str, b: str, with_p: b
     """Statistic, n and mean difference of pairs; zero differences go, ties share their mean rank; null with under 5 pairs."""
     d = df.withColumn("d", F.col(a) - F.col(b))
     mean = d.groupBy(*by).agg(F.round(F.avg("d"), 6).alias("mean_diff"))
-    c = d.filter("d <> 0").groupBy(*by, F.abs("d").alias("m")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("k").over(W.partitionBy(*by).orderBy("m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    c = d.filter("d <> 0").groupBy(*by, F.abs("d").alias("_m")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
+    before = F.coalesce(F.sum("k").over(W.partitionBy(*by).orderBy("_m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     c = c.withColumn("rank", before + (F.col("k") + 1) / 2)
     s = c.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("wp"), F.sum(F.col("rank") * (F.col("k") - F.col("up"))).alias("wm"))
     s = s.join(mean, by).select(*by, "n", F.when(F.col("n") >= 5, F.least("wp", "wm")).alias("statistic"), "mean_diff")

@@ -44,7 +44,7 @@ def normalize_schema(df: DataFrame, endpoint: str | None = None, aliases: dict[s
 def write_table(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
     writer = writer.partitionBy(*by) if by else writer
-    (writer.option("header", True).csv if form == "csv" else writer.parquet)(path)
+    (writer.option("header", True).option("escape", '"').csv if form == "csv" else writer.parquet)(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
