@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -47,19 +48,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(start, end, KINDS[k]) for start, k, end in sorted(found)]
 
 
+@lru_cache(maxsize=1)
+def compressor() -> zstandard.ZstdCompressor:
+    prime = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=19, dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+
 def novelty(candidate: str, before: str, after: str) -> float:
-    """Bytes that the candidate adds to a compressed frame, by its length, under a dictionary of identifiers and its surroundings.
+    """Bytes that the candidate adds to its compressed surroundings, by its length; the compressor is primed with the identifiers.
 
-    An empty frame's size is taken off. About 1 for random characters of a large alphabet, less for words, repeats and
-    anything that occurs nearby.
+    About 1 for random characters of a large alphabet, less for words, repeats and anything that occurs nearby.
     """
-    prime = zstandard.ZstdCompressionDict((IDENTIFIERS + " " + after + " " + before).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=19, dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False)
-    data = candidate.encode("utf-8", "replace")
-    return (len(press.compress(data)) - len(press.compress(b""))) / len(data)
+    size = lambda x: len(compressor().compress(x.encode("utf-8", "replace")))
+    return (size(before + candidate + after) - size(before + after)) / len(candidate)
 
 
-def novel_spans(text: str, known: list[tuple[int, int, str]], *, reach: int = 40, around: int = 400, least: float = 0.75) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, known: list[tuple[int, int, str]], *, reach: int = 40, around: int = 400, least: float = 0.8) -> list[tuple[int, int, str]]:
     """Strings with letters and digits, after a sensitive word within `reach` characters on the line, that don't compress."""
     found = []
     spots = [m.end() for m in SENSITIVE.finditer(text)]
