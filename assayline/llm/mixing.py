@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,26 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.lit(0.5) + F.lit(1.5) * F.avg("quality")).alias("weight"))
 
 
+def shape_weight() -> Column:
+    """A document's weight from its own shape: 2 if its mean length of a word, white space included, is that of prose (3 to 15 characters), else 0.5."""
+    mean = F.length("text") / F.nullif(F.col("size"), F.lit(0))
+    return F.when(mean.between(3, 15), 2.0).otherwise(0.5)
+
+
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def sampling_key(seed: str) -> Column:
+    """Exponential, the smaller the larger the weight."""
+    return -F.log(unit(seed, "doc_id")) / F.coalesce("weight", F.lit(1.0))
+
+
+def source_key() -> Column:
+    """The source as a text that is never null, as null matches nothing in a join."""
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
+
+
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Targets of each source of sizes (source, size): share * all words, dealt by weight, none above most * its own.
 
@@ -40,8 +60,10 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     return src.select("source", "source_size", "n", target.alias("target"), epochs.alias("epochs"), (goal - epochs * F.col("source_size")).alias("part"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, *, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = SEED, bucket_rows: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, epochs, taken, copies.
+def mix(docs: DataFrame, quality: DataFrame | None = None, *, weight: Column | None = None, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = SEED, bucket_rows: int = 2_000) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, epochs, taken, copies, key.
+
+    Quality weights come from a table (doc_id, weight), or from the document itself as a column of `text` and `size`.
 
     Every document is taken `epochs` times, the same for its whole source; what then misses to the target, less than one
     epoch, is filled in the order of exponential keys -ln(u) / weight, u from a hash of doc_id, so that reruns agree. The
@@ -55,14 +77,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, weights=(3, 1, 2),
     Null text: size 0. Null source: a source of its own, last. Null doc_id: an id like another. Repeated rows are
     documents like others. Empty table: empty result. Further columns are ignored.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"))
-    sized = sized.join(quality, "doc_id", "left") if quality is not None else sized.withColumn("weight", F.lit(None).cast("double"))
-    key = -F.log(unit(seed, "doc_id")) / F.coalesce("weight", F.lit(1.0))
-    # Null keys never match in a join: the joins below are on a text that is never null.
-    sized = cut(sized.select("doc_id", "source", "size", key.alias("key"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("src")))
+    sized = docs.select("doc_id", "source", "text", word_count().alias("size"))
+    if quality is not None:
+        sized = sized.drop("text").join(quality, "doc_id", "left")
+    else:
+        sized = sized.withColumn("weight", F.lit(None).cast("double") if weight is None else weight)
+    sized = cut(sized.select("doc_id", "source", "size", sampling_key(seed).alias("key"), source_key().alias("src")))
     targets = put(source_targets(sized, weights, share, most), "mix-targets")
-    targets = targets.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
+    targets = targets.withColumn("src", source_key()).drop("source")
     n = F.ceil(F.col("n") / F.lit(bucket_rows))
     rows = sized.join(targets, "src").withColumn("bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * n), n - 1).cast("long"))
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum"))
@@ -74,16 +96,24 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, weights=(3, 1, 2),
     some = F.greatest(F.lit(0), F.least("size", left))
     taken = F.col("epochs") * F.col("size") + some
     copies = F.col("epochs") + ((left > 0) & (some * 2 >= F.col("size"))).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", taken.cast("long").alias("taken"), copies.alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", taken.cast("long").alias("taken"), copies.alias("copies"), "key")
 
 
-def mix_rows(docs: DataFrame, quality: DataFrame | None = None, **how) -> DataFrame:
-    """docs with each row as often as `mix` takes the whole document: its epochs, and once more if at least half of it is taken then."""
-    plan = mix(docs, quality, **how).groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    plan = put(plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("_copies")), "mix-copies")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_n", size).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+def mix_rows(docs: DataFrame, *, weight: Column | None = None, seed: str = SEED, **how) -> DataFrame:
+    """docs with each row as often as `mix` takes the whole document: its epochs, and once more if at least half of it is taken then.
+
+    Those taken once more are the ones up to the last such key of their source, so each row is decided by a table of one
+    row per source, and texts are not shuffled. Rows alike in doc_id and size at that place are taken alike.
+    """
+    plan = mix(docs, weight=weight, seed=seed, **how)
+    place = F.struct("key", "doc_id", "size")
+    ends = plan.groupBy("source").agg(F.first("epochs").alias("_epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), place)).alias("_end"))
+    ends = put(ends.select(source_key().alias("_src"), "_epochs", "_end"), "mix-ends")
+    rows = docs.withColumns({"_row": F.struct(*docs.columns), "size": word_count()}).select("_row", "doc_id", "source", "text", "size")
+    rows = rows.withColumn("weight", F.lit(None).cast("double") if weight is None else weight).withColumns({"key": sampling_key(seed), "_at": source_key()})
+    rows = rows.join(ends, F.col("_at") == F.col("_src"))
+    copies = (F.col("_epochs") + F.coalesce(place <= F.col("_end"), F.lit(False)).cast("long")).cast("int")
+    return rows.withColumn("_nth", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

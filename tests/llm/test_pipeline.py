@@ -47,7 +47,7 @@ def test_stages(spark, tmp_path):
         elif name == "ngram_jaccard_join":
             assert sorted(k for k, _ in new) == [k for k, _, root in similar_brute(old, 5, 80) if k == root]
         else:
-            want = {r["doc_id"]: r["copies"] for r in mixing.mix(before, mixing.quality_weights(common.table(spark, sf, "labels"))).collect()}
+            want = {r["doc_id"]: r["copies"] for r in mixing.mix(before, weight=mixing.shape_weight()).collect()}
             assert Counter(k for k, _ in new) == {k: n for k, n in want.items() if n} and max(want.values()) <= 2
     assert seen == [n for n, _ in pipeline.STAGES] and pipeline.ORACLE_SQL is None
 
