@@ -35,18 +35,12 @@ def frequency_classes(docs: DataFrame, width: int = WIDTH, bits: int = SKETCH_BI
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, held, n = np.zeros(1 << bits, np.uint32), [], 0
+        total = np.zeros(1 << bits, np.uint32)
         for b in batches:
             texts = b["text"].tolist()
             for s in slices(texts):
-                for x in shingle_sets(texts[s], width):
-                    held.append((x >> np.uint64(64 - bits)).astype(np.uint32))
-                    n += len(x)
-                if n > 4_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
-                    held, n = [], 0
-        if n:
-            total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                at, k = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts[s], width)]) >> np.uint64(64 - bits), return_counts=True)
+                total[at] += k.astype(np.uint32)
         for i in range(0, len(total), CHUNK):
             if (part := total[i : i + CHUNK]).any():
                 yield pd.DataFrame({"chunk": [i // CHUNK], "counts": [zlib.compress(part.tobytes(), 1)]})
@@ -160,10 +154,12 @@ def similar(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bits
     sig = put(signatures(docs, levels, width, percent), "join-signatures")
     classes = sig.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     index = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "tok"))
+    # Most shingles are in one set only. Counts alone are shuffled to find the others; pivots are for what is left.
+    groups = index.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
+    shared = put(index.join(groups, "tok"), "join-shared")
     by_pos = F.shiftleft(F.col("pos").cast("long"), 32) + F.pmod(F.xxhash64("rep"), F.lit(1 << 32))
     by_hash = F.xxhash64("rep", F.col("tok") % 2)
-    groups = index.groupBy("tok").agg(F.count("*").alias("c"), F.min_by("rep", by_pos).alias("p1"), F.min_by("n", by_pos).alias("n1"), F.min("pos").alias("pos1"), F.min_by("rep", by_hash).alias("p2"), F.min_by("n", by_hash).alias("n2"))
-    shared = put(index.join(groups.filter("c > 1").drop("c"), "tok"), "join-shared")
+    pivots = shared.groupBy("tok").agg(F.min_by("rep", by_pos).alias("p1"), F.min_by("n", by_pos).alias("n1"), F.min("pos").alias("pos1"), F.min_by("rep", by_hash).alias("p2"), F.min_by("n", by_hash).alias("n2"))
 
     def fits(n, m, pos_n=None, pos_m=None):
         small, large = F.least(F.col(n), F.col(m)), F.greatest(F.col(n), F.col(m))
@@ -176,8 +172,10 @@ def similar(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bits
     def ordered(x, y):
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    stars = shared.filter(fits("n", "n1", "pos", "pos1") & (F.col("rep") != F.col("p1"))).select(*ordered("rep", "p1"))
-    stars = cut(stars.union(shared.filter(fits("n", "n2") & (F.col("rep") != F.col("p2"))).select(*ordered("rep", "p2"))).distinct())
+    one = F.when(fits("n", "n1", "pos", "pos1") & (F.col("rep") != F.col("p1")), F.struct(*ordered("rep", "p1")))
+    two = F.when(fits("n", "n2") & (F.col("rep") != F.col("p2")), F.struct(*ordered("rep", "p2")))
+    stars = shared.join(pivots, "tok").select(F.explode(F.array_distinct(F.filter(F.array(one, two), lambda x: x.isNotNull()))).alias("x"))
+    stars = cut(stars.select("x.a", "x.b").distinct())
     links = cut(verify(docs, stars, levels, width, percent))
 
     roots = components(links)
