@@ -150,7 +150,7 @@ def shingle_sets(texts: list[str | None], width: int, key=lambda x: x) -> Iterat
         lo = int(hi)
 
 
-def slices(texts: list, most: int = 4_000_000) -> Iterator[slice]:
+def slices(texts: list, most: int = 1_000_000) -> Iterator[slice]:
     """Runs of texts of about `most` characters at most (one text may be longer)."""
     at, size = 0, 0
     for i, t in enumerate(texts):

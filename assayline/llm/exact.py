@@ -12,11 +12,14 @@ from assayline.llm.common import put, scratch
 
 STORE = "spark.sql.streaming.stateStore"
 #: State on disk, with bounded memory for all stores of an executor, and no disk set aside ahead of need (4 MB a store).
+#: Stores of a run that has ended are closed within seconds, not a minute.
 STREAM = {
     f"{STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{STORE}.rocksdb.allowFAllocate": "false",
     f"{STORE}.rocksdb.boundedMemoryUsage": "true",
-    f"{STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{STORE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{STORE}.rocksdb.writeBufferSizeMB": "4",
+    f"{STORE}.maintenanceInterval": "3s",
 }
 
 
