@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,32 +21,54 @@ from assayline.llm.common import put, small_batches, table
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 CAPACITY = 2048
-_BREAK = re.compile("[ \t\r\n]+")
+#: Letters of one code point in both cases; and what is neither these, digits, blanks, line ends nor stops.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_MARKED = re.compile(f"([{_LETTER}]+)([!-&(-/:-@\\[-`{{-~]+)")  # a word and marks after it, but for apostrophes
+_PLAIN, _OTHER = re.compile(f"[{_LETTER}]+"), re.compile(f"[^{_LETTER}0-9 \n.,]")
 
 
-class ChunkTokenizer:
+class ChunkTokenizer(dict):
     """Token ids of texts as bytes (little-endian uint32), from the ids of their space-separated chunks.
 
     This vocabulary's tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in a
     row. Chunks repeat, so each is tokenized once and kept, up to `keep` of them; then the store is emptied.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [_BREAK.split(t) for t in texts]
-        new = list({c for x in chunks for c in x} - self.known.keys())
-        if len(self.known) + len(new) > self.keep:
-            self.known, new = {}, list({c for x in chunks for c in x})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in chunks]
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.keep, self.tokenizer = keep, Tokenizer.from_file(path)
+        self.model = self.tokenizer.model.tokenize
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.bytes_of = str.maketrans({chr(i): spell(chr(i))[0][0] for i in range(0xC0, 0x100)})
+
+    def __missing__(self, chunk: str) -> bytes:
+        """A plain word is one unit for the model, in lower case, so it goes there directly."""
+        if _PLAIN.fullmatch(chunk):
+            word = chunk.lower()
+            self[chunk] = ids = array("I", [t.id for t in self.model(word if word.isascii() else word.translate(self.bytes_of))]).tobytes()
+        elif m := _MARKED.fullmatch(chunk):
+            self[chunk] = ids = self[m[1]] + self[m[2]]
+        else:
+            self[chunk] = ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > self.keep:
+            self.clear()
+        if not (_OTHER.search(text) or ".." in text or ",," in text or ".," in text or ",." in text):
+            # Case is dropped and a single stop is a unit of its own, so plain prose can be cut into fewer different chunks.
+            text = text.lower().replace(".", " .").replace(",", " ,")
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+
+
+@lru_cache(maxsize=1)
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One for all tasks of a worker process, so that later tasks find the chunks of earlier ones."""
+    return ChunkTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -54,14 +78,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, step, end = ChunkTokenizer(tokenizer_path), 4 * capacity, np.array([END_ID], "<u4").tobytes()
+        tok, step, end = chunk_tokenizer(tokenizer_path), 4 * capacity, np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
             out = []
-            for lo in range(0, len(texts), 200):
-                for key, ids in zip(b["doc_id"].iloc[lo : lo + 200], tok.encode(texts[lo : lo + 200]), strict=True):
-                    ids += end
-                    out += [(key, i // step, i // 4, min(step, len(ids) - i) // 4, zlib.crc32(ids[i : i + step])) for i in range(0, len(ids), step)]
+            for key, text in zip(b["doc_id"], b["text"], strict=True):
+                ids = (tok.encode(text) if isinstance(text, str) else b"") + end
+                out += [(key, i // step, i // 4, min(step, len(ids) - i) // 4, zlib.crc32(ids[i : i + step])) for i in range(0, len(ids), step)]
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64", "piece": "int32"})
 
