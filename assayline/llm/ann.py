@@ -58,6 +58,16 @@ def matrix(s: pd.Series) -> np.ndarray:
     return np.array(s.tolist(), float).reshape(len(s), -1)
 
 
+def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of vectors and counts by (node, k), of rows that a task holds together."""
+    total: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+    for b in batches:
+        for node, k, s, m in zip(b["node"], b["k"], b["s"], b["m"], strict=True):
+            t, n = total.get((node, k), (0.0, 0))
+            total[node, k] = t + s, n + m
+    yield pd.DataFrame([(node, k, s.tolist(), m) for (node, k), (s, m) in total.items()], columns=["node", "k", "s", "m"])
+
+
 def grow(spark: SparkSession, sample: DataFrame, n: int, dim: int, *, leaf_rows: int, branch: int, rounds: int, sample_rows: int) -> Tree:
     """Fit the tree on sample (v), level by level: all nodes of a level take Lloyd steps at once, each a grouped sum of vectors.
 
@@ -93,11 +103,12 @@ def grow(spark: SparkSession, sample: DataFrame, n: int, dim: int, *, leaf_rows:
                 rows = [(node, k, s.tolist(), m) for (node, k), (s, m) in total.items()]
                 yield pd.DataFrame(rows, columns=["node", "k", "s", "m"])
 
-            part = routed.mapInPandas(sums, "node long, k int, s array<double>, m long").select("node", "k", "m", F.posexplode("s"))
-            got = part.groupBy("node", "k", "pos").agg(F.sum("col").alias("s"), F.sum("m").alias("m")).groupBy("node", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("s"), F.first("m").alias("m"))
+            # Whole vectors are summed, the rows of a node one after the other.
+            part = routed.mapInPandas(sums, "node long, k int, s array<double>, m long").repartition("node")
+            got = part.mapInPandas(add, "node long, k int, s array<double>, m long")
             moved: dict[int, list[np.ndarray]] = {}
             for r in got.orderBy("node", "k").collect():
-                moved.setdefault(r["node"], []).append(np.array([x["s"] for x in r["s"]]) / r["m"])
+                moved.setdefault(r["node"], []).append(np.array(r["s"]) / r["m"])
             centres = {k: np.array(v) for k, v in moved.items()}
         for node, c in sorted(centres.items()):
             if len(c) > 1:
