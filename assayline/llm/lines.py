@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm.common import WORD, put, table
+from assayline.llm.common import WORD, put, small_batches, table
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -77,34 +78,66 @@ def common_blocks(own: list[tuple[int, bytes, int]], other: list[tuple[int, byte
     return out
 
 
+def line_runs(words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, past) of the shortest runs of lines with at least `least` words, from each line on and up to each line. They cover any longer run with so many words."""
+
+    def up_to(words: list[int]) -> Iterator[tuple[int, int]]:
+        lo, total = 0, 0
+        for hi, w in enumerate(words):
+            total += w
+            while lo < hi and total - words[lo] >= least:
+                total -= words[lo]
+                lo += 1
+            if total >= least:
+                yield lo, hi + 1
+
+    n = len(words)
+    return sorted({*up_to(words), *((n - b, n - a) for a, b in up_to(words[::-1]))})
+
+
 def deletions(docs: DataFrame, *, line_words: int = 3, block_words: int = 10, rare: int = 1000) -> DataFrame:
     """(doc_id, gone): numbers of the lines to delete from each document.
 
-    Lines of at least line_words words are compared, trimmed. A line that occurs at most `rare` times is rare: each document with it is
-    aligned with the first (smallest doc_id) one that has it, so a group of n documents gives n - 1 pairs, not n * n.
-    Aligned common blocks of at least block_words words are deleted from the later one. A frequent line proposes no pairs;
-    in later documents it goes where it is long enough to be a block by itself. So the first holder of a line keeps it.
+    Lines of at least line_words words are compared, trimmed; other lines neither count nor break a block. Each shortest run
+    of compared lines with at least block_words words has a first holder (smallest doc_id), a grouped minimum that is exact
+    for any number of holders: the run goes from all later documents, and so does any longer block, which its runs cover.
+    A run that occurs at most `rare` times also proposes each later document for an alignment with its first holder, so
+    n holders give n - 1 pairs, not n * n. `rare` bounds those alignments only: it doesn't change what is deleted.
     """
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("words", F.regexp_count("line", F.lit(WORD))).filter(F.col("words") >= line_words)
-    rows = put(rows.select("doc_id", "pos", "words", F.unhex(F.md5(F.trim("line"))).alias("h")).distinct(), "lines-rows")
-    shared = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    held = put(rows.join(shared, "h"), "lines-shared")
-    texts = held.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "words"))).alias("lines"))
-    pairs = held.filter((F.col("n") <= rare) & (F.col("first") < F.col("doc_id"))).select("doc_id", "first").distinct()
-    pairs = pairs.join(texts.select(F.col("doc_id").alias("first"), F.col("lines").alias("other")), "first").join(texts, "doc_id")
+    small_batches(docs.sparkSession)
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.regexp_count(x, F.lit(WORD)).alias("words"), F.unhex(F.md5(F.trim(x))).alias("h")))
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(line, lambda x: x["words"] >= line_words).alias("lines"))
+    texts = put(texts.filter(F.size("lines") > 0), "lines-texts")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, pos, words, h in zip(b["doc_id"], b["pos"], b["words"], b["h"], strict=True):
+                for lo, hi in line_runs(words.tolist(), block_words):
+                    out.append((key, bytes(h[lo]) if hi == lo + 1 else md5(b"".join(h[lo:hi])).digest(), pos[lo:hi]))
+            yield pd.DataFrame(out, columns=["doc_id", "run", "at"])
+
+    runs = put(texts.select("doc_id", "lines.pos", "lines.words", "lines.h").mapInPandas(find, "doc_id long, run binary, at array<int>"), "lines-runs")
+    shared = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    held = put(runs.join(shared, "run").filter("first < doc_id").drop("run"), "lines-shared")
+    pairs = put(held.filter(F.col("n") <= rare).select("doc_id", "first").distinct(), "lines-pairs")
+    ids = pairs.select("doc_id").union(pairs.select("first")).distinct()
+    # Repeated rows of a doc_id have equal texts; no bound is known for these tables, so they aren't to be broadcast at any size.
+    texts = put(texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("lines").alias("lines")), "lines-aligned")
+    pairs = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("first"), F.col("lines.h").alias("other")), "first")
+    pairs = pairs.hint("merge").join(texts.select("doc_id", "lines.pos", "lines.words", "lines.h"), "doc_id")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, own, other in zip(b["doc_id"], b["lines"], b["other"], strict=True):
-                mine = [(x["pos"], bytes(x["h"]), x["words"]) for x in own]
-                out += [(key, p) for p in common_blocks(mine, [(x["pos"], bytes(x["h"])) for x in other], block_words)]
+            for key, pos, words, own, other in zip(b["doc_id"], b["pos"], b["words"], b["h"], b["other"], strict=True):
+                mine = [(i, bytes(h), w) for i, (h, w) in enumerate(zip(own, words, strict=True))]
+                out += [(key, pos[i]) for i in common_blocks(mine, [(i, bytes(h)) for i, h in enumerate(other)], block_words)]
             yield pd.DataFrame(out, columns=["doc_id", "pos"])
 
-    aligned = pairs.select("doc_id", "lines", "other").mapInPandas(align, "doc_id long, pos int")
-    alone = held.filter((F.col("n") > rare) & (F.col("first") < F.col("doc_id")) & (F.col("words") >= block_words)).select("doc_id", "pos")
-    return aligned.union(alone).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    aligned = pairs.select("doc_id", "pos", "words", "h", "other").mapInPandas(align, "doc_id long, pos int")
+    exact = held.select("doc_id", F.explode("at").alias("pos"))
+    return aligned.union(exact).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:

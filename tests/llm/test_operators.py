@@ -400,6 +400,35 @@ def test_lines_odd(odd, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def runs_brute(rows, least=10):
+    """Lines of blocks of at least `least` words that an earlier document has too, by all pairs of places; lines of fewer than 3 words are skipped."""
+    seen = {k: [(i, x) for i, x in enumerate(t.split("\n")) if len(x.split()) >= 3] for k, t in rows}
+    gone = {k: set() for k in seen}
+    for k, a in seen.items():
+        for b in (b for j, b in seen.items() if j < k):
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    n = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n][1] == b[y + n][1]:
+                        n += 1
+                    if sum(len(v.split()) for _, v in a[x : x + n]) >= least:
+                        gone[k] |= {i for i, _ in a[x : x + n]}
+    return {k: ",".join(map(str, sorted(v))) for k, v in gone.items()}
+
+
+@pytest.mark.parametrize("rare", [1000, 2])
+def test_lines_blocks(spark, rare):
+    """Blocks of several short lines: of more holders than `rare`, whose lines have other first holders, in another order, and with blank and short lines between."""
+    x, y, z = "six words are in line x", "and six words are in y", "three words z"
+    rows = [(1, x), (2, y), (3, f"{x}\n{y}"), (4, f"{x}\n{y}"), (5, f"{x}\n\nno\n{y}\n{z}"), (6, f"own words of six\n{x}\n{y}\n{z}"), (7, f"{y}\n{z}\n{x}\n{y}")]
+    rng = random.Random(8)
+    pool = [x, y, z, "", "two words", *(" ".join(f"w{i}" for i in range(k, k + 3 + k % 9)) for k in range(12))]
+    rows += [(k, "\n".join(rng.choices(pool, k=rng.randint(1, 12)))) for k in range(8, 60)]
+    got = {r["doc_id"]: r["deleted_lines"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare).collect()}
+    assert got == runs_brute(rows)
+    assert (got[3], got[4], got[5], got[6]) == ("", "0,1", "0,3", "1,2,3")
+
+
 # 9. Jaccard join
 
 
