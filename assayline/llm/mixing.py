@@ -99,19 +99,22 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, weight: Column | N
     return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", taken.cast("long").alias("taken"), copies.alias("copies"), "key")
 
 
-def mix_rows(docs: DataFrame, *, weight: Column | None = None, seed: str = SEED, **how) -> DataFrame:
+def mix_rows(docs: DataFrame, quality: DataFrame | None = None, *, seed: str = SEED, **how) -> DataFrame:
     """docs with each row as often as `mix` takes the whole document: its epochs, and once more if at least half of it is taken then.
 
-    Those taken once more are the ones up to the last such key of their source, so each row is decided by a table of one
-    row per source, and texts are not shuffled. Rows alike in doc_id and size at that place are taken alike.
+    Those taken once more are the ones up to the last such key of their source, so each row is decided by its weight and a
+    table of one row per source. Rows alike in doc_id and size at that place are taken alike. Weights are joined to the
+    documents, whose texts are shuffled once for that, at every size of the tables.
     """
-    plan = mix(docs, weight=weight, seed=seed, **how)
+    quality = None if quality is None else put(quality.select("doc_id", "weight"), "mix-weights")
+    plan = mix(docs, quality, seed=seed, **how)
     place = F.struct("key", "doc_id", "size")
     ends = plan.groupBy("source").agg(F.first("epochs").alias("_epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), place)).alias("_end"))
     ends = put(ends.select(source_key().alias("_src"), "_epochs", "_end"), "mix-ends")
-    rows = docs.withColumns({"_row": F.struct(*docs.columns), "size": word_count()}).select("_row", "doc_id", "source", "text", "size")
-    rows = rows.withColumn("weight", F.lit(None).cast("double") if weight is None else weight).withColumns({"key": sampling_key(seed), "_at": source_key()})
-    rows = rows.join(ends, F.col("_at") == F.col("_src"))
+    rows = docs.withColumns({"_row": F.struct(*docs.columns), "size": word_count()}).select("_row", "doc_id", "source", "size")
+    # No bound is known for the weights, so they aren't to be broadcast at any size.
+    rows = rows.withColumn("weight", F.lit(None).cast("double")) if quality is None else rows.join(quality.hint("merge"), "doc_id", "left")
+    rows = rows.withColumns({"key": sampling_key(seed), "_at": source_key()}).join(ends, F.col("_at") == F.col("_src"))
     copies = (F.col("_epochs") + F.coalesce(place <= F.col("_end"), F.lit(False)).cast("long")).cast("int")
     return rows.withColumn("_nth", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")
 

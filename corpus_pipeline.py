@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from assayline.llm.common import scratch, table
 from assayline.llm.exact import drop_copies
 from assayline.llm.jaccard import drop_similar
-from assayline.llm.mixing import mix_rows, shape_weight
+from assayline.llm.mixing import mix_rows, quality_weights
 from assayline.llm.packing import pack_documents
 from assayline.llm.quality import keep_good
 from assayline.session import ship
@@ -32,8 +32,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it, 0 to 2 times; repeats are rows of their own."""
-    return mix_rows(docs, weight=shape_weight())
+    """Each document as often as the mix of sources takes it by quality weights, 0 to 2 times; repeats are rows of their own."""
+    return mix_rows(docs, quality_weights(table(spark, sf_dir, "labels")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,17 @@ def test_quality_stage_is_the_query(spark, sf):
     docs = common.table(spark, sf, "documents")
     kept = {r["doc_id"] for r in pipeline.quality_classifier(spark, docs, sf).collect()}
     assert kept == {r["doc_id"] for r in quality.op10_quality_classifier(spark, sf).collect() if r["keep"]}
+
+
+def test_mix_stage_uses_quality_weights(spark, tmp_path):
+    """Prose of one source and one length, half of it labelled good and half bad: the rows are those of the weighted mix, and more good ones are taken."""
+    docs = spark.createDataFrame([(i, f"some plain prose text number {i + 1000}", "en", "x" if i < 400 else "y", 30) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    sf = copy_tables(spark, docs, marks, tmp_path)
+    docs = common.table(spark, sf, "documents")
+    got = Counter(r["doc_id"] for r in pipeline.mix_sources(spark, docs, sf).collect())
+    plan = mixing.mix(docs, mixing.quality_weights(marks)).collect()
+    assert got == {r["doc_id"]: r["copies"] for r in plan if r["copies"]}
+    part = {r["source"] for r in plan if r["copies"] > r["epochs"]}
+    more = [r["doc_id"] % 2 for r in plan if r["source"] in part and r["copies"] > r["epochs"]]
+    assert part and sum(more) > 0.6 * len(more)
