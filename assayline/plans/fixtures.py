@@ -42,3 +42,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("record_id"), F.col("embedding").cast("array<double>").alias("v"), (F.col("label") >= 5).cast("int").alias("label"), F.when(F.col("vec_id") % 5 != 0, "train").otherwise("test").alias("split"))
+
+
+def bits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test documents with the hashed bits of the words of their whole texts."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.array_distinct(F.transform(F.split("text", " "), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"), F.lit(4096)))).alias("bits"))
+    return d.filter("record_id % 5 <> 0"), d.filter("record_id % 5 = 0")

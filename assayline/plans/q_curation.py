@@ -313,17 +313,12 @@ def l8(spark, sf):
 # Joins
 
 
-def _bits(spark, sf):
-    d = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.array_distinct(F.transform(F.split(F.substring("text", 1, 1_000_000), " "), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"), F.lit(4096)))).alias("bits"))
-    return d.filter("record_id % 5 <> 0"), d.filter("record_id % 5 = 0")
-
-
 BITS = "select doc_id as record_id, list_distinct(list_transform(string_split(text, ' '), lambda w: ('0x' || substr(md5(w), 1, 6))::bigint % 4096)) as bits from documents"
 
 
 @query("d4_tanimoto_max", f"with d as materialized ({BITS}), e as materialized (select record_id, len(bits) as n, unnest(bits) as b from d), p as (select a.record_id as t, a.n as na, b.n as nb, count(*) as k from e a join e b on a.b = b.b and a.record_id % 5 = 0 and b.record_id % 5 <> 0 group by a.record_id, b.record_id, a.n, b.n) select t as record_id, max(k / (na + nb - k)::double) as max_sim from p group by t")
 def d4(spark, sf):
-    return joins.tanimoto_max(*_bits(spark, sf))
+    return joins.tanimoto_max(*fx.bits(spark, sf))
 
 
 @query("d5_euclid_nn", "select t.record_id, round(min(list_distance(t.v, r.v)), 6) as nn_dist from v_vec t join v_vec r on t.split = 'test' and r.split = 'train' group by t.record_id", "v_vec")

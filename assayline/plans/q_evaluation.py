@@ -196,18 +196,13 @@ def g20(spark, sf):
 # Domain
 
 
-def _bits(spark, sf):
-    d = fx.docs(spark, sf).select("record_id", "label", F.array_distinct(F.transform(F.split("text", " "), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"), F.lit(4096)))).alias("bits"))
-    return d.filter("record_id % 5 <> 0"), d.filter("record_id % 5 = 0")
-
-
 BITS = "select doc_id as record_id, list_distinct(list_transform(string_split(text, ' '), lambda w: ('0x' || substr(md5(w), 1, 6))::bigint % 4096)) as bits from documents"
 SIMS = f"d as materialized ({BITS}), e as materialized (select record_id, len(bits) as n, unnest(bits) as b from d), p as (select a.record_id as t, a.n as na, b.n as nb, count(*) as k from e a join e b on a.b = b.b and a.record_id % 5 = 0 and b.record_id % 5 <> 0 group by a.record_id, b.record_id, a.n, b.n), s as (select t as record_id, max(k / (na + nb - k)::double) as max_sim from p group by t)"
 
 
 @query("k1_ad_similarity", f"with {SIMS} select round(avg((max_sim >= 0.3)::int), 4) as coverage, count(*) filter (max_sim >= 0.3) as n_in, count(*) filter (max_sim < 0.3) as n_out, round(avg(max_sim), 4) as mean_sim, round(median(max_sim), 4) as median_sim from s")
 def k1(spark, sf):
-    return domain.ad_similarity(*_bits(spark, sf))[1]
+    return domain.ad_similarity(*fx.bits(spark, sf))[1]
 
 
 @query("k2_ad_distance", f"""+ tr as (select * from v_vec where split = 'train' order by {draw_sql("'42'", "record_id::varchar")}, record_id limit 400), nn as (select a.record_id, min(list_distance(a.v, b.v)) as d from tr a join tr b on a.record_id <> b.record_id group by 1),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.operators import enrich, joins, keys, labels, metrics, sampling, splits
+from assayline.plans import q_curation
 from assayline.sources import tables
 
 
@@ -166,3 +167,12 @@ def test_annotate(spark):
     got = [r["w"] for r in one.select(metrics.annotate(*map(F.col, "petcn")).alias("w")).collect()]
     assert got == ["few positives; sampled endpoint; test and CV differ; near chance", "OK"]
     assert math.isclose(metrics.OOF_GRID[40], 0.9)
+
+
+def test_tanimoto_max_reads_whole_texts(spark, tmp_path):
+    rest = "alpha beta gamma"
+    rows = [(1, "x " * 500_000 + rest), (5, rest), (10, "y " * 500_000 + rest)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["record_id"]: r["max_sim"] for r in q_curation.d4(spark, str(tmp_path)).collect()}
+    # The bits of x, y and the three words; an empty last word isn't made, as the text doesn't end in a blank.
+    assert got == {5: 3 / 4, 10: 3 / 5}
