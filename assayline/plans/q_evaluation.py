@@ -210,7 +210,7 @@ def k1(spark, sf):
  select round(max(threshold), 4) as threshold, count(*) filter (d > threshold) as n_ood, round(avg((d > threshold)::int), 4) as ood_fraction, round(max(m), 4) as train_median, round(median(d), 4) as test_median from te, l""", "v_vec")
 def k2(spark, sf):
     v = fx.vectors(spark, sf)
-    return domain.ad_distance(v.filter("split = 'train'"), v.filter("split = 'test'"), most=400)
+    return domain.ad_distance(v.filter("split = 'train'"), v.filter("split = 'test'"), most=None)
 
 
 @query("k3_ad_stratified", f"+ z as (select *, unnest(['all', case when proba_b >= 0.4 then 'in' else 'out' end]) as zone from v_events), x as ({cells('zone', 'z')}), m as ({scores('select * from x', 'zone, tp, fp, fn, tn')}), n as (select zone, count(*) as n, count(*) filter (label = 1) as n_pos, count(*) filter (label = 0) as n_neg, round(median(proba_b), 4) as sim_median from z group by zone) select zone, n, n_pos, n_neg, tp, fp, fn, tn, sens, spec, mcc, sim_median from m join n using (zone)", "v_events")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.operators import enrich, joins, keys, labels, metrics, sampling, splits
-from assayline.plans import q_curation
+from assayline.plans import q_curation, q_evaluation
 from assayline.sources import tables
 
 
@@ -176,3 +176,11 @@ def test_tanimoto_max_reads_whole_texts(spark, tmp_path):
     got = {r["record_id"]: r["max_sim"] for r in q_curation.d4(spark, str(tmp_path)).collect()}
     # The bits of x, y and the three words; an empty last word isn't made, as the text doesn't end in a blank.
     assert got == {5: 3 / 4, 10: 3 / 5}
+
+
+def test_ad_distance_reads_all_training_rows(spark, tmp_path):
+    """500 training points on a line, 1 apart: each test point lies by its own training point, whichever 400 would have been drawn."""
+    rows = [(i, [float(i if i % 5 else i - 1) + (0.0 if i % 5 else 0.25)], i % 10) for i in range(1, 626)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = q_evaluation.k2(spark, str(tmp_path)).first()
+    assert (got["threshold"], got["n_ood"], got["train_median"], got["test_median"]) == (1.0, 0, 1.0, 0.25)
