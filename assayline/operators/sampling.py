@@ -58,7 +58,7 @@ def smote_tomek(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
 
 
 def kmeans_medoid_sample(df: DataFrame, cols: list[str], n: int, most: int = 50, seed: int = 42) -> DataFrame:
-    """About n diverse rows: standardized columns in min(n, most) clusters, of each cluster its rows nearest to the centre."""
+    """n diverse rows, or all if there are no more: standardized columns in min(n, most) clusters, of each its rows nearest to the centre; once a cluster has no more rows, the others give more."""
     k = max(2, min(n, most))
     z = standardize(df, cols)
     x = VectorAssembler(inputCols=cols, outputCol="_x").transform(z)
@@ -66,8 +66,7 @@ def kmeans_medoid_sample(df: DataFrame, cols: list[str], n: int, most: int = 50,
     centres = df.sparkSession.createDataFrame([(i, [float(y) for y in c]) for i, c in enumerate(model.clusterCenters())], "_c int, _v array<double>")
     d = model.transform(x).select("record_id", "_c", F.array(*cols).alias("_z")).join(F.broadcast(centres), "_c")
     ranked = d.select("record_id", F.row_number().over(W.partitionBy("_c").orderBy(squared_distance(F.col("_z"), F.col("_v")), "record_id")).alias("_r"))
-    per = -(-n // k)
-    chosen = ranked.filter(F.col("_r") <= per).orderBy("_r", "record_id").limit(n).select("record_id")
+    chosen = ranked.orderBy("_r", "record_id").limit(n).select("record_id")
     return df.join(chosen, "record_id", "left_semi")
 
 
@@ -85,10 +84,11 @@ def profile_stratified_sample(df: DataFrame, n: int, profile: str = "profile", s
 
 
 def combined_sample(df: DataFrame, cols: list[str], n: int, w: float = 0.5, profile: str = "profile") -> DataFrame:
-    """round(w * n) negatives by profile, the rest by clusters from those that remain."""
-    first = profile_stratified_sample(df, round(w * n), profile)
+    """n negatives, or all if there are no more: at most round(w * n) by profile, the rest by clusters from those that remain."""
+    part = round(w * n)
+    first = profile_stratified_sample(df, part, profile).orderBy(draw(42, "record_id"), "record_id").limit(part)
     rest = df.filter("label = 0").join(first.select("record_id"), "record_id", "left_anti")
-    return first.unionByName(kmeans_medoid_sample(rest, cols, n - round(w * n)))
+    return first.unionByName(kmeans_medoid_sample(rest, cols, n - first.count()))
 
 
 def sampling_coverage(everything: DataFrame, chosen: DataFrame, cols: list[str]) -> DataFrame:
