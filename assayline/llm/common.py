@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that setting is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that setting is unset and all runs on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         path = spark.sparkContext.getCheckpointDir()
         if path is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="assayline-")
             spark.sparkContext.setCheckpointDir(path)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -48,9 +51,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts: fewer rows in an Arrow batch, so that a Python worker holds a few MB of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Long texts: a bound in bytes on an Arrow batch, so that a Python worker holds a few MB of them. It holds from here on, as plans run later than they are built; it changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def unit(seed: str, *cols) -> F.Column:
@@ -95,11 +98,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Bytes hashed at a time: what is held for each byte meanwhile is about 35 bytes.
+BLOCK = 1 << 16
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, A-Z lower-cased, and for each text where its words end in that array.
 
-    One pass over the joined UTF-8 bytes: a running sum of b**i * value(byte i), whose differences at the bounds of words,
-    shifted back by b**-start, are the words' hashes.
+    In blocks of the joined UTF-8 bytes that end between words: a running sum of b**i * value(byte i), whose differences at
+    the bounds of words, shifted back by b**-start, are the words' hashes.
     """
     parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
@@ -109,23 +116,33 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not space[0]:
         edge = np.concatenate([[0], edge])
     start, stop = edge[0::2], edge[1::2]
-    power, back = _powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[data] * power[: len(data)], dtype=np.uint64)])
-    h = mix64((total[stop] - total[start]) * back[start] + (stop - start).astype(np.uint64) * _A)
+    h, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + BLOCK, "right")))
+        lo, hi = int(start[i]), int(stop[j - 1])
+        power, back = _powers(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_LOWER[data[lo:hi]] * power[: hi - lo], dtype=np.uint64, out=total[1:])
+        at, to = start[i:j] - lo, stop[i:j] - lo
+        h[i:j] = mix64((total[to] - total[at]) * back[at] + (to - at).astype(np.uint64) * _A)
+        i = j
     return h, np.searchsorted(start, ends, "left")
 
 
-_POWERS: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept for blocks; those for a longer word are not."""
+    return _block_powers() if n <= BLOCK + 1 else _make_powers(n)
+
 
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0xD1342543DE82EF95
+    inv = pow(base, -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (base, inv))
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        m = 1 << (n - 1).bit_length()
-        base = 0xD1342543DE82EF95
-        inv = pow(base, -1, 1 << 64)
-        _POWERS = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, b, np.uint64)]), dtype=np.uint64) for b in (base, inv))
-    return _POWERS
+
+@lru_cache(maxsize=1)
+def _block_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _make_powers(BLOCK + 1)
 
 
 def shingle_sets(texts: list[str | None], width: int, key=lambda x: x) -> Iterator[np.ndarray]:
@@ -150,7 +167,7 @@ def shingle_sets(texts: list[str | None], width: int, key=lambda x: x) -> Iterat
         lo = int(hi)
 
 
-def slices(texts: list, most: int = 1_000_000) -> Iterator[slice]:
+def slices(texts: list, most: int = 200_000) -> Iterator[slice]:
     """Runs of texts of about `most` characters at most (one text may be longer)."""
     at, size = 0, 0
     for i, t in enumerate(texts):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -21,6 +22,10 @@ from assayline.llm.common import put, small_batches, table
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 CAPACITY = 2048
+# The steps before the model in the file of this tokenizer; they drop case and white space.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_UNITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _UNITS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Letters of one code point in both cases; and what is neither these, digits, blanks, line ends nor stops.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _MARKED = re.compile(f"([{_LETTER}]+)([!-&(-/:-@\\[-`{{-~]+)")  # a word and marks after it, but for apostrophes
@@ -30,18 +35,23 @@ _PLAIN, _OTHER = re.compile(f"[{_LETTER}]+"), re.compile(f"[^{_LETTER}0-9 \n.,]"
 class ChunkTokenizer(dict):
     """Token ids of texts as bytes (little-endian uint32), from the ids of their space-separated chunks.
 
+    That holds for tokenizers whose file has the steps stated above; with any other file whole texts are encoded.
+
     This vocabulary's tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in a
-    row. Chunks repeat, so each is tokenized once and kept, up to `keep` of them; then the store is emptied.
+    row. Chunks repeat, so each is tokenized once and kept, up to about `keep` bytes of them; then the store is emptied. A
+    chunk of more than a hundredth of that is not kept.
     """
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 12_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.keep, self.tokenizer = keep, Tokenizer.from_file(path)
+        self.keep, self.held, self.tokenizer = keep, 0, Tokenizer.from_file(path)
         self.model = self.tokenizer.model.tokenize
+        spec = json.loads(self.tokenizer.to_str())
+        self.plain = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.bytes_of = str.maketrans({chr(i): spell(chr(i))[0][0] for i in range(0xC0, 0x100)})
 
@@ -49,16 +59,28 @@ class ChunkTokenizer(dict):
         """A plain word is one unit for the model, in lower case, so it goes there directly."""
         if _PLAIN.fullmatch(chunk):
             word = chunk.lower()
-            self[chunk] = ids = array("I", [t.id for t in self.model(word if word.isascii() else word.translate(self.bytes_of))]).tobytes()
+            ids = self._ids([t.id for t in self.model(word if word.isascii() else word.translate(self.bytes_of))])
         elif m := _MARKED.fullmatch(chunk):
-            self[chunk] = ids = self[m[1]] + self[m[2]]
+            ids = self[m[1]] + self[m[2]]
         else:
-            self[chunk] = ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+            ids = self._ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        size = len(chunk) + len(ids)
+        if size * 100 <= self.keep:
+            # An entry's objects and its place in the table take about 200 bytes.
+            self.held += size + 200
+            if self.held > self.keep:
+                self.clear()
+                self.held = size + 200
+            self[chunk] = ids
         return ids
 
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
     def encode(self, text: str) -> bytes:
-        if len(self) > self.keep:
-            self.clear()
+        if not self.plain:
+            return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if not (_OTHER.search(text) or ".." in text or ",," in text or ".," in text or ",." in text):
             # Case is dropped and a single stop is a unit of its own, so plain prose can be cut into fewer different chunks.
             text = text.lower().replace(".", " .").replace(",", " ,")
@@ -184,7 +206,7 @@ def slots(plan: list[tuple[Pattern, int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["size", "first", "bins", "sequence", "offset"], dtype="int64").sort_values(["size", "first"])
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, *, bucket_rows: int = 50_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, *, bucket_rows: int = 2_000) -> DataFrame:
     """Add sequence_id and offset to parts (doc_id, piece, length, ...): sequences of at most `capacity`, without gaps.
 
     The plan needs only how often each length occurs, at most `capacity` numbers whatever the input, and is worked out on
