@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,23 +106,32 @@ def dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = s
 
 
 def home(docs: DataFrame) -> str | None:
-    """The folder that holds all files of docs, if it is one folder or one file read directly."""
+    """The one folder whose files docs reads, if docs is a plain scan of it: all its files, all rows and all columns as they are."""
     files = docs.inputFiles()
     folders = {posixpath.dirname(f) for f in files}
-    return folders.pop() if len(folders) == 1 else None
+    if len(folders) != 1:
+        return None
+    path = folders.pop()
+    # A local folder read without its scheme counts as another table than the same folder with it.
+    for at in dict.fromkeys((path, path.removeprefix("file://"))):
+        with contextlib.suppress(AnalysisException):  # no such folder in the default file system
+            whole = docs.sparkSession.read.parquet(at)
+            if docs.sameSemantics(whole) and set(files) == set(whole.inputFiles()):
+                return at
+    return None
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs, a Parquet table as read, without the rows that `dedup` drops."""
+    """docs without the rows that `dedup` drops. Anything but a Parquet folder as read is written down first, so rows are compared with rows of docs alone."""
     path = home(docs)
-    if path is None:  # several folders or none
+    if path is None:
         docs = put(docs, "dedup-docs")
         path = home(docs)
-        if path is None:
+        if path is None:  # no rows
             return docs
-    gone = put(dedup(spark, path).filter(~F.col("kept")).select("file", "row"), "dedup-dropped")
-    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return rows.join(gone, (rows["_file"] == gone["file"]) & (rows["_row"] == gone["row"]), "left_anti").drop("_file", "_row")
+    gone = put(dedup(spark, path).filter(~F.col("kept")).select(F.struct("file", "row").alias("place")), "dedup-dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("own"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place"))
+    return rows.join(gone, "place", "left_anti").select("own.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,10 +131,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects. Texts are read twice and not shuffled, unless the site table is too large to broadcast."""
+    """docs without those that the classifier rejects, all columns as they are, whatever their names. Texts are read twice and not shuffled, unless the site table is too large to broadcast."""
     small_batches(spark)
     model = fit(put(evidence_table(docs), "quality-features"), labels)
-    return judge(docs.withColumn("f", features(F.col("text"))), model).filter("p_good >= 0.5").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("own")).select("own", F.col("own.source").alias("source"), F.col("own.lang").alias("lang"), features(F.col("own.text")).alias("f"))
+    return judge(rows, model).filter("p_good >= 0.5").select("own.*")
 
 
 QUERIES = {"op10_quality_classifier": op10_quality_classifier}
