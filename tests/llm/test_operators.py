@@ -117,21 +117,64 @@ def brute(rows, k=10):
     return out
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize("how", [{}, {"cell_values": 1, "part_rows": 2}])
+def test_neighbours_recall(spark, how):
     table = common.table(spark, "/root/testdata/sf0.01", "embeddings")
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
     want = brute(rows)
-    got = {}
-    for r in ann.neighbours(table, F.col("vec_id") % 100 == 0, leaf_rows=20, branch=4).orderBy("query_id", "rank").collect():
+    got, shares = {}, set()
+    for r in ann.neighbours(table, F.col("vec_id") % 100 == 0, leaf_rows=20, branch=4, **how).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+        shares.add(r["recall"])
     hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
     assert set(got) == set(want) and hits >= 0.9 * 10 * len(want)
+    assert len(shares) == 1 and {len(x) for x in got.values()} == {10}
+    true = {q: {i: d for d, i in x} for q, x in brute(rows, len(rows)).items()}
+    assert all(math.isclose(d, true[q][i], rel_tol=1e-12) for q, x in got.items() for d, i in x)
+
+
+def test_neighbours_whole(spark):
+    """All leaves visited: the answer is brute force's, ties and repeated rows included, whatever the runs and parts."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randrange(3)) for _ in range(3)]) for i in range(300)]
+    rows = [(i, v if any(v) else [1.0, 1.0, 1.0]) for i, v in rows] + [(100, [1.0, 2.0, 0.0]), (7, [1.0, 2.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for n, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            near = sorted((math.dist(v, w), i) for m, (i, w) in enumerate(rows) if m != n)[:10]
+            want += [(q, r, i, d) for r, (d, i) in enumerate(near, 1)]
+    for how in ({}, {"cell_values": 1, "part_rows": 1}):
+        got = ann.neighbours(table, F.col("vec_id") % 100 == 0, leaf_rows=10, branch=4, recall=2.0, **how).collect()
+        assert sorted(tuple(r)[:4] for r in got) == sorted(want)
+
+
+def test_nearest():
+    """A running search in blocks, with few kept at a time, against sorting all."""
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(0, 4, (500, 3)).astype(float), rng.integers(0, 4, (5, 3)).astype(float)
+    best = ann.Nearest(q, 7, most=40)
+    for i in range(0, 500, 60):
+        best.add(x[i : i + 60], np.arange(i, min(i + 60, 500)), np.arange(i, min(i + 60, 500)), np.arange(5))
+    who, d, ids = best.pairs([[i, i + 1000] for i in range(500)])
+    for j in range(5):
+        want = sorted((math.dist(q[j], x[i]), n) for i in range(500) for n in (i, i + 1000))[:7]
+        assert [(a, b) for a, b in zip(d[who == j], ids[who == j], strict=True)] == want
+    assert ann.cells({0: 3, 1: 4, 4: 25, 5: 1, 6: 9}, 10) == {0: (0, 1), 1: (0, 1), 4: (1, 3), 5: (4, 1), 6: (4, 1)}
+
+
+def test_neighbours_few_in_a_leaf(spark):
+    """A query far from all others, whose own leaf holds nothing else, still gets k."""
+    rows = [(i, [math.cos(i), math.sin(i)]) for i in range(1, 100)] + [(100, [500.0, 500.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.neighbours(table, F.col("vec_id") % 100 == 0, leaf_rows=5, branch=4, recall=0.0).collect()
+    assert len(got) == 10
 
 
 def test_neighbours_odd(spark):
     same = [1.0, 2.0]
-    rows = [(0, same), (100, same), *[(i, same) for i in range(1, 40)], (50, None), (51, [0.0, 0.0]), (52, [1.0, None]), (53, [float("nan"), 1.0]), (54, [float("inf"), 1.0]), (55, [1.0]), (None, same), (60, [-0.0, 3.0]), (61, [0.0, 3.0]), (1, same)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(0, same), (100, same), *[(i, same) for i in range(1, 40)], (50, None), (51, [0.0, 0.0]), (52, [1.0, None]), (53, [float("nan"), 1.0]), (54, [float("inf"), 1.0]), (55, [1.0]), (None, same), (60, [-0.0, 3.0]), (61, [0.0, 3.0])]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, asks string, v int")
     got = ann.neighbours(table, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
     assert [r["vec_id"] for r in got] == [*range(1, 11), *range(10)] and {r["score"] for r in got} == {0.0} and [r["rank"] for r in got] == [*range(1, 11)] * 2
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [4.0])], "vec_id long, embedding array<float>")
