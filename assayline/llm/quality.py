@@ -32,11 +32,13 @@ def text_features(text: str | None) -> list[float]:
 
 
 def features(text: Column) -> Column:
+    """As a nondeterministic function, so that the optimizer doesn't run it a second time for a filter that it infers."""
+
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([text_features(t) for t in s])
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def _logit(p: Column) -> Column:
