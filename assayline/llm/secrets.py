@@ -1,4 +1,4 @@
-"""Secret scanning: fixed patterns, and strings that a zstandard dictionary of their surroundings cannot shorten."""
+"""Secret scanning: fixed patterns, and strings after a sensitive word that zstandard cannot shorten by their surroundings and by a dictionary of the corpus' words."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from random import Random
 
 import pandas as pd
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 LONG_HEX = re.compile(HEX.pattern.replace("+", "{%d,}" % LEAST["hex"]))
 KINDS = ("assign", "access", "hex", "novel")
 
-# Words that make the text before a string sensitive, and identifiers that code around secrets is made of.
+# Words that make the text before a string sensitive; words that code around secrets is made of, which prime the compressor beside those of the corpus; and runs that people type.
 SENSITIVE = re.compile(r"(?:key|token|secret|passw|passphrase|credential|auth|bearer|signature|private|login|pin\b|salt|cookie|session)", re.ASCII | re.IGNORECASE)
 IDENTIFIERS = (
     "access account address admin api apikey application array async auth authorization await base64 bearer bool boolean break bucket build byte cache certificate char class client cloud code config "
@@ -35,7 +37,15 @@ IDENTIFIERS = (
     "service session settings signature size socket source static status storage string struct subscription system table target template tenant test text this thread timeout timestamp token true type "
     "undefined update upload url user username utf8 value variable version void webhook window write xml yaml"
 )
+SEQUENCES = "0123456789 9876543210 1234567890 abcdefghijklmnopqrstuvwxyz zyxwvutsrqponmlkjihgfedcba qwertyuiop asdfghjkl zxcvbnm changeme example placeholder redacted your-api-key-here your_secret_here xxxxxxxxxxxxxxxx 00000000000000000000"
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~!@#$%^&*-]{12,}", re.ASCII)
+_MAIL = re.compile(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.", re.ASCII)
+_WORD = re.compile(r"[^\W\d_]{3,24}")
+_HEX, _LETTERS, _BOTH = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnopqrstuvwxyz"
+#: Levels of compression whose added bytes are averaged, as whole bytes are a coarse measure of a short string.
+LEVELS = (6, 9)
+#: Characters of a block of text; a candidate's surroundings are its block and the two beside it.
+STRIDE = 256
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -48,68 +58,167 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(start, end, KINDS[k]) for start, k, end in sorted(found)]
 
 
-@lru_cache(maxsize=1)
-def compressor() -> zstandard.ZstdCompressor:
-    prime = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=19, dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False)
+class Novelty:
+    """How much a string adds to its compressed surroundings, against random strings like it; primed with words."""
+
+    def __init__(self, words: str) -> None:
+        prime = f"{words} {IDENTIFIERS} {SEQUENCES}".encode("utf-8", "replace")
+        self.packers = []
+        for level in LEVELS:
+            known = zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=level)
+            self.packers.append(zstandard.ZstdCompressor(dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.size = lru_cache(maxsize=16)(self._size)
+        self.baseline = lru_cache(maxsize=64)(self._baseline)
+
+    def _size(self, around: str) -> int:
+        data = around.encode("utf-8", "replace")
+        return sum(len(p.compress(data)) for p in self.packers)
+
+    def added(self, candidate: str, around: str) -> int:
+        """Bytes, summed over levels, that the candidate adds at the end of its surroundings; case is dropped."""
+        around += "\n"
+        return self._size(around + candidate.lower()) - self.size(around)
+
+    def _baseline(self, alphabet: str, length: int, around: str, times: int = 4) -> float:
+        """Bytes a character that random strings of the alphabet and length add to the same surroundings."""
+        draw = Random(f"{alphabet}{length}")
+        return max(sum(self.added("".join(draw.choices(alphabet, k=length)), around) for _ in range(times)) / (times * length), 0.1)
+
+    def __call__(self, candidate: str, around: str) -> float:
+        """About 1 for random characters whatever the alphabet, less for words, repeats and what occurs nearby."""
+        folded = set(candidate.lower())
+        alphabet = _HEX if folded <= set(_HEX) else _LETTERS if folded.isdisjoint(_HEX[:10]) else _BOTH
+        # Lengths in steps, so that the candidates of a block share few baselines.
+        return self.added(candidate, around) / len(candidate) / self.baseline(alphabet, -(-len(candidate) // 8) * 8, around)
+
+
+def candidates(text: str, known: list[tuple[int, int, str]], least: int = 12) -> list[tuple[int, int]]:
+    """Strings of at least `least` characters, a letter among them and no address, that come after a sensitive word on their line and overlap no known span. known is sorted by start."""
+    found, at = [], 0
+    for m in SENSITIVE.finditer(text):
+        if m.end() <= at:
+            continue
+        stop = text.find("\n", m.end())
+        stop = stop if stop >= 0 else len(text)
+        for c in _CANDIDATE.finditer(text, m.end(), stop):
+            # What stands before an equals sign is the name of the rest, unless it is padding.
+            start, end = c.span()
+            cut = text.rfind("=", start, len(c.group().rstrip("=")) + start) + 1
+            start = cut or start
+            end = start + len(text[start:end].rstrip(".!-"))
+            if end - start >= least and any(map(str.isalpha, text[start:end])) and not _MAIL.search(text[start:end]):
+                found.append((start, end))
+        at = stop
+    out, i, reach = [], 0, 0
+    for start, end in found:
+        while i < len(known) and known[i][0] < end:
+            reach = max(reach, known[i][1])
+            i += 1
+        if reach <= start:
+            out.append((start, end))
+    return out
+
+
+def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty, *, least: float = 0.85, wordlike: float = 0.95) -> list[tuple[int, int, str]]:
+    """Candidates whose novelty is at least `least`; `wordlike` for those of letters in one case, which may be rare words."""
+    spots = candidates(text, known)
+    if not spots:
+        return []
+    found, masked, last = [], [], 0
+    for start, end in spots:  # a candidate is no part of any surroundings
+        masked += [text[last:start], " " * (end - start)]
+        last = end
+    hidden = "".join([*masked, text[last:]]).lower()
+    if len(hidden) != len(text):  # some letters get longer in lower case
+        hidden = "".join([*masked, text[last:]])
+    around, at = "", -1
+    for start, end in spots:
+        word = text[start:end]
+        if start // STRIDE != at:
+            at = start // STRIDE
+            around = hidden[max(0, (at - 1) * STRIDE) : (at + 2) * STRIDE]
+        bound = wordlike if word.isalpha() and (word[1:].islower() or word.isupper()) else least
+        if novelty(word, around) >= bound:
+            found.append((start, end, "novel"))
+    return found
 
 
-def novelty(candidate: str, before: str, after: str) -> float:
-    """Bytes that the candidate adds to its compressed surroundings, by its length; the compressor is primed with the identifiers.
+def vocabulary(docs: DataFrame, *, size: int = 32_768, contexts: int = 8) -> str:
+    """The corpus' most frequent words, in lower case, up to `size` characters, the most frequent last, where a compressor reaches them best.
 
-    About 1 for random characters of a large alphabet, less for words, repeats and anything that occurs nearby.
+    Only words that follow at least `contexts` of 64 classes of other words count, so a secret, however many copies of its
+    text there are, is none of them. Counts and classes are summed over all documents; the words that go to the driver are
+    bounded by `size`.
     """
-    size = lambda x: len(compressor().compress(x.encode("utf-8", "replace")))
-    return (size(before + candidate + after) - size(before + after)) / len(candidate)
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: dict[str, int] = {}
+        seen: dict[str, int] = {}
 
-def novel_spans(text: str, known: list[tuple[int, int, str]], *, reach: int = 40, around: int = 400, least: float = 0.8) -> list[tuple[int, int, str]]:
-    """Strings with letters and digits, after a sensitive word within `reach` characters on the line, that don't compress."""
-    found = []
-    spots = [m.end() for m in SENSITIVE.finditer(text)]
-    done = 0
-    for at in spots:
-        line_end = text.find("\n", at)
-        stop = min(at + reach, line_end if line_end >= 0 else len(text))
-        for m in _CANDIDATE.finditer(text, max(at, done)):
-            if m.start() > stop:
-                break
-            done = m.end()
-            word = m.group().rstrip(".")
-            end = m.start() + len(word)
-            classes = sum(bool(re.search(c, word)) for c in ("[a-z]", "[A-Z]", "[0-9]"))
-            if len(word) < 12 or classes < 2 or not re.search("[0-9]", word) or any(s < end and m.start() < e for s, e, _ in known):
-                continue
-            if novelty(word, text[max(0, m.start() - around) : m.start()], text[end : end + around]) >= least:
-                found.append((m.start(), end, "novel"))
-    return found
+        def rows() -> pd.DataFrame:
+            # A number of 64 bits with a sign.
+            return pd.DataFrame({"word": list(n), "n": list(n.values()), "seen": [(x ^ (1 << 63)) - (1 << 63) for x in seen.values()]})
+
+        for b in batches:
+            for text in b["text"]:
+                if isinstance(text, str):
+                    before = ""
+                    for word in _WORD.findall(text.lower()):
+                        n[word] = n.get(word, 0) + 1
+                        # Not hash(), which differs between workers.
+                        seen[word] = seen.get(word, 0) | 1 << (len(before) * 31 + sum(map(ord, before[:3])) * 7) % 64
+                        before = word
+            if len(n) > 50_000:
+                yield rows()
+                n, seen = {}, {}
+        yield rows()
+
+    words = docs.select("text").mapInPandas(count, "word string, n long, seen long").groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen"))
+    words = words.filter(F.bit_count("seen") >= contexts).orderBy(F.desc("n"), "word").limit(size // 4).collect()
+    out, used = [], 0
+    for r in words:
+        used += len(r["word"]) + 1
+        if used > size:
+            break
+        out.append(r["word"])
+    return " ".join(out[::-1])
 
 
 def digest(spans: list[tuple]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
+@lru_cache(maxsize=1)
+def _novelty(words: str) -> Novelty:
+    """One for all tasks of a worker process."""
+    return Novelty(words)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans.
 
-    Whole texts are read, in one pass without a shuffle. Null text counts as empty: no spans. Null doc_id and repeated rows
-    are scanned like others. Empty table: empty result.
+    Whole texts are read twice: for the words that prime the compressor, and for spans, the second time without a shuffle.
+    Null text counts as empty: no spans. Very long texts are scanned in time in proportion to their length. Null doc_id and
+    repeated rows are scanned like others. Empty table: empty result. Further columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
+    words: Broadcast = docs.sparkSession.sparkContext.broadcast(vocabulary(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        novelty = _novelty(words.value)
         for b in batches:
             out = []
             for key, text in zip(b["doc_id"], b["text"], strict=True):
                 text = text if isinstance(text, str) else ""
                 base = base_spans(text)
-                new = novel_spans(text, base)
+                new = novel_spans(text, base, novelty)
                 n = [sum(kind == k for _, _, kind in base) for k in KINDS[:3]]
                 both = sorted(base + new, key=lambda x: (x[0], KINDS.index(x[2])))
                 out.append((key, *n, len(new), hashlib.sha256(digest(base).encode()).hexdigest(), digest(both)))
             frame = pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
