@@ -158,7 +158,7 @@ def vocabulary(docs: DataFrame, *, size: int = 32_768, contexts: int = 8) -> str
 
         def rows() -> pd.DataFrame:
             # A number of 64 bits with a sign.
-            return pd.DataFrame({"word": list(n), "n": list(n.values()), "seen": [(x ^ (1 << 63)) - (1 << 63) for x in seen.values()]})
+            return pd.DataFrame({"word": list(n), "n": list(n.values()), "seen": [(x ^ (1 << 63)) - (1 << 63) for x in seen.values()]}).astype({"word": str, "n": "int64", "seen": "int64"})
 
         for b in batches:
             for text in b["text"]:
