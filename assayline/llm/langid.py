@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from assayline.llm.common import put, small_batches, table, unit
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Longest piece in characters, and longest run of letters scored at once: a longer word is cut into such runs.
-LONGEST, RUN = 12, 24
+#: Up to this many characters a word's sums are plain numbers, many words at a time; for a longer one they are logarithms.
+SHORT = 36
 #: Probability of a character that is no piece, the same in every language.
 UNKNOWN = 1e-8
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -24,12 +24,12 @@ _B = np.uint64(0xD1342543DE82EF95)
 
 
 def read_pieces(path: str) -> list[str]:
-    """The vocabulary's pieces in lower case form, without control and byte pieces; `▁` marks the start of a word."""
+    """The vocabulary's pieces in lower case, but for control and byte pieces and those that hold anything but letters, which no word does; `▁` marks the start of a word."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for p in found if len(p) <= LONGEST and p == p.lower()})
+    found = (sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
+    return sorted({p for p in found if p == "▁" or _LETTERS.fullmatch(p.removeprefix("▁"))})
 
 
 def words(text: str) -> list[str]:
@@ -42,14 +42,12 @@ class Lattice:
     def __init__(self, pieces: list[str]) -> None:
         self.n = len(pieces)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k in range(1, LONGEST + 1):
+        for k in sorted({len(p) for p in pieces}):
             ids = [i for i, p in enumerate(pieces) if len(p) == k]
-            if ids:
-                h = self._hashes(np.array([[ord(c) for c in pieces[i]] for i in ids], np.uint64))
-                h = h[:, k]
-                order = np.argsort(h)
-                self.by_length[k] = h[order], np.array(ids)[order]
-        self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(RUN + 2, _B)]), dtype=np.uint64)
+            h = self._hashes(np.array([[ord(c) for c in pieces[i]] for i in ids], np.uint64))[:, k]
+            order = np.argsort(h)
+            self.by_length[k] = h[order], np.array(ids)[order]
+        self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(self.by_length, default=0), _B)]), dtype=np.uint64)
 
     @staticmethod
     def _hashes(chars: np.ndarray) -> np.ndarray:
@@ -58,10 +56,10 @@ class Lattice:
             h[:, i + 1] = h[:, i] * _B + (chars[:, i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         return h
 
-    def edges(self, runs: list[str]) -> tuple[int, list[list[tuple[int, np.ndarray, np.ndarray]]]]:
-        """For runs of one length: its length, and for each end the pieces that end there: (start, rows, piece ids)."""
-        m = len(runs[0])
-        h = self._hashes(np.array(runs).view(np.uint32).reshape(len(runs), m).astype(np.uint64))
+    def edges(self, found: list[str]) -> tuple[int, list[list[tuple[int, np.ndarray, np.ndarray]]]]:
+        """For words of one length: its length, and for each end the pieces that end there: (start, rows, piece ids)."""
+        m = len(found[0])
+        h = self._hashes(np.array(found).view(np.uint32).reshape(len(found), m).astype(np.uint64))
         out = []
         for end in range(1, m + 1):
             here = []
@@ -88,21 +86,57 @@ class Lattice:
     def log_scores(self, found: list[str], p: np.ndarray) -> np.ndarray:
         """Per word and language the log probability, summed over segmentations."""
         out = np.zeros((len(found), p.shape[1]))
-        runs = [(w, i) for i, word in enumerate(found) for w in cut_runs(word)]
-        runs.sort(key=lambda x: len(x[0]))
+        order = sorted(range(len(found)), key=lambda i: len(found[i]))
         lo = 0
-        while lo < len(runs):
-            hi = lo
-            while hi < len(runs) and len(runs[hi][0]) == len(runs[lo][0]) and hi - lo < 20_000:
-                hi += 1
-            part = [w for w, _ in runs[lo:hi]]
-            m, edges = self.edges(part)
-            np.add.at(out, [i for _, i in runs[lo:hi]], np.log(self.forward(m, edges, len(part), p)[m]))
+        while lo < len(order):
+            hi, size = lo + 1, len(found[order[lo]])
+            if size >= SHORT:
+                out[order[lo]] = self._long_sums("▁" + found[order[lo]], np.log(p), False)[0][-1]
+            else:
+                while hi < len(order) and len(found[order[hi]]) == size and hi - lo < 20_000:
+                    hi += 1
+                part = ["▁" + found[i] for i in order[lo:hi]]
+                m, edges = self.edges(part)
+                out[order[lo:hi]] = np.log(self.forward(m, edges, len(part), p)[m])
             lo = hi
         return out
 
+    def _long_sums(self, word: str, log_p: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+        """Logarithms of the forward and, if wanted, backward sums of one word, and for each end the (start, piece) of pieces that end there."""
+        m = len(word)
+        h = self._hashes(np.array([[ord(c) for c in word]], np.uint64))[0]
+        edges: list[list[tuple[int, int]]] = [[] for _ in range(m + 1)]
+        for k, (known, ids) in self.by_length.items():
+            if k <= m:
+                want = h[k:] - h[:-k] * self.power[k]
+                at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+                for start in np.flatnonzero(known[at] == want).tolist():
+                    edges[start + k].append((start, int(ids[at[start]])))
+        unknown = np.log(UNKNOWN)
+        alpha = np.zeros((m + 1, log_p.shape[1]))
+        for end in range(1, m + 1):
+            alpha[end] = alpha[end - 1] + unknown
+            for start, i in edges[end]:
+                alpha[end] = np.logaddexp(alpha[end], alpha[start] + log_p[i])
+        beta = np.full_like(alpha, -np.inf)
+        beta[m] = 0
+        for end in range(m if back else 0, 0, -1):
+            beta[end - 1] = np.logaddexp(beta[end - 1], beta[end] + unknown)
+            for start, i in edges[end]:
+                beta[start] = np.logaddexp(beta[start], beta[end] + log_p[i])
+        return alpha, beta, edges
+
+    def expected_long(self, word: str, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """As `expected`, for one word of any length; weight: by language."""
+        log_p, counts = np.log(p), np.zeros((self.n, p.shape[1]))
+        alpha, beta, edges = self._long_sums(word, log_p, True)
+        for end, here in enumerate(edges):
+            for start, i in here:
+                counts[i] += weight * np.exp(alpha[start] + log_p[i] + beta[end] - alpha[-1])
+        return counts
+
     def expected(self, part: list[str], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected piece counts per language (forward and backward sums) for runs of one length; weight: rows by languages."""
+        """Expected piece counts per language (forward and backward sums) for words of one length; weight: rows by languages."""
         m, edges = self.edges(part)
         alpha = self.forward(m, edges, len(part), p)
         scale = weight / alpha[m]
@@ -120,11 +154,6 @@ class Lattice:
         return counts
 
 
-def cut_runs(word: str) -> list[str]:
-    word = "▁" + word
-    return [word[i : i + RUN] for i in range(0, len(word), RUN)]
-
-
 def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
 
@@ -161,26 +190,30 @@ def train(docs: DataFrame, pieces: Broadcast, *, per_lang: int = 2000, rounds: i
         for b in batches:
             seen: dict[str, Counter] = {}
             for lang, text in zip(b["lang"], b["text"], strict=True):
-                seen.setdefault(lang, Counter()).update(r for w in words(text) for r in cut_runs(w))
-            yield pd.DataFrame([(lang, r, k) for lang, c in seen.items() for r, k in c.items()], columns=["lang", "run", "k"])
+                seen.setdefault(lang, Counter()).update("▁" + w for w in words(text))
+            yield pd.DataFrame([(lang, w, k) for lang, c in seen.items() for w, k in c.items()], columns=["lang", "word", "k"])
 
-    runs = put(sample.mapInPandas(count, "lang string, run string, k long").groupBy("lang", "run").agg(F.sum("k").alias("k")), "lang-runs")
+    counted = put(sample.mapInPandas(count, "lang string, word string, k long").groupBy("lang", "word").agg(F.sum("k").alias("k")), "lang-words")
     p = np.full((size, len(langs)), 1.0 / size)
     for _ in range(rounds):
 
         def step(batches: Iterator[pd.DataFrame], p: np.ndarray = p) -> Iterator[pd.DataFrame]:
             lattice, total = Lattice(pieces.value), np.zeros(p.shape)
             for b in gathered(batches, 100_000):
-                for _, g in b.groupby(b["run"].str.len()):
+                for size, g in b.groupby(b["word"].str.len()):
+                    if size > SHORT:
+                        for lang, word, k in zip(g["lang"], g["word"], g["k"], strict=True):
+                            total += lattice.expected_long(word, (np.arange(p.shape[1]) == langs.index(lang)) * float(k), p)
+                        continue
                     for lo in range(0, len(g), 4000):
                         part = g.iloc[lo : lo + 4000]
                         weight = np.zeros((len(part), p.shape[1]))
                         weight[np.arange(len(part)), [langs.index(x) for x in part["lang"]]] = part["k"]
-                        total += lattice.expected(part["run"].tolist(), weight, p)
+                        total += lattice.expected(part["word"].tolist(), weight, p)
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "k": total[piece, lang]})
 
-        got = runs.mapInPandas(step, "piece int, lang int, k double").groupBy("piece", "lang").agg(F.sum("k").alias("k")).toPandas()
+        got = counted.mapInPandas(step, "piece int, lang int, k double").groupBy("piece", "lang").agg(F.sum("k").alias("k")).toPandas()
         counts = np.zeros(p.shape)
         counts[got["piece"], got["lang"]] = got["k"]
         mean = (counts.sum(1, keepdims=True) + 1.0 / size) / (counts.sum() + 1)
@@ -228,7 +261,8 @@ def identify(docs: DataFrame, vocabulary_path: str | None = None, **how) -> Data
 
     Null text, or text without a letter: `und`, score 0, as for every text if no labelled row can be learned from. Null
     lang: not learned from. A null doc_id counts as an empty text in the hold-out rule. Repeated rows are predicted each.
-    Empty table: empty result. Long texts are scored whole.
+    Empty table: empty result. Texts and words are scored whole, however long. Further columns are ignored, whatever their
+    names.
     """
     if vocabulary_path is None:
         import public_tokenizers

@@ -86,9 +86,46 @@ def test_language_marginal():
     def total(s):
         return sum(known.get(s[:k], langid.UNKNOWN if k == 1 else 0) * total(s[k:]) for k in range(1, len(s) + 1)) if s else 1.0
 
-    got = langid.Lattice(pieces).log_scores(["ab", "aba", "c", "b" * 40], p)[:, 0]
-    want = [math.log(total("▁" + w)) for w in ("ab", "aba", "c")]
-    assert np.allclose(got[:3], want) and np.isfinite(got[3])
+    lattice = langid.Lattice(pieces)
+    found = ["ab", "aba", "c", *("abba" * 20)[:80].split("c"), ("ab" * 40)[: langid.SHORT - 1], ("ab" * 40)[: langid.SHORT], ("abc" * 40)[: langid.SHORT + 1]]
+    sums = {}
+
+    def quick(s):
+        if s not in sums:
+            sums[s] = sum((known.get(s[:k], langid.UNKNOWN if k == 1 else 0)) * quick(s[k:]) for k in range(1, min(len(s), 2) + 1)) if s else 1.0
+        return sums[s]
+
+    got = lattice.log_scores(found, p)[:, 0]
+    assert np.allclose(got[:3], [math.log(total("▁" + w)) for w in found[:3]]) and np.allclose(got, [math.log(quick("▁" + w)) for w in found])
+    assert np.isfinite(lattice.log_scores(["b" * 5000], p)).all()
+
+
+def test_language_expected():
+    """Expected counts of a word, of plain numbers and of logarithms, against the sum over its segmentations."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba"]
+    p = np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.3, 0.2], [0.2, 0.3], [0.1, 0.1]])
+    lattice, word = langid.Lattice(pieces), "▁abbacab"
+
+    def ways(s):
+        if not s:
+            yield ()
+        for k in range(1, len(s) + 1):
+            if s[:k] in pieces or k == 1:
+                yield from ((s[:k], *rest) for rest in ways(s[k:]))
+
+    want, weight = np.zeros(p.shape), np.array([2.0, 0.5])
+    for lang in range(2):
+        each = [(math.prod(p[pieces.index(x), lang] if x in pieces else langid.UNKNOWN for x in w), w) for w in ways(word)]
+        # A character that is a piece can also be taken as unknown.
+        sums = np.zeros(len(pieces))
+        whole = math.exp(lattice._long_sums(word, np.log(p), False)[0][-1][lang])
+        for q, w in each:
+            for x in w:
+                if x in pieces:
+                    sums[pieces.index(x)] += q / whole
+        want[:, lang] = sums * weight[lang]
+    assert np.allclose(lattice.expected_long(word, weight, p), want, atol=1e-5)
+    assert np.allclose(lattice.expected([word], weight[None, :], p), lattice.expected_long(word, weight, p))
 
 
 def test_language_accuracy(spark):
