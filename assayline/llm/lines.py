@@ -95,65 +95,73 @@ def line_runs(words: list[int], least: int) -> list[tuple[int, int]]:
     return sorted({*up_to(words), *((n - b, n - a) for a, b in up_to(words[::-1]))})
 
 
-def deletions(docs: DataFrame, *, line_words: int = 3, block_words: int = 10, rare: int = 1000) -> DataFrame:
-    """(doc_id, gone): numbers of the lines to delete from each document.
-
-    Lines of at least line_words words are compared, trimmed; other lines neither count nor break a block. Each shortest run
-    of compared lines with at least block_words words has a first holder (smallest doc_id), a grouped minimum that is exact
-    for any number of holders: the run goes from all later documents, and so does any longer block, which its runs cover.
-    A run that occurs at most `rare` times also proposes each later document for an alignment with its first holder, so
-    n holders give n - 1 pairs, not n * n. `rare` bounds those alignments only: it doesn't change what is deleted.
+def deletions(docs: DataFrame, *, line_words: int = 3, block_words: int = 10) -> DataFrame:
+    """(doc_id, version, gone): numbers of the lines to delete from each document; version is a hash of its text.
+
+    Lines of at least line_words words are compared, trimmed; other lines neither count nor break a block. A document is a
+    doc_id and a text, so an id that stands for two texts is two documents; they are in order of doc_id, then version. Each
+    shortest run of compared lines with at least block_words words has a first holder, a grouped minimum that is exact for
+    any number of holders. Every later document is aligned with the first holder of each of its runs, so n holders give
+    n - 1 pairs, not n * n, and aligned blocks of at least block_words words go from the later document. What no alignment
+    in order can hold, blocks that moved or repeat, goes by the runs themselves, of which any block is made.
     """
     small_batches(docs.sparkSession)
     line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.regexp_count(x, F.lit(WORD)).alias("words"), F.unhex(F.md5(F.trim(x))).alias("h")))
-    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(line, lambda x: x["words"] >= line_words).alias("lines"))
+    name = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"))
+    texts = docs.filter("doc_id is not null and text is not null").select(name.alias("doc"), F.filter(line, lambda x: x["words"] >= line_words).alias("lines"))
     texts = put(texts.filter(F.size("lines") > 0), "lines-texts")
+    kind = "struct<doc_id: long, version: long>"
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, pos, words, h in zip(b["doc_id"], b["pos"], b["words"], b["h"], strict=True):
+            for key, pos, words, h in zip(b["doc"], b["pos"], b["words"], b["h"], strict=True):
                 for lo, hi in line_runs(words.tolist(), block_words):
                     out.append((key, bytes(h[lo]) if hi == lo + 1 else md5(b"".join(h[lo:hi])).digest(), pos[lo:hi]))
-            yield pd.DataFrame(out, columns=["doc_id", "run", "at"])
-
-    runs = put(texts.select("doc_id", "lines.pos", "lines.words", "lines.h").mapInPandas(find, "doc_id long, run binary, at array<int>"), "lines-runs")
-    shared = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    held = put(runs.join(shared, "run").filter("first < doc_id").drop("run"), "lines-shared")
-    pairs = put(held.filter(F.col("n") <= rare).select("doc_id", "first").distinct(), "lines-pairs")
-    ids = pairs.select("doc_id").union(pairs.select("first")).distinct()
-    # Repeated rows of a doc_id have equal texts; no bound is known for these tables, so they aren't to be broadcast at any size.
-    texts = put(texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("lines").alias("lines")), "lines-aligned")
-    pairs = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("first"), F.col("lines.h").alias("other")), "first")
-    pairs = pairs.hint("merge").join(texts.select("doc_id", "lines.pos", "lines.words", "lines.h"), "doc_id")
+            yield pd.DataFrame(out, columns=["doc", "run", "at"])
+
+    runs = put(texts.select("doc", "lines.pos", "lines.words", "lines.h").mapInPandas(find, f"doc {kind}, run binary, at array<int>"), "lines-runs")
+    shared = runs.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
+    held = put(runs.join(shared, "run").filter("first < doc").drop("run"), "lines-shared")
+    pairs = put(held.select("doc", "first").distinct(), "lines-pairs")
+    ids = pairs.select("doc").union(pairs.select("first")).distinct()
+    # Repeated rows of a document are one; no bound is known for these tables, so they aren't to be broadcast at any size.
+    texts = put(texts.join(ids.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.first("lines").alias("lines")), "lines-aligned")
+    pairs = pairs.hint("merge").join(texts.select(F.col("doc").alias("first"), F.col("lines.h").alias("other")), "first")
+    pairs = pairs.hint("merge").join(texts.select("doc", "lines.pos", "lines.words", "lines.h"), "doc")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, pos, words, own, other in zip(b["doc_id"], b["pos"], b["words"], b["h"], b["other"], strict=True):
+            for key, pos, words, own, other in zip(b["doc"], b["pos"], b["words"], b["h"], b["other"], strict=True):
                 mine = [(i, bytes(h), w) for i, (h, w) in enumerate(zip(own, words, strict=True))]
-                out += [(key, pos[i]) for i in common_blocks(mine, [(i, bytes(h)) for i, h in enumerate(other)], block_words)]
-            yield pd.DataFrame(out, columns=["doc_id", "pos"])
+                gone = common_blocks(mine, [(i, bytes(h)) for i, h in enumerate(other)], block_words)
+                if gone:
+                    out.append((key, [pos[i] for i in gone]))
+            yield pd.DataFrame(out, columns=["doc", "at"])
 
-    aligned = pairs.select("doc_id", "pos", "words", "h", "other").mapInPandas(align, "doc_id long, pos int")
-    exact = held.select("doc_id", F.explode("at").alias("pos"))
-    return aligned.union(exact).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    aligned = pairs.select("doc", "pos", "words", "h", "other").mapInPandas(align, f"doc {kind}, at array<int>")
+    gone = aligned.union(held.select("doc", "at")).select("doc", F.explode("at").alias("pos"))
+    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("gone")).select("doc.doc_id", "doc.version", "gone")
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """docs, with text without its deleted lines, and n_lines, n_deleted, deleted_lines (numbers from 0, comma-joined).
 
     A document whose lines all go keeps an empty text. Null text: stays null, 0 lines. Null doc_id: left as it is. Rows
-    that repeat a doc_id with an equal text are one document, and all its rows are changed alike; doc_id must not stand
-    for two texts. Empty table: empty result. Columns named like the three new ones are replaced.
+    that repeat a doc_id with an equal text are one document, and all its rows are changed alike; those of one doc_id with
+    other texts are documents of their own. Empty table: empty result. Columns named like the three new ones are replaced;
+    all others stay, whatever their names.
     """
-    gone = put(deletions(docs, **how).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone")), "lines-gone")
+    gone = put(deletions(docs, **how).select(F.struct("doc_id", "version").alias("doc"), "gone"), "lines-gone")
     docs = docs.drop("n_lines", "n_deleted", "deleted_lines")
     # No bound is known for this table, so it isn't to be broadcast at any size.
-    rows = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_doc"], "left")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return rows.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_deleted": F.coalesce(F.size("_gone"), F.lit(0)), "deleted_lines": F.coalesce(F.array_join("_gone", ","), F.lit("")), "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)}).drop("_doc", "_gone")
+    rows = docs.select(F.struct(*docs.columns).alias("own"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version")).alias("doc")).join(gone.hint("merge"), "doc", "left")
+    lines = F.split("own.text", "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("own.text")).otherwise(left)
+    new = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_deleted": F.coalesce(F.size("gone"), F.lit(0)), "deleted_lines": F.coalesce(F.array_join("gone", ","), F.lit(""))}
+    return rows.select(*[text.alias(c) if c == "text" else F.col("own")[c].alias(c) for c in docs.columns], *[x.alias(c) for c, x in new.items()])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

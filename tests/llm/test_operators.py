@@ -560,12 +560,11 @@ def test_patience():
     assert lines.patience([1, 2, 3, 4], [0, 1, 2, 9, 4]) == [(0, 1), (1, 2), (3, 4)]
 
 
-@pytest.mark.parametrize("rare", [1000, 2])
-def test_lines(spark, rare):
+def test_lines(spark):
     shared = ["the first shared line of some ten or more words it is", "a second shared line that follows the first one with more words"]
     own = [f"own line {i} of a document with words that no other has {i}" for i in range(9)]
     rows = [(3, "\n".join([own[0], *shared, own[1]])), (1, "\n".join([*shared, own[2]])), (2, "\n".join([own[3], shared[1], own[4]])), (5, "short\nshort two\n" + own[5]), (6, "short\nshort two\n" + own[6]), (7, own[7] + "\n" + own[7]), (None, shared[0]), (8, None), (9, ""), (3, "\n".join([own[0], *shared, own[1]]))]
-    got = {(r["doc_id"], r["deleted_lines"]): r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare).collect()}
+    got = {(r["doc_id"], r["deleted_lines"]): r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(3, "1,2"): "\n".join(own[:2]), (1, ""): rows[1][1], (2, "1"): "\n".join(own[3:5]), (5, ""): rows[3][1], (6, ""): rows[4][1], (7, ""): rows[5][1], (None, ""): shared[0], (8, ""): None, (9, ""): ""}
 
 
@@ -591,19 +590,27 @@ def runs_brute(rows, least=10):
     return {k: ",".join(map(str, sorted(v))) for k, v in gone.items()}
 
 
-@pytest.mark.parametrize("rare", [1000, 2])
-def test_lines_blocks(spark, rare):
-    """Blocks of several short lines: of more holders than `rare`, whose lines have other first holders, in another order, and with blank and short lines between."""
+def test_lines_blocks(spark):
+    """Blocks of several short lines, whose lines have other first holders, in another order, and with blank and short lines between."""
     x, y, z = "six words are in line x", "and six words are in y", "three words z"
     rows = [(1, x), (2, y), (3, f"{x}\n{y}"), (4, f"{x}\n{y}"), (5, f"{x}\n\nno\n{y}\n{z}"), (6, f"own words of six\n{x}\n{y}\n{z}"), (7, f"{y}\n{z}\n{x}\n{y}")]
     rng = random.Random(8)
     pool = [x, y, z, "", "two words", *(" ".join(f"w{i}" for i in range(k, k + 3 + k % 9)) for k in range(12))]
     rows += [(k, "\n".join(rng.choices(pool, k=rng.randint(1, 12)))) for k in range(8, 60)]
-    got = {r["doc_id"]: r["deleted_lines"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare).collect()}
+    got = {r["doc_id"]: r["deleted_lines"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == runs_brute(rows)
     assert (got[3], got[4], got[5], got[6]) == ("", "0,1", "0,3", "1,2,3")
 
 
+def test_lines_two_texts(spark):
+    """An id that stands for two texts is two documents, each with line numbers of its own; columns of any name stay."""
+    line = "a line of some ten or more words that they all share"
+    rows = [(1, line, 7, "x"), (2, f"own words\n{line}", 8, "y"), (2, f"{line}\nother words", 9, "z"), (2, f"{line}\nother words", 9, "z")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, doc int, gone string"))
+    assert got.columns == ["doc_id", "text", "doc", "gone", "n_lines", "n_deleted", "deleted_lines"]
+    assert sorted(map(tuple, got.collect())) == [(1, line, 7, "x", 1, 0, ""), (2, "other words", 9, "z", 2, 1, "0"), (2, "other words", 9, "z", 2, 1, "0"), (2, "own words", 8, "y", 2, 1, "1")]
+
+
 # 9. Jaccard join
 
 
