@@ -107,7 +107,7 @@ def verify(docs: DataFrame, pairs: DataFrame, levels: Broadcast, width: int, per
         for b in batches:
             texts = b["text"].tolist()
             sets = [x.tobytes() for s in slices(texts) for x in ordered_sets(texts[s], width, levels.value)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "members": sets})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": [hashlib.blake2b(x, digest_size=16).digest() for x in sets], "members": sets}).loc[[len(x) > 0 for x in sets]]
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -125,7 +125,7 @@ def verify(docs: DataFrame, pairs: DataFrame, levels: Broadcast, width: int, per
 
     ids = put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "join-ids")
     used = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    sets = put(used.mapInPandas(make, "doc_id long, members binary"), "join-sets").dropDuplicates(["doc_id"])
+    sets = put(used.mapInPandas(make, "doc_id long, digest binary, members binary"), "join-sets").groupBy("doc_id").agg(F.min_by("members", "digest").alias("members"))
     joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a")
     return joined.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
@@ -145,14 +145,21 @@ def similar(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bits
     lost, and members of one component need no further pairs.
 
     Null or empty text, or text without words: n_shingles 0, its own component. Null doc_id: component_id null, no part
-    in links. Rows that repeat a doc_id with an equal text are one document; doc_id must not stand for two texts. Empty
-    table: empty result. Further columns are ignored.
+    in links. Rows that repeat a doc_id are one document; if their texts differ, the one whose set has
+    the smallest digest stands for it. Empty table: empty result. Further columns are
+    ignored, whatever their names. Shingles are known by 56 bits of a hash, so that links rest on these.
     """
     spark = docs.sparkSession
     small_batches(spark)
     levels = spark.sparkContext.broadcast(frequency_classes(docs, width, bits))
     sig = put(signatures(docs, levels, width, percent), "join-signatures")
-    classes = sig.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    named = sig.filter("n > 0 and doc_id is not null")
+    twice = put(named.groupBy("doc_id").agg(F.min("digest").alias("only"), F.max("digest").alias("other")).filter("only <> other").select(F.col("doc_id").alias("twice"), "only"), "join-twice")
+    if not twice.isEmpty():
+        sig = sig.join(twice, F.col("doc_id") == F.col("twice"), "left")
+        named = sig.filter("n > 0 and doc_id is not null and (only is null or only = digest)")
+        sig = sig.withColumn("digest", F.coalesce("only", "digest"))
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     index = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "tok"))
     # Most shingles are in one set only. Counts alone are shuffled to find the others; pivots are for what is left.
     groups = index.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")

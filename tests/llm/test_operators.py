@@ -683,6 +683,14 @@ def test_similar_odd(odd, none):
     assert jaccard.similar(none).count() == 0
 
 
+def test_similar_two_texts(spark):
+    """Rows of one id are one document, whatever the order of rows: one of its texts stands for it."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (2, b), (3, a), (3, b), (4, "c d e f g"), (5, "")]
+    got = {tuple(sorted(map(tuple, jaccard.similar(spark.createDataFrame(x, "doc_id long, text string")).collect()))) for x in (rows, rows[::-1])}
+    assert len(got) == 1 and {(k, c) for k, _, c in got.pop()} in ({(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)}, {(1, 1), (2, 2), (3, 2), (4, 4), (5, 5)})
+
+
 # 10. Quality
 
 
