@@ -16,12 +16,6 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.lit(0.5) + F.lit(1.5) * F.avg("quality")).alias("weight"))
 
 
-def shape_weight() -> Column:
-    """A document's weight from its own shape: 2 if its mean length of a word, white space included, is that of prose (3 to 15 characters), else 0.5."""
-    mean = F.length("text") / F.nullif(F.col("size"), F.lit(0))
-    return F.when(mean.between(3, 15), 2.0).otherwise(0.5)
-
-
 def word_count() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 

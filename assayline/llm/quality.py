@@ -1,4 +1,4 @@
-"""Quality classification by hierarchical empirical Bayes: a document's own evidence, and posteriors of its host and path."""
+"""Quality classification by hierarchical empirical Bayes: a document's own evidence, and posteriors of its site, level by level (host, path, deeper path)."""
 
 from __future__ import annotations
 
@@ -46,7 +46,7 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(sites: DataFrame, k: str, n: str) -> Column:
+def _strength(k: str, n: str) -> Column:
     """Prior strength by moments: how many documents a prior weighs, from the spread of site rates beyond chance."""
     mean = F.sum(k) / F.sum(n)
     spread = F.sum(F.col(n) * (F.col(k) / F.col(n)) * (F.col(k) / F.col(n))) / F.sum(n) - mean * mean
@@ -55,10 +55,10 @@ def _strength(sites: DataFrame, k: str, n: str) -> Column:
 
 
 class SiteModel:
-    """Coefficients of the document classifier, and the table of site posteriors' parts."""
+    """Coefficients of the document classifier; for each site its labelled counts on all levels; prior strengths of the levels; the global rate."""
 
-    def __init__(self, weights: list[float], intercept: float, sites: DataFrame, rate: float) -> None:
-        self.weights, self.intercept, self.sites, self.rate = weights, intercept, sites, rate
+    def __init__(self, weights: list[float], intercept: float, levels: tuple[str, ...], sites: DataFrame, strengths: list[float], rate: float) -> None:
+        self.weights, self.intercept, self.levels, self.sites, self.strengths, self.rate = weights, intercept, levels, sites, strengths, rate
 
     def evidence(self, feats: str) -> Column:
         total = F.lit(self.intercept)
@@ -71,12 +71,19 @@ def _site(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(name).cast("string")), F.lit(""))
 
 
-def fit(rows: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", sample: int = 20_000) -> SiteModel:
-    """Fit on rows (doc_id, host, path, f).
+def url_levels(url: Column) -> list[Column]:
+    """host, segment and rest of a URL, as levels of sites for tables that have one; null where there is none."""
+    part = lambda i: F.nullif(F.regexp_extract(url, r"^\w+://(?:[^/@?#]*@)?([^/:?#]+)(?::[0-9]+)?(?:/([^/?#]*))?(?:/([^?#]*))?", i), F.lit(""))
+    return [F.lower(part(1)).alias("host"), part(2).alias("segment"), part(3).alias("rest")]
+
+
+def fit(rows: DataFrame, labels: DataFrame, *, levels: tuple[str, ...] = ("source", "lang"), sample: int = 20_000) -> SiteModel:
+    """Fit on rows (doc_id, levels, f).
 
     The document classifier is a logistic regression on at most about `sample` labelled documents, chosen by a hash of
-    doc_id. Its probabilities for all documents are then summed by host and by path below a host; each level's rate is
-    shrunk toward the level above by a strength estimated from all sites of that level.
+    doc_id. Sites are counted over all labelled documents: how many there are, and how many good ones, for each site of
+    each level, by one grouped aggregation whose result the levels above sum up. Each level's prior strength is estimated
+    from the spread of all its sites' rates.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     n = marks.count()
@@ -88,43 +95,51 @@ def fit(rows: DataFrame, labels: DataFrame, *, host: str = "source", path: str =
     else:
         model = LogisticRegression(regParam=1e-3, maxIter=100).fit(known)
         weights, intercept = model.coefficients.toArray().tolist(), float(model.intercept)
-    scored = rows.select(_site(host).alias("host"), _site(path).alias("path"), (1 / (1 + F.exp(-SiteModel(weights, intercept, rows, 0.0).evidence("f")))).alias("p"))
-    paths = put(scored.groupBy("host", "path").agg(F.sum("p").alias("k"), F.count("*").alias("n")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("k").alias("hk"), F.sum("n").alias("hn"))
-    top = hosts.agg((F.sum("hk") / F.sum("hn")).alias("rate"), _strength(hosts, "hk", "hn").alias("s")).first()
-    rate, s_host = (0.5, 1.0) if top["rate"] is None else (top["rate"], top["s"])
-    s_path = paths.agg(_strength(paths, "k", "n").alias("s")).first()["s"] or 1.0
-    sites = put(paths.join(hosts, "host").withColumns({"s_host": F.lit(float(s_host)), "s_path": F.lit(float(s_path))}), "quality-sites")
-    return SiteModel(weights, intercept, sites, float(rate))
-
-
-def judge(rows: DataFrame, model: SiteModel, *, host: str = "source", path: str = "lang") -> DataFrame:
-    """rows (with f) and p_doc, p_host, p_path, p_good: log odds of the document plus those of its path against the global rate.
-
-    A document's own probability is left out of its sites' sums, so that it doesn't count twice.
+    keys = [f"l{i}" for i in range(len(levels))]
+    named = rows.select("doc_id", *[_site(c).alias(k) for c, k in zip(levels, keys, strict=True)])
+    counts = named.join(marks, "doc_id", "left").groupBy(*keys).agg(F.coalesce(F.sum("label"), F.lit(0.0)).alias("k"), F.count("label").alias("n"))
+    sites = counts = put(counts, "quality-counts")
+    strengths = []
+    for i in range(len(levels)):
+        level = counts.groupBy(*keys[: i + 1]).agg(F.sum("k").alias(f"k{i}"), F.sum("n").alias(f"n{i}"))
+        strengths.append(float(level.filter(f"n{i} > 0").agg(_strength(f"k{i}", f"n{i}").alias("s")).first()["s"] or 1.0))
+        sites = sites.join(level, keys[: i + 1])
+    whole = counts.agg(F.sum("k") / F.nullif(F.sum("n"), F.lit(0))).first()[0]
+    return SiteModel(weights, intercept, levels, put(sites.drop("k", "n"), "quality-sites"), strengths, 0.5 if whole is None else float(whole))
+
+
+def judge(rows: DataFrame, model: SiteModel) -> DataFrame:
+    """rows (with levels and f) and p_doc, p_host, p_path, p_good.
+
+    A level's posterior is (good + strength * posterior above) / (labelled + strength), from the global rate down, so sparse
+    sites stay near the level above; p_host is the first level's, p_path the last one's. p_good adds the log odds of p_path
+    against the global rate to those of the document's own evidence.
     """
-    rows = rows.withColumns({"_e": model.evidence("f"), "_host": _site(host), "_path": _site(path)})
-    sites = model.sites.select(*[F.col(c).alias(f"_s_{c}") for c in model.sites.columns])
-    rows = rows.join(sites, (F.col("_host") == F.col("_s_host")) & (F.col("_path") == F.col("_s_path")), "left")
-    own = 1 / (1 + F.exp(-F.col("_e")))
-    rate = F.lit(model.rate)
-    p_host = (F.coalesce(F.col("_s_hk"), F.lit(0.0)) - own + F.col("_s_s_host") * rate) / (F.col("_s_hn") - 1 + F.col("_s_s_host"))
-    p_path = (F.col("_s_k") - own + F.col("_s_s_path") * p_host) / (F.col("_s_n") - 1 + F.col("_s_s_path"))
-    rows = rows.withColumns({"p_doc": own, "p_host": F.coalesce(p_host, rate), "p_path": F.coalesce(p_path, p_host, rate)})
+    keys = [f"l{i}" for i in range(len(model.levels))]
+    rows = rows.withColumns({"_e": model.evidence("f"), "_site": F.struct(*[_site(c).alias(k) for c, k in zip(model.levels, keys, strict=True)])})
+    sites = model.sites.select(F.struct(*keys).alias("_site"), F.struct(*[c for c in model.sites.columns if c not in keys]).alias("_n"))
+    rows = rows.join(sites, "_site", "left")
+    rate = p = F.lit(model.rate)
+    posteriors = []
+    for i, s in enumerate(model.strengths):
+        p = (F.coalesce(F.col("_n")[f"k{i}"], F.lit(0.0)) + F.lit(s) * p) / (F.coalesce(F.col("_n")[f"n{i}"], F.lit(0)) + F.lit(s))
+        posteriors.append(p)
+    rows = rows.withColumns({"p_doc": 1 / (1 + F.exp(-F.col("_e"))), "p_host": posteriors[0], "p_path": posteriors[-1]})
     rows = rows.withColumn("p_good", 1 / (1 + F.exp(-(F.col("_e") + _logit(F.col("p_path")) - _logit(rate)))))
-    return rows.drop("_e", "_host", "_path", *sites.columns)
+    return rows.drop("_e", "_site", "_n")
 
 
-def evidence_table(docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), host, path, features(F.col("text")).alias("f"))
+def evidence_table(docs: DataFrame, levels: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *levels, features(F.col("text")).alias("f"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, p_doc, p_host, p_path, p_good, keep for each document.
 
-    Host is `source`, path is `lang` below it. Null host or path: a site of its own. Null text counts as empty. No usable
+    The table has no URLs: the first level of sites is `source`, the second `lang` below it. Null levels: a site of their
+    own. Null text counts as empty. No usable
     labels, or one class: every document gets that class's side. Null doc_id: judged, not learned from. Repeated rows are
-    judged each; labels of one doc_id combine to the best. Empty tables: empty result.
+    judged each; labels of one doc_id combine to the best. Empty tables: empty result. Further columns are ignored.
     """
     small_batches(spark)
     rows = put(evidence_table(table(spark, sf_dir, "documents")), "quality-features")

@@ -47,7 +47,8 @@ def test_stages(spark, tmp_path):
         elif name == "ngram_jaccard_join":
             assert sorted(k for k, _ in new) == [k for k, _, root in similar_brute(old, 5, 80) if k == root]
         else:
-            want = {r["doc_id"]: r["copies"] for r in mixing.mix(before, weight=mixing.shape_weight()).collect()}
+            weights = mixing.quality_weights(common.table(spark, sf, "labels"))
+            want = {r["doc_id"]: r["copies"] for r in mixing.mix(before, weights).collect()}
             assert Counter(k for k, _ in new) == {k: n for k, n in want.items() if n} and max(want.values()) <= 2
     assert seen == [n for n, _ in pipeline.STAGES] and pipeline.ORACLE_SQL is None
 
@@ -68,6 +69,15 @@ def test_odd_rows(spark, tmp_path):
             assert i == 0 or after.count() == 0
 
 
+def test_quality_stage_keeps_columns(spark, tmp_path):
+    """Columns named like those used inside come out as they went in."""
+    docs = spark.createDataFrame(awkward(), SCHEMA)
+    sf = copy_tables(spark, docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"), tmp_path)
+    docs = common.table(spark, sf, "documents")
+    got = pipeline.quality_classifier(spark, docs, sf)
+    assert got.schema == docs.schema and sorted(map(repr, got.collect())) == sorted(map(repr, docs.collect()))
+
+
 def test_quality_stage_is_the_query(spark, sf):
     docs = common.table(spark, sf, "documents")
     kept = {r["doc_id"] for r in pipeline.quality_classifier(spark, docs, sf).collect()}
