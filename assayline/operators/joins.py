@@ -27,16 +27,56 @@ def merge_rate(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.coalesce(*cols).isNotNull(), 1.0).otherwise(0.0)), 4).alias("merge_rate"))
 
 
-def tanimoto_max(train: DataFrame, test: DataFrame, bits: str = "bits") -> DataFrame:
+def tanimoto_max(train: DataFrame, test: DataFrame, bits: str = "bits", block: int = 8192) -> DataFrame:
     """(record_id, max_sim) of each test row: its largest |A and B| / |A or B| with a train row; 0 if no bit is shared.
 
-    Rows meet on the bits they share, so rows that share none are never paired.
+    Both sides are cut into blocks by a hash, equal sets of train rows being one, and one number per test row leaves each
+    pair of blocks. Within a pair bits are packed, and as sizes bound the similarity, a test row looks at the train rows of
+    sizes near its own first and then only at those that could still be better.
     """
-    a = test.select(F.col("record_id").alias("t"), F.size(bits).alias("na"), F.explode(bits).alias("bit"))
-    b = train.select(F.col("record_id").alias("r"), F.size(bits).alias("nb"), F.explode(bits).alias("bit"))
-    both = a.join(b, "bit").groupBy("t", "r", "na", "nb").agg(F.count("*").alias("k"))
-    best = both.groupBy("t").agg(F.max(F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("s"))
-    return test.select("record_id").join(best, F.col("record_id") == F.col("t"), "left").select("record_id", F.coalesce("s", F.lit(0.0)).alias("max_sim"))
+    spark = train.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = train.filter(F.size(bits) > 0).select(F.array_sort(bits).alias("_bits")).distinct()
+    mine = test.filter(F.size(bits) > 0).select(F.col("record_id").alias("_id"), F.col(bits).alias("_bits"))
+    n_test = mine.count()
+    m, n = max(1 + n_test // block, min(tasks, 1 + n_test // 256)), 1 + sets.count() // block
+    a = mine.select("_id", "_bits", F.pmod(F.xxhash64("_id", "_bits"), F.lit(m)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    b = sets.select("_bits", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.pmod(F.xxhash64("_bits"), F.lit(n)).cast("int").alias("j"))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame([], columns=["_id", "s"]).astype({"_id": "int64", "s": float})
+        words = 1 + max(int(max(map(max, x["_bits"]))), int(max(map(max, y["_bits"])))) // 64
+        y = y.iloc[np.argsort(y["_bits"].str.len().to_numpy(), kind="stable")]
+        packed, sizes = _packed(y["_bits"], words), y["_bits"].str.len().to_numpy()
+        out = []
+        for own, one in zip(_packed(x["_bits"], words), x["_bits"].str.len(), strict=True):
+            def top(lo: int, hi: int, own: np.ndarray = own, one: int = one) -> float:
+                if lo >= hi:
+                    return 0.0
+                k = np.bitwise_count(packed[lo:hi] & own).sum(1, dtype=np.int64)
+                return float((k / (one + sizes[lo:hi] - k)).max())
+
+            at = int(np.searchsorted(sizes, one))
+            lo, hi = max(0, at - 64), min(len(sizes), at + 64)
+            s = top(lo, hi)
+            # A set of size n has at most min(n, one) / max(n, one) in common; a little slack for rounding.
+            first = 0 if s == 0 else int(np.searchsorted(sizes, one * s * (1 - 1e-9), "left"))
+            past = len(sizes) if s == 0 else int(np.searchsorted(sizes, one / s * (1 + 1e-9), "right"))
+            out.append(max(s, top(first, lo), top(hi, past)))
+        return pd.DataFrame({"_id": x["_id"], "s": out})
+
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(best, "_id long, s double").groupBy("_id").agg(F.max("s").alias("s"))
+    return test.select("record_id").join(found, F.col("record_id") == F.col("_id"), "left").select("record_id", F.coalesce("s", F.lit(0.0)).alias("max_sim"))
+
+
+def _packed(bits: pd.Series, words: int) -> np.ndarray:
+    """Rows of 64-bit words with the given bits set."""
+    out = np.zeros((len(bits), words), np.uint64)
+    for i, x in enumerate(bits):
+        x = np.asarray(x, np.uint64)
+        np.bitwise_or.at(out[i], (x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+    return out
 
 
 def squared_distance(x: Column, y: Column) -> Column:

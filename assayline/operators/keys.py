@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayline.functions.columns import largest_fragment, n_fragments, normalize_key, tokens, vocab_hits
@@ -61,10 +60,6 @@ def scenario_sizes(scenarios: DataFrame) -> DataFrame:
     return scenarios.groupBy("scenario").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"))
 
 
-def _of_key(name: str, agg: Column) -> Column:
-    return agg.over(W.partitionBy(name))
-
-
 def preprocessing_views(df: DataFrame, key: str = "key") -> DataFrame:
     """Raw, canonical and standardized keys, whether each is valid, repeated, and in conflict. Null keys are never either."""
     df = df.withColumns({"raw_key": F.col(key), "raw_valid": F.col(key).isNotNull(), "canonical_key": normalize_key(key)})
@@ -83,7 +78,7 @@ def training_view(views: DataFrame, version: str, *, drop_invalid: bool = True,
     if drop_invalid:
         df = df.filter(f"{version}_valid")
     if drop_duplicates:
-        df = df.withColumn("_n", F.row_number().over(W.partitionBy(k).orderBy("record_id"))).filter("_n = 1")
+        df = df.groupBy(F.struct(k).alias("_k")).agg(F.min_by(F.struct(*df.columns), "record_id").alias("_first")).select("_first.*")
     if drop_conflicts:
         df = df.filter(~F.col(f"{version}_label_conflict"))
     return df.select("record_id", F.col(k).alias("key"), "label").na.drop(subset=["key", "label"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayline.functions.columns import ratio
@@ -114,7 +113,3 @@ def dataset_overlap(df: DataFrame, name: str = "endpoint", key: str = "key") ->
 def concat_tables(frames: dict[str, DataFrame], tag: str = "source_table") -> DataFrame:
     """Tables one below the other, missing columns null, each row tagged with its table's name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn(tag, F.lit(n)) for n, f in frames.items()])
-
-
-def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -89,13 +89,13 @@ def cv_mcc(df: DataFrame, model: str, fold: str = "fold", k: int = 5, **params)
     return classification_metrics(scored.withColumn("pred", (F.col("proba") >= 0.5).cast("int")), [fold])
 
 
-def random_search(df: DataFrame, model: str, n_iter: int = 4, k: int = 3, most_svm: int = 5000, seed: int = 42) -> tuple[DataFrame, dict]:
-    """Scores of some of the grid's combinations, drawn by hash, and the best of them. svm over many rows is skipped."""
+def random_search(df: DataFrame, model: str, n_iter: int = 4, k: int = 3, most_svm: int | None = None, seed: int = 42) -> tuple[DataFrame, dict]:
+    """Scores of some of the grid's combinations, drawn by hash, and the best of them. most_svm, if given, is the number of rows above which svm runs with its first setting alone."""
     spark = df.sparkSession
     grid = [{}]
     for name, values in GRIDS.get(model, {}).items():
         grid = [g | {name: v} for g in grid for v in values]
-    if model == "svm" and df.count() > most_svm:
+    if model == "svm" and most_svm is not None and df.count() > most_svm:
         grid = grid[:1]
     chosen = spark.createDataFrame([(i,) for i in range(len(grid))], "i int").orderBy(draw(seed, "i"), "i").limit(n_iter).collect()
     rows = []

@@ -57,9 +57,13 @@ def pairwise_models(rows: DataFrame, by: str, model: str, metric: str) -> DataFr
 
 
 def grid_summary(rows: DataFrame, by: str, across: list[str], metric: str) -> DataFrame:
-    """(by, axis, level, mean, sd, n) over a grid, for each axis in one pass."""
+    """(by, axis, level, mean, sd, n) over a grid, for each axis in one pass. The metric counts in ten-thousandths, so sums are exact, and halves round up."""
     long = rows.select(by, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("level")) for a in across])).alias("x"), metric)
-    return long.groupBy(by, "x.axis", "x.level").agg(F.round(F.avg(metric), 4).alias("mean"), F.round(F.stddev_samp(metric), 4).alias("sd"), F.count("*").alias("n"))
+    m = F.round(F.col(metric) * 10000).cast("long")
+    sums = long.groupBy(by, "x.axis", "x.level").agg(F.sum(m).alias("s"), F.sum(m * m).alias("q"), F.count("*").alias("n"))
+    half_up = lambda x: F.floor(x + F.lit(0.5)) / F.lit(10000.0)
+    spread = (F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("double") / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0)).cast("double")
+    return sums.select(by, "axis", "level", half_up(F.col("s").cast("double") / F.col("n").cast("double")).alias("mean"), F.when(F.col("n") > 1, half_up(F.sqrt(spread))).alias("sd"), "n")
 
 
 def scenario_deltas(rows: DataFrame, by: list[str], metric: str, base: str = "raw_all", scenario: str = "scenario") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assayline.functions.columns import draw
 from assayline.operators.features import standardize
 from assayline.operators.joins import knn, squared_distance
+from assayline.operators.ranks import nth_by_draw
 
 
 def class_weight(df: DataFrame, by: str) -> DataFrame:
@@ -24,8 +25,7 @@ def class_weight(df: DataFrame, by: str) -> DataFrame:
 def random_undersample(df: DataFrame, by: list[str], seed: int = 42) -> DataFrame:
     """As many rows of each class as the smaller one has, by a hash of record_id."""
     n = df.groupBy(*by, "label").agg(F.count("*").alias("_k")).groupBy(*by).agg(F.min("_k").alias("_least"))
-    nth = F.row_number().over(W.partitionBy(*by, "label").orderBy(draw(seed, "record_id"), "record_id"))
-    return df.withColumn("_nth", nth).join(n, by).filter("_nth <= _least").drop("_nth", "_least")
+    return nth_by_draw(df, [*by, "label"], draw(seed, "record_id"), ["record_id"], "_nth").join(n, by).filter("_nth <= _least").drop("_nth", "_least")
 
 
 def near_miss(df: DataFrame, m: int = 3, k: int = 3) -> DataFrame:
@@ -33,8 +33,7 @@ def near_miss(df: DataFrame, m: int = 3, k: int = 3) -> DataFrame:
     pos, neg = df.filter("label = 1"), df.filter("label = 0")
     near = neg.join(knn(pos, neg, m).select(F.col("neighbour").alias("record_id")).distinct(), "record_id", "left_semi")
     far = knn(near, pos, k).groupBy("record_id").agg(F.avg("dist").alias("far"))
-    ranked = far.withColumn("r", F.row_number().over(W.orderBy(F.desc("far"), "record_id")))
-    keep = ranked.join(pos.agg(F.count("*").alias("n")), F.col("r") <= F.col("n")).select("record_id")
+    keep = far.orderBy(F.desc("far"), "record_id").limit(pos.count()).select("record_id")
     return pos.unionByName(neg.join(keep, "record_id", "left_semi"))
 
 
@@ -44,8 +43,7 @@ def smote_tomek(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     near = knn(pos, pos, k).select(F.col("record_id").alias("i"), F.col("neighbour").alias("j"))
     n = df.agg((F.count_if(F.col("label") == 0) - F.count_if(F.col("label") == 1)).alias("missing"), F.count_if(F.col("label") == 1).alias("p"))
     rounds = near.crossJoin(F.broadcast(n)).withColumn("times", F.ceil(F.col("missing") / F.greatest(F.col("p") * k, F.lit(1)))).filter("times > 0").withColumn("t", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    nth = F.row_number().over(W.orderBy(draw(seed, "i", "j", "t"), "i", "j", "t"))
-    made = rounds.withColumn("nth", nth).filter("nth <= missing").select("i", "j", "nth", (draw(seed, "nth") / F.lit(4294967296.0)).alias("u"))
+    made = nth_by_draw(rounds, [], draw(seed, "i", "j", "t"), ["i", "j", "t"]).filter("nth <= missing").select("i", "j", "nth", (draw(seed, "nth") / F.lit(4294967296.0)).alias("u"))
     v = pos.select("record_id", "v")
     made = made.join(v.select(F.col("record_id").alias("i"), F.col("v").alias("vi")), "i").join(v.select(F.col("record_id").alias("j"), F.col("v").alias("vj")), "j")
     made = made.select((-F.col("nth")).cast("long").alias("record_id"), F.zip_with("vi", "vj", lambda a, b: a + F.col("u") * (b - a)).alias("v"), F.lit(1).alias("label"))
@@ -79,7 +77,7 @@ def profile_quotas(df: DataFrame, n: int, profile: str = "profile") -> DataFrame
 
 def profile_stratified_sample(df: DataFrame, n: int, profile: str = "profile", seed: int = 42) -> DataFrame:
     """Negatives whose profiles are distributed as those of positives."""
-    neg = df.filter("label = 0").withColumn("_r", F.row_number().over(W.partitionBy(profile).orderBy(draw(seed, "record_id"), "record_id")))
+    neg = nth_by_draw(df.filter("label = 0"), [profile], draw(seed, "record_id"), ["record_id"], "_r")
     return neg.join(profile_quotas(df, n, profile), profile).filter(F.col("_r") <= F.col("quota")).drop("_r", "quota")
 
 

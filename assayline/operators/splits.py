@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayline.functions.columns import draw
+from assayline.operators.ranks import nth_by_draw
 
 
 def assign_groups(df: DataFrame, key: str = "key", sep: str = "|") -> DataFrame:
@@ -30,8 +31,7 @@ def group_split(df: DataFrame, group: str = "grp", ratio: float = 0.8, seed: int
     start = F.struct(F.col("room").alias("room"), F.array().cast("array<struct<size: bigint, take: bigint>>").alias("out"))
     step = lambda s, x: F.struct((s["room"] - F.least(x["k"], F.floor(s["room"] / x["size"])) * x["size"]).alias("room"), F.concat(s["out"], F.array(F.struct(x["size"].alias("size"), F.least(x["k"], F.floor(s["room"] / x["size"])).alias("take")))).alias("out"))
     takes = folded.select(F.explode(F.aggregate("sizes", start, step)["out"]).alias("t")).select("t.size", "t.take")
-    nth = F.row_number().over(W.partitionBy("size").orderBy(draw(seed, group), group))
-    placed = groups.withColumn("nth", nth).join(takes, "size").select(F.col(group).alias("_g"), F.when(F.col("nth") <= F.col("take"), "train").otherwise("test").alias("split"))
+    placed = nth_by_draw(groups, ["size"], draw(seed, group), [group]).join(takes, "size").select(F.col(group).alias("_g"), F.when(F.col("nth") <= F.col("take"), "train").otherwise("test").alias("split"))
     return df.join(placed, df[group].eqNullSafe(placed["_g"])).drop("_g")
 
 
@@ -50,8 +50,8 @@ def leakage_check(df: DataFrame, name: str, side: str = "split") -> DataFrame:
 def repeated_group_folds(groups: DataFrame, group: str = "grp", k: int = 5, r: int = 5, seed: int = 42) -> DataFrame:
     """(rep, group, fold): in each repetition the distinct groups in a new order, dealt in turn."""
     g = groups.select(group).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(r - 1))))
-    nth = F.row_number().over(W.partitionBy("rep").orderBy(draw(seed, "rep", group), group))
-    return g.select("rep", group, F.pmod(nth - 1, F.lit(k)).alias("fold"))
+    g = nth_by_draw(g, ["rep"], draw(seed, "rep", group), [group])
+    return g.select("rep", group, F.pmod(F.col("nth") - 1, F.lit(k)).cast("int").alias("fold"))
 
 
 def fold_uniqueness(folds: DataFrame, group: str = "grp", first: int = 10) -> DataFrame:
@@ -61,25 +61,44 @@ def fold_uniqueness(folds: DataFrame, group: str = "grp", first: int = 10) -> Da
     return per.agg(F.count_distinct("a").alias("n_unique_folds"), F.count("*").alias("n_reps"))
 
 
-def group_kfold(df: DataFrame, k: int = 5, group: str = "grp") -> DataFrame:
-    """(group, size, fold): the largest group left goes to the lightest fold. Groups, not rows, pass through the fold; k is at most their number."""
-    groups = df.groupBy(group).agg(F.count("*").alias("size"))
-    listed = groups.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), F.col(group).alias("g")))).alias("gs"))
-    listed = listed.withColumn("k", F.least(F.lit(k), F.size("gs")))
-    start = F.struct(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(F.lit(0).cast("long").alias("load"), i.alias("fold"))).alias("loads"), F.array().cast("array<int>").alias("out"))
+def _lightest(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of n groups of one size each fold gets, if each goes to the lightest fold, ties to the first: those with the n smallest loads before them."""
+    upto = lambda top: [max(0, (top - x) // size + 1) for x in loads]
+    lo, hi = min(loads) - 1, max(loads) + size * n
+    while lo + 1 < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if sum(upto(mid)) >= n else (mid, hi)
+    take, at_top = upto(lo), upto(hi)
+    left = n - sum(take)
+    for i in range(len(loads)):
+        if left and at_top[i] > take[i]:
+            take[i], left = take[i] + 1, left - 1
+    return take
+
 
-    def step(s: Column, x: Column) -> Column:
-        low = F.array_min(s["loads"])
-        return F.struct(F.transform(s["loads"], lambda f: F.struct((f["load"] - F.when(f["fold"] == low["fold"], x["neg"]).otherwise(F.lit(0))).alias("load"), f["fold"].alias("fold"))).alias("loads"), F.concat(s["out"], F.array(low["fold"])).alias("out"))
+def group_kfold(df: DataFrame, k: int = 5, group: str = "grp", seed: int = 42) -> DataFrame:
+    """(group, size, fold): the largest group left goes to the lightest fold; k is at most the number of groups.
 
-    done = listed.select("gs", F.aggregate("gs", start, step)["out"].alias("folds"))
-    rows = done.select(F.explode(F.arrays_zip("gs", "folds")).alias("z"))
-    return rows.select(F.col("z.gs.g").alias(group), (-F.col("z.gs.neg")).alias("size"), F.col("z.folds").alias("fold"))
+    Groups of one size are alike, so only how many of each size a fold gets is worked out one after the other, over the
+    distinct sizes, which the driver holds; within a size a hash says which.
+    """
+    groups = df.groupBy(group).agg(F.count("*").alias("size"))
+    sizes = groups.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()
+    folds = min(k, sum(r["n"] for r in sizes))
+    loads, rows = [0] * folds, []
+    for r in sizes:
+        take, bounds = _lightest(loads, r["size"], r["n"]), [0]
+        for i, t in enumerate(take):
+            loads[i] += t * r["size"]
+            bounds.append(bounds[-1] + t)
+        rows.append((r["size"], bounds[1:-1]))
+    plan = df.sparkSession.createDataFrame(rows, "size long, bounds array<long>")
+    placed = nth_by_draw(groups, ["size"], draw(seed, group), [group]).join(plan, "size")
+    return placed.select(group, "size", F.size(F.filter("bounds", lambda b: b < F.col("nth"))).alias("fold"))
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label: str = "label", row: str = "record_id") -> DataFrame:
-    nth = F.row_number().over(W.partitionBy(label).orderBy(draw(seed, row), row))
-    return df.withColumn("fold", F.pmod(nth - 1, F.lit(k)))
+    return nth_by_draw(df, [label], draw(seed, row), [row], "_nth").withColumn("fold", F.pmod(F.col("_nth") - 1, F.lit(k)).cast("int")).drop("_nth")
 
 
 def leave_source_out(df: DataFrame, source: str = "domain", least: int = 10) -> DataFrame:
@@ -95,6 +114,7 @@ def leave_source_out(df: DataFrame, source: str = "domain", least: int = 10) ->
 def learning_fractions(df: DataFrame, fractions: tuple[float, ...] = (0.1, 0.2, 0.3, 0.5, 0.7, 1.0), fold: str = "fold", seed: int = 42, least: int = 10) -> DataFrame:
     """(fold, fraction, record_id): for each fold and fraction an own draw from its training rows, `least` rows at the least."""
     rows = df.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
-    w = W.partitionBy(fold, "fraction")
-    rows = rows.withColumns({"nth": F.row_number().over(w.orderBy(draw(seed, F.col("fraction").cast("string"), "record_id"), "record_id")), "n": F.count("*").over(w)})
+    rows = nth_by_draw(rows, [fold, "fraction"], draw(seed, F.col("fraction").cast("string"), "record_id"), ["record_id"])
+    n = df.groupBy(F.struct(F.col(fold)).alias("_of")).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("_of", F.struct(F.col(fold))).join(n, "_of").drop("_of")
     return rows.filter(F.col("nth") <= F.greatest(F.floor(F.col("n") * F.col("fraction")), F.lit(least))).drop("nth", "n")

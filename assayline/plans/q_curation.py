@@ -43,6 +43,17 @@ def a1(spark, sf):
     return tb.load_records(spark, path, c.schema)
 
 
+@query("a5_write_table", "select o_orderkey as record_id, o_orderstatus as key, o_orderpriority as domain, o_totalprice as price from orders")
+def a5(spark, sf):
+    """CSV with a folder for each domain, read back."""
+    from assayline.plans.shared import scratch
+
+    o = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("key"), F.col("o_orderpriority").alias("domain"), F.col("o_totalprice").alias("price"))
+    path = scratch(spark, "parts")
+    tb.write_table(o, path, "csv", ["domain"])
+    return spark.read.schema(o.schema).option("header", True).csv(path).select(o.columns)
+
+
 @query("a6_write_json", "select s_suppkey as record_id, s_name as key, s_acctbal as price from supplier")
 def a6(spark, sf):
     from assayline.plans.shared import scratch

@@ -289,7 +289,7 @@ def l10(spark, sf):
     return report.hyperparam_landscape(fx.table(spark, sf, "lineitem").withColumnRenamed("l_linenumber", "depth"), "depth", "l_returnflag", ["A", "N", "R"], "l_discount")
 
 
-@query("l11_grid_summary", f"with r as ({ROWS_SQL}), l as (select endpoint, unnest([{{'a': 'model', 'l': model}}, {{'a': 'scenario', 'l': scenario}}]) as x, mcc from r) select endpoint, x.a as axis, x.l as level, round(avg(mcc), 4) as mean, round(stddev_samp(mcc), 4) as sd, count(*) as n from l group by all")
+@query("l11_grid_summary", f"with r as ({ROWS_SQL}), l as (select endpoint, unnest([{{'a': 'model', 'l': model}}, {{'a': 'scenario', 'l': scenario}}]) as x, mcc from r), s as (select endpoint, x.a as axis, x.l as level, sum(round(mcc * 10000)::bigint)::bigint as s, sum(round(mcc * 10000)::bigint * round(mcc * 10000)::bigint)::bigint as q, count(*) as n from l group by all) select endpoint, axis, level, floor(s::double / n + 0.5) / 10000 as mean, case when n > 1 then floor(sqrt((n * q - s * s)::double / (n * (n - 1))) + 0.5) / 10000 end as sd, n from s")
 def l11(spark, sf):
     return report.grid_summary(_rows(spark, sf), "endpoint", ["model", "scenario"], "mcc")
 

@@ -194,3 +194,51 @@ def test_samples_are_filled_up(spark):
     assert sampling.combined_sample(df, ["a", "b"], 60).count() == 60
     many = df.unionByName(df.filter("label = 0").withColumns({"label": F.lit(1), "record_id": F.col("record_id") + 1000})).withColumn("profile", (F.col("record_id") % 1000).cast("string"))
     assert sampling.combined_sample(many, ["a", "b"], 60).select("record_id").distinct().count() == 60
+
+
+def test_nth_by_draw(spark):
+    """Numbers are those of one window a group, for a hot group, null groups and draws that tie, whatever the ranges."""
+    from pyspark.sql import Window as W
+
+    from assayline.operators.ranks import nth_by_draw
+
+    df = spark.range(500).select("id", F.when(F.col("id") % 7 > 2, "hot").when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("g"), (F.col("id") * 2654435761 % 97 * 44278013).alias("h"))
+    want = df.withColumn("nth", F.row_number().over(W.partitionBy("g").orderBy("h", "id")).cast("long"))
+    for rows in (3, 10_000):
+        assert sorted(map(repr, nth_by_draw(df, ["g"], F.col("h"), ["id"], bucket_rows=rows).collect())) == sorted(map(repr, want.collect()))
+    assert nth_by_draw(df, [], F.col("h"), ["id"], bucket_rows=9).agg({"nth": "max"}).first()[0] == 500 and nth_by_draw(df.limit(0), ["g"], F.col("h"), ["id"]).count() == 0
+
+
+def test_group_kfold_loads(spark):
+    """Loads of folds are those of putting one group after the other, largest first, on the lightest."""
+    import random
+
+    from assayline.operators import splits
+
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 1, 1, 2, 3, 5, 8, 40]) for _ in range(120)]
+    df = spark.createDataFrame([(f"g{i}",) for i, s in enumerate(sizes) for _ in range(s)], "grp string")
+    loads = [0] * 5
+    for s in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += s
+    got = splits.group_kfold(df).groupBy("fold").agg(F.sum("size").alias("n")).orderBy("fold").collect()
+    assert [r["n"] for r in got] == loads
+    assert {r["fold"] for r in splits.group_kfold(df.filter("grp in ('g1', 'g2')")).collect()} == {0, 1} and splits.group_kfold(df.limit(0)).count() == 0
+
+
+def test_tanimoto_blocks(spark):
+    """Largest similarities against all pairs, in one block and in many, with equal, empty and null sets."""
+    import random
+
+    from assayline.operators import joins
+
+    rng = random.Random(5)
+    sets = [(i, rng.sample(range(200), rng.randint(1, 60))) for i in range(80)] + [(80, []), (81, None), (82, [199]), (83, [7]), (84, [7])]
+    df = spark.createDataFrame(sets, "record_id long, bits array<long>")
+    train, test = df.filter("record_id % 3 <> 0"), df.filter("record_id % 3 = 0")
+    want = {}
+    for i, x in sets:
+        if i % 3 == 0:
+            want[i] = max((len(set(x or ()) & set(y)) / len(set(x or ()) | set(y)) for j, y in sets if j % 3 and y), default=0.0)
+    for block in (8192, 7):
+        assert {r["record_id"]: r["max_sim"] for r in joins.tanimoto_max(train, test, block=block).collect()} == want
