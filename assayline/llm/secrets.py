@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm.common import small_batches, table
+from assayline.llm.common import put, small_batches, table
 
 # The base kinds in their order, each with its pattern and least length (of group 2, or of the match).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -175,9 +175,17 @@ def vocabulary(docs: DataFrame, *, size: int = 32_768, contexts: int = 8) -> str
         yield rows()
 
     words = docs.select("text").mapInPandas(count, "word string, n long, seen long").groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen"))
-    words = words.filter(F.bit_count("seen") >= contexts).orderBy(F.desc("n"), "word").limit(size // 4).collect()
+    words = put(words.filter(F.bit_count("seen") >= contexts).select("word", "n", F.floor(F.log2("n") * 8).alias("bin")), "secret-words")
+    # Words of the upper bins of counts, as many bins as hold no more words than can fit: the driver gets no more of them on a larger corpus.
+    room, least = size // 4, None
+    for r in words.groupBy("bin").count().orderBy(F.desc("bin")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["bin"]
+    found = sorted(words.filter(F.col("bin") >= least).collect(), key=lambda r: (-r["n"], r["word"])) if least is not None else []
     out, used = [], 0
-    for r in words:
+    for r in found:
         used += len(r["word"]) + 1
         if used > size:
             break
