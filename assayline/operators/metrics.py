@@ -98,10 +98,12 @@ def calibration_curve(pred: DataFrame, by: list[str], score: str = "proba", bins
 
 
 def threshold_table(pred: DataFrame, by: list[str], grid: list[float], score: str = "proba") -> DataFrame:
-    """Confusion counts at each threshold of the grid (score >= threshold is positive): each distinct score is dealt to the thresholds it reaches."""
-    c = score_counts(pred, by, score)
+    """Confusion counts at each threshold of the grid (score >= threshold is positive), from counts by the number of thresholds that a score reaches."""
+    grid = sorted(set(grid))
+    reached = sum((F.coalesce((F.col(score) >= t).cast("int"), F.lit(0)) for t in grid[1:]), F.coalesce((F.col(score) >= grid[0]).cast("int"), F.lit(0)))
+    c = score_counts(pred.withColumn("_reached", reached), by, "_reached")
     total = c.groupBy(*by).agg(F.sum("n1").alias("p"), F.sum("n0").alias("n"))
-    hit = c.withColumn("t", F.explode(F.array(*[F.lit(t) for t in grid]))).groupBy(*by, "t").agg(F.sum(F.when(F.col("score") >= F.col("t"), F.col("n1")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("score") >= F.col("t"), F.col("n0")).otherwise(0)).alias("fp"))
+    hit = c.select(*by, "score", "n1", "n0", F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("i", "t")).groupBy(*by, "t").agg(F.sum(F.when(F.col("score") > F.col("i"), F.col("n1")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("score") > F.col("i"), F.col("n0")).otherwise(0)).alias("fp"))
     out = hit.join(total, by) if by else hit.crossJoin(total)
     return out.withColumns({"fn": F.col("p") - F.col("tp"), "tn": F.col("n") - F.col("fp")}).withColumnRenamed("t", "threshold")
 

@@ -205,7 +205,7 @@ def k1(spark, sf):
     return domain.ad_similarity(*fx.bits(spark, sf))[1]
 
 
-@query("k2_ad_distance", f"""+ tr as (select * from v_vec where split = 'train' order by {draw_sql("'42'", "record_id::varchar")}, record_id limit 400), nn as (select a.record_id, min(list_distance(a.v, b.v)) as d from tr a join tr b on a.record_id <> b.record_id group by 1),
+@query("k2_ad_distance", """+ tr as (select * from v_vec where split = 'train'), nn as (select a.record_id, min(list_distance(a.v, b.v)) as d from tr a join tr b on a.record_id <> b.record_id group by 1),
  l as (select quantile_cont(d, 0.95) as threshold, median(d) as m from nn), te as (select a.record_id, min(list_distance(a.v, b.v)) as d from (select * from v_vec where split = 'test') a join tr b on a.record_id <> b.record_id group by 1)
  select round(max(threshold), 4) as threshold, count(*) filter (d > threshold) as n_ood, round(avg((d > threshold)::int), 4) as ood_fraction, round(max(m), 4) as train_median, round(median(d), 4) as test_median from te, l""", "v_vec")
 def k2(spark, sf):

@@ -70,7 +70,7 @@ def test_group_kfold_is_balanced(spark):
 
 
 def preds(spark, rows):
-    return spark.createDataFrame([("x", y, float(p)) for y, p in rows], "experiment string, label int, proba double")
+    return spark.createDataFrame([("x", y, p if p is None else float(p)) for y, p in rows], "experiment string, label int, proba double")
 
 
 EDGES = [(0, 0.0), (1, 0.5), (0, 0.5), (1, 0.99), (1, 1.0)]
@@ -93,6 +93,12 @@ def test_one_class_is_zero(spark):
     assert [m[c] for c in ("mcc", "bacc", "f1", "sens", "spec")] == [0.0] * 5
 
 
+def test_threshold_counts(spark):
+    rows = [(0, 0.2), (1, 0.5), (1, 0.7), (0, 0.9), (1, None), (1, 0.5)]
+    got = {r["threshold"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in metrics.threshold_table(preds(spark, rows), ["experiment"], [0.95, 0.5, 0.3, 0.5]).collect()}
+    assert got == {t: (sum(y == 1 and s is not None and s >= t for y, s in rows), sum(y == 0 and s >= t for y, s in rows), sum(y == 1 and (s is None or s < t) for y, s in rows), sum(y == 0 and s < t for y, s in rows)) for t in (0.3, 0.5, 0.95)}
+
+
 def test_lowest_threshold_wins(spark):
     got = metrics.tune_threshold(preds(spark, [(0, 0.2), (1, 0.7)]), ["experiment"]).first()
     assert (got["threshold_tuned"], got["mcc_tuned"]) == (0.22, 1.0)
