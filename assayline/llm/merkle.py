@@ -57,9 +57,9 @@ def placed(rows: DataFrame, order: list[str], part_rows: int = 20_000) -> DataFr
     return out.withColumn("pos", F.explode(F.sequence(first, first + F.col("copies") - 1))).select("tree", *order, "pos", "size")
 
 
-def local_depth(size: int) -> int:
+def local_depth(size: int, levels: int = LEVELS) -> int:
     """How many levels of a tier of `size` nodes lie within a superblock."""
-    return min(LEVELS, (int(size) - 1).bit_length())
+    return min(levels, (int(size) - 1).bit_length())
 
 
 def reduced(nodes: list[str], depth: int) -> list[list[str]]:
@@ -87,43 +87,43 @@ def fold(leaf: str, path: list[str]) -> str:
     return leaf
 
 
-def _with_block(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.shiftright("pos", LEVELS))
+def _with_block(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.shiftright("pos", levels))
 
 
-def climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def climb(nodes: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame], DataFrame]:
     """From nodes (tree, hash, pos, size): the tiers, leaves first, and (tree, hash) of each tree's root."""
 
     def top(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("pos")
-        return pd.DataFrame({"tree": x["tree"].iloc[:1], "hash": [reduced(x["hash"].tolist(), local_depth(x["size"].iloc[0]))[-1][0]], "pos": x["block"].iloc[:1], "size": [-(-int(x["size"].iloc[0]) >> LEVELS) or 1]})
+        return pd.DataFrame({"tree": x["tree"].iloc[:1], "hash": [reduced(x["hash"].tolist(), local_depth(x["size"].iloc[0], levels))[-1][0]], "pos": x["block"].iloc[:1], "size": [-(-int(x["size"].iloc[0]) >> levels)]})
 
     tiers, most = [nodes], nodes.agg(F.max("size")).first()[0] or 0
     while True:
-        up = put(_with_block(tiers[-1]).groupBy("tree", "block").applyInPandas(top, "tree string, hash string, pos long, size long"), "merkle-tops")
-        if most <= 1 << LEVELS:
+        up = put(_with_block(tiers[-1], levels).groupBy("tree", "block").applyInPandas(top, "tree string, hash string, pos long, size long"), "merkle-tops")
+        if most <= 1 << levels:
             return tiers, up.select("tree", "hash")
-        tiers, most = [*tiers, up], -(-most >> LEVELS)
+        tiers, most = [*tiers, up], -(-most >> levels)
 
 
-def descend(tiers: list[DataFrame], outer: DataFrame) -> DataFrame:
+def descend(tiers: list[DataFrame], outer: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Outer nodes of the leaves' superblocks: (tree, block, path, subroot, root), given those of each tree as a whole."""
 
     def step(x: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("pos")
-        levels, rest = reduced(x["hash"].tolist(), local_depth(x["size"].iloc[0])), list(above["path"].iloc[0])
-        paths = [siblings(levels, i) + rest for i in range(len(x))]
+        tree, rest = reduced(x["hash"].tolist(), local_depth(x["size"].iloc[0], levels)), list(above["path"].iloc[0])
+        paths = [siblings(tree, i) + rest for i in range(len(x))]
         return pd.DataFrame({"tree": x["tree"], "block": x["pos"], "path": paths, "subroot": above["subroot"].iloc[0], "root": above["root"].iloc[0]})
 
     for nodes in reversed(tiers[1:]):
-        outer = put(_with_block(nodes).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block")).applyInPandas(step, OUTER), "merkle-outer")
+        outer = put(_with_block(nodes, levels).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block")).applyInPandas(step, OUTER), "merkle-outer")
     return outer
 
 
 OUTER = "tree string, block long, path array<string>, subroot string, root string"
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """One row per row of docs: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     Leaves of a language ascend by doc_id, null first; rows that share a doc_id by their leaves; repeated rows are leaves of
@@ -134,26 +134,26 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     """
     rows = put(leaves(docs.select(*FIELDS), F.lit(False) if tampered is None else tampered), "merkle-leaves")
     rows = put(placed(rows, ["doc_id", "leaf", "other"]), "merkle-placed")
-    tiers, subroots = climb(rows.select("tree", F.col("leaf").alias("hash"), "pos", "size"))
+    tiers, subroots = climb(rows.select("tree", F.col("leaf").alias("hash"), "pos", "size"), levels)
     subroots = put(placed(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("key"), "hash"), ["key", "hash"]), "merkle-subroots")
-    over, root = climb(subroots)
+    over, root = climb(subroots, levels)
     whole = root.select("tree", F.lit(0).cast("long").alias("block"), F.array().cast("array<string>").alias("path"), F.lit("").alias("subroot"), F.col("hash").alias("root"))
-    outer = descend([over[0], *over], whole)  # its leaves are nodes to the trees below them
+    outer = descend([over[0], *over], whole, levels)  # its leaves are nodes to the trees below them
     outer = outer.select(F.col("block").alias("pos"), "path", "root").join(subroots, "pos").select(F.col("key").alias("tree"), F.lit(0).cast("long").alias("block"), "path", F.col("hash").alias("subroot"), "root")
-    outer = descend(tiers, put(outer, "merkle-whole"))
+    outer = descend(tiers, put(outer, "merkle-whole"), levels)
 
     def finish(x: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("pos")
-        levels, rest = reduced(x["leaf"].tolist(), local_depth(x["size"].iloc[0])), list(above["path"].iloc[0])
+        tree, rest = reduced(x["leaf"].tolist(), local_depth(x["size"].iloc[0], levels)), list(above["path"].iloc[0])
         root, proofs, folded = above["root"].iloc[0], [], []
         for i, (leaf, other) in enumerate(zip(x["leaf"], x["other"], strict=True)):
-            path = siblings(levels, i) + rest
+            path = siblings(tree, i) + rest
             proofs.append(sha("".join(s[1:] for s in path)))
             folded.append(fold(other or leaf, path))
         return pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "leaf": x["leaf"], "subroot": above["subroot"].iloc[0], "root": root, "proof_sha256": proofs, "folded_root": folded, "verified": [f == root for f in folded]})
 
     schema = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return _with_block(rows).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block")).applyInPandas(finish, schema)
+    return _with_block(rows, levels).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block")).applyInPandas(finish, schema)
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
