@@ -1,16 +1,18 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked within a Hamming distance through vantage-point trees.
 
-A pair within `radius` bits of each other is within half of that on one half of the bits. So there are two trees, one a
-half: their nodes split fingerprints by the distance to a vantage point, on that half (bound radius // 2) or on all bits
-(bound radius), whichever parts a sample of the node better. What lies beyond the cut goes to one branch; by the triangle
-bound only fingerprints that lie less than the bound beyond it can link with the other branch, and these go there too. So
-each linking pair meets in a shard of a tree, and no other branch is visited.
+A pair within `radius` bits of each other is within a quarter of that on one quarter of the bits. So there are four trees,
+one a quarter: their nodes split fingerprints by the distance to a vantage point, on that quarter (bound radius // 4) or on
+all bits (bound radius), whichever parts a sample of the node better. What lies beyond the cut goes to one branch; by the
+triangle bound only fingerprints that lie no more than the bound beyond it can link with the other branch, and these go
+there too. So each linking pair meets in a shard of a tree, and no other branch is visited. On random fingerprints a cut on
+a quarter sends about a sixth to both branches, a cut on all bits a third.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,12 +23,14 @@ from pyspark.sql import functions as F
 from assayline.llm.common import components, cut, put, small_batches, table
 
 WIDTH, RADIUS, SEED = 4, 4, 42
-#: A shard of more fingerprints than SHARD is parted again, by a tree of at most 2**DEPTH leaves, fitted on about SAMPLE of them.
-SHARD, DEPTH, SAMPLE, ROUNDS = 4096, 6, 2048, 9
+#: A shard of more fingerprints than SHARD is parted, by a tree of at most 2**DEPTH leaves, fitted on about SAMPLE of them; leaves that want more levels go on in the next round.
+SHARD, DEPTH, SAMPLE, ROUNDS = 4096, 8, 4096, 7
 #: Rows of a shard that one task routes at a time; bytes of a text whose shingles are held at a time.
 ROUTED, BLOCK = 50_000, 1 << 19
 ALL = np.uint64((1 << 64) - 1)
-HALVES = (np.uint64((1 << 32) - 1), np.uint64(((1 << 32) - 1) << 32))
+QUARTERS = tuple(np.uint64(0xFFFF << 16 * i) for i in range(4))
+#: Added to the number of a leaf that wants more levels.
+OPEN = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -77,7 +81,7 @@ def distance(x: np.ndarray, y, mask=ALL) -> np.ndarray:
 
 
 def grow(sample: np.ndarray, total: int, mask: np.uint64, radius: int = RADIUS, shard: int = SHARD, depth: int = DEPTH) -> np.ndarray:
-    """A tree over a sample of `total` fingerprints: rows (vantage point, bits compared, cut, bound, inner, outer), the last two a row's number or, below 0, -1 - a leaf's.
+    """A tree over a sample of `total` fingerprints: rows (vantage point, bits compared, cut, bound, inner, outer), the last two a row's number or, below 0, -1 - a leaf's, with OPEN added if only the depth ended it.
 
     Of a few vantage points, both measures and all cuts, a node takes the one that leaves the fewest pairs to compare, and
     none if that isn't a fifth fewer. No rows: the tree is one leaf.
@@ -88,7 +92,7 @@ def grow(sample: np.ndarray, total: int, mask: np.uint64, radius: int = RADIUS,
     def best(s: np.ndarray) -> tuple | None:
         found, least = None, 0.88 * len(s) ** 2
         for v in s[:: max(1, len(s) // 8)][:8]:
-            for bits, bound in ((mask, radius // 2), (ALL, radius)):
+            for bits, bound in ((mask, radius // len(QUARTERS)), (ALL, radius)):
                 upto = np.cumsum(np.bincount(distance(s, v, bits), minlength=65))
                 inner, outer = upto[np.minimum(np.arange(65) + bound, 64)], len(s) - upto
                 cost = inner.astype(float) ** 2 + outer.astype(float) ** 2
@@ -100,10 +104,11 @@ def grow(sample: np.ndarray, total: int, mask: np.uint64, radius: int = RADIUS,
 
     def make(s: np.ndarray, left: int) -> int:
         nonlocal leaves
-        split = best(s) if left and len(s) > 1 and total * len(s) > shard * len(sample) else None
+        large = len(s) > 1 and total * len(s) > shard * len(sample)
+        split = best(s) if left and large else None
         if split is None:
             leaves += 1
-            return -leaves
+            return -leaves - (OPEN if large and not left else 0)
         v, bits, c, bound = split
         at, d = len(nodes), distance(s, v, bits)
         nodes.append([int(v.view(np.int64)), int(bits.view(np.int64)), c, bound, 0, 0])
@@ -151,26 +156,26 @@ def forest(x: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]
 
 
 def sharded(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(shard, fp): the distinct fingerprints dealt to the shards of both trees, so that each pair within `radius` is in a shard together.
+    """(shard, fp): the distinct fingerprints dealt to the shards of all trees, so that each pair within `radius` is in a shard together.
 
-    Trees grow by rounds. In each, a shard that is still too large gives a sample to one task, which fits its next levels;
-    its fingerprints, in runs of bounded size, are routed through these. It stops at shards that are small enough or that
-    no vantage point parts.
+    Trees grow by rounds. In each, a shard that is still open gives a sample to one task, which fits its next levels; its
+    fingerprints, in runs of bounded size, are routed through these. A leaf that is small enough, or that no vantage point
+    parts, is closed.
     """
 
     def fit(x: pd.DataFrame) -> pd.DataFrame:
-        tree = grow(x["fp"].to_numpy(np.int64).view(np.uint64), int(x["n"].iloc[0]), HALVES[x["half"].iloc[0]], radius, shard)
+        tree = grow(x["fp"].to_numpy(np.int64).view(np.uint64), int(x["n"].iloc[0]), QUARTERS[x["part"].iloc[0]], radius, shard)
         return pd.DataFrame({"shard": x["shard"].iloc[:1], "n": x["n"].iloc[:1], "tree": [tree.ravel()]}).iloc[: len(tree)]
 
     def deal(x: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         if not len(x):
-            return pd.DataFrame({"shard": [], "half": [], "fp": []}).astype({"shard": "int64", "half": "int32", "fp": "int64"})
+            return pd.DataFrame({"shard": [], "part": [], "fp": [], "open": []}).astype({"shard": "int64", "part": "int32", "fp": "int64", "open": bool})
         leaf, row = route(np.asarray(trees["tree"].iloc[0], np.int64).reshape(-1, 6), x["fp"].to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame({"shard": (x["shard"].iloc[0] << DEPTH) + leaf, "half": x["half"].iloc[0], "fp": x["fp"].to_numpy()[row]})
+        return pd.DataFrame({"shard": (x["shard"].iloc[0] << DEPTH) + leaf % OPEN, "part": x["part"].iloc[0], "fp": x["fp"].to_numpy()[row], "open": leaf >= OPEN})
 
-    half = F.explode(F.array(F.lit(0), F.lit(1)))
-    now = put(points.select("fp", half.alias("half")).select((F.col("half") + 1).cast("long").alias("shard"), "half", "fp"), "simhash-members")
-    small = []
+    part = F.explode(F.array(*[F.lit(i) for i in range(len(QUARTERS))]))
+    now = put(points.select("fp", part.alias("part")).select((F.col("part") + 1).cast("long").alias("shard"), "part", "fp"), "simhash-members")
+    done = []
     for i in range(ROUNDS):
         sizes = put(now.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard), "simhash-sizes")
         drawn = now.join(sizes, "shard").filter(F.pmod(F.xxhash64("fp", F.lit(i)), F.ceil(F.col("n") / SAMPLE)) == 0)
@@ -179,14 +184,13 @@ def sharded(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
             break
         runs = F.ceil(F.col("n") / ROUTED)
         marked = now.join(trees.select("shard", "n"), "shard", "left")
-        small.append(marked.filter("n is null").select("shard", "fp"))
-        runs_of = marked.filter("n is not null").withColumn("run", F.pmod(F.xxhash64("fp"), runs))
+        done.append(marked.filter("n is null").select("shard", "fp"))
+        members = marked.filter("n is not null").withColumn("run", F.pmod(F.xxhash64("fp"), runs))
         wanted = trees.select("shard", "tree", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)).alias("run"))
-        now = put(runs_of.groupBy("shard", "run").cogroup(wanted.groupBy("shard", "run")).applyInPandas(deal, "shard long, half int, fp long"), "simhash-members")
-    out = now.select("shard", "fp")
-    for s in small:
-        out = out.unionByName(s)
-    return out
+        dealt = put(members.groupBy("shard", "run").cogroup(wanted.groupBy("shard", "run")).applyInPandas(deal, "shard long, part int, fp long, open boolean"), "simhash-members")
+        done.append(dealt.filter("not open").select("shard", "fp"))
+        now = dealt.filter("open").drop("open")
+    return reduce(DataFrame.unionByName, done, now.select("shard", "fp"))
 
 
 def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:

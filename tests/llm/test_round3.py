@@ -125,16 +125,16 @@ def test_vantage_point_trees(spark):
         assert groups == Counter(frozenset(int(np.uint64(v).view(np.int64)) for i, v in enumerate(x) if want[i] == k) for k in set(want))
         if shard == 64:
             parts = simhash.sharded(points, 4, shard).groupBy("shard").count().collect()
-            assert len(parts) > 4 and sum(r["count"] for r in parts) > 2 * len(x)  # boundary overlaps
+            assert len(parts) > 4 and sum(r["count"] for r in parts) > 4 * len(x)  # boundary overlaps
 
 
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 2**32), st.integers(0, 4))
 def test_route_keeps_pairs(seed, apart):
-    """Two fingerprints within 4 bits meet in a leaf of the tree of a half on which they are within 2 bits."""
+    """Two fingerprints within 4 bits meet in a leaf of the tree of a quarter on which they are within 1 bit."""
     rng = random.Random(seed)
     x = np.array([rng.getrandbits(64) for _ in range(500)], np.uint64)
-    trees = [simhash.grow(x[:200], 500, half, shard=8) for half in simhash.HALVES]
+    trees = [simhash.grow(x[:200], 500, half, shard=8) for half in simhash.QUARTERS]
     y = int(x[0]) ^ sum(1 << b for b in rng.sample(range(64), apart))
     met = False
     for tree in trees:
