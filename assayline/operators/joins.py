@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayline.operators.nearest import Euclid, Jaccard, search
+
 
 def join_left(df: DataFrame, aux: DataFrame, on: str = "record_id", suffix: str = "_aux") -> DataFrame:
     """Left join; aux columns that df has too get a suffix."""
@@ -27,93 +26,30 @@ def merge_rate(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.coalesce(*cols).isNotNull(), 1.0).otherwise(0.0)), 4).alias("merge_rate"))
 
 
-def tanimoto_max(train: DataFrame, test: DataFrame, bits: str = "bits", block: int = 8192) -> DataFrame:
-    """(record_id, max_sim) of each test row: its largest |A and B| / |A or B| with a train row; 0 if no bit is shared.
+def tanimoto_max(train: DataFrame, test: DataFrame, bits: str = "bits") -> DataFrame:
+    """(record_id, max_sim) of each test row: its largest |A and B| / |A or B| with a train row; 0 if no bit is shared, or without bits.
 
-    Both sides are cut into blocks by a hash, equal sets of train rows being one, and one number per test row leaves each
-    pair of blocks. Within a pair bits are packed, and as sizes bound the similarity, a test row looks at the train rows of
-    sizes near its own first and then only at those that could still be better.
+    One less this similarity is a metric, so the search is that of `nearest`; equal sets of train rows are one.
     """
-    spark = train.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = train.filter(F.size(bits) > 0).select(F.array_sort(bits).alias("_bits")).distinct()
-    mine = test.filter(F.size(bits) > 0).select(F.col("record_id").alias("_id"), F.col(bits).alias("_bits"))
-    n_test = mine.count()
-    m, n = max(1 + n_test // block, min(tasks, 1 + n_test // 256)), 1 + sets.count() // block
-    a = mine.select("_id", "_bits", F.pmod(F.xxhash64("_id", "_bits"), F.lit(m)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    b = sets.select("_bits", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.pmod(F.xxhash64("_bits"), F.lit(n)).cast("int").alias("j"))
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame([], columns=["_id", "s"]).astype({"_id": "int64", "s": float})
-        words = 1 + max(int(max(map(max, x["_bits"]))), int(max(map(max, y["_bits"])))) // 64
-        y = y.iloc[np.argsort(y["_bits"].str.len().to_numpy(), kind="stable")]
-        packed, sizes = _packed(y["_bits"], words), y["_bits"].str.len().to_numpy()
-        out = []
-        for own, one in zip(_packed(x["_bits"], words), x["_bits"].str.len(), strict=True):
-            def top(lo: int, hi: int, own: np.ndarray = own, one: int = one) -> float:
-                if lo >= hi:
-                    return 0.0
-                k = np.bitwise_count(packed[lo:hi] & own).sum(1, dtype=np.int64)
-                return float((k / (one + sizes[lo:hi] - k)).max())
-
-            at = int(np.searchsorted(sizes, one))
-            lo, hi = max(0, at - 64), min(len(sizes), at + 64)
-            s = top(lo, hi)
-            # A set of size n has at most min(n, one) / max(n, one) in common; a little slack for rounding.
-            first = 0 if s == 0 else int(np.searchsorted(sizes, one * s * (1 - 1e-9), "left"))
-            past = len(sizes) if s == 0 else int(np.searchsorted(sizes, one / s * (1 + 1e-9), "right"))
-            out.append(max(s, top(first, lo), top(hi, past)))
-        return pd.DataFrame({"_id": x["_id"], "s": out})
-
-    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(best, "_id long, s double").groupBy("_id").agg(F.max("s").alias("s"))
-    return test.select("record_id").join(found, F.col("record_id") == F.col("_id"), "left").select("record_id", F.coalesce("s", F.lit(0.0)).alias("max_sim"))
-
-
-def _packed(bits: pd.Series, words: int) -> np.ndarray:
-    """Rows of 64-bit words with the given bits set."""
-    out = np.zeros((len(bits), words), np.uint64)
-    for i, x in enumerate(bits):
-        x = np.asarray(x, np.uint64)
-        np.bitwise_or.at(out[i], (x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
-    return out
+    sets = train.filter(F.size(bits) > 0).select(F.array_sort(bits).alias("_bits")).distinct().select(F.xxhash64("_bits").alias("record_id"), "_bits")
+    mine = test.filter(F.size(bits) > 0).select("record_id", F.col(bits).alias("_bits"))
+    most = sets.select("_bits").unionAll(mine.select("_bits")).agg(F.max(F.array_max("_bits")).alias("most")).first()["most"]
+    found, _ = search(mine, sets, 1, Jaccard(1 + int(most or 0)), "_bits", apart=False)
+    found = found.select(F.col("record_id").alias("_id"), F.col("value").alias("_sim"))
+    return test.select("record_id").join(found, F.col("record_id") == F.col("_id"), "left").select("record_id", F.coalesce("_sim", F.lit(0.0)).alias("max_sim"))
 
 
 def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
 
 
-def knn(left: DataFrame, right: DataFrame, k: int = 1, v: str = "v", block: int = 4096) -> DataFrame:
-    """(record_id, neighbour, dist, nth): of each left row its k nearest right rows other than itself, exactly; ties to the smaller id.
-
-    Both sides are cut into blocks by a hash of record_id and each pair of blocks is one task's matrix of distances, of
-    which k rows per left row leave it. Work is left times right: callers bound right by a class or a documented sample.
-    """
-    parts = lambda df: 1 + df.count() // block
-    m, n = parts(left), parts(right)
-    at = lambda c: F.pmod(F.xxhash64("record_id"), F.lit(c)).cast("int")
-    a = left.select((F.col("record_id") + 0).alias("record_id"), F.col(v).alias("v"), at(m).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    b = right.select((F.col("record_id") + 0).alias("record_id"), F.col(v).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), at(n).alias("j"))
-
-    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(x) and len(y):
-            y = y.sort_values("record_id")
-            ids, w = y["record_id"].to_numpy(), np.array(y["v"].tolist(), float)
-            for i, row in zip(x["record_id"], x["v"], strict=True):
-                d = np.sqrt(((w - np.array(row, float)) ** 2).sum(1))
-                d[ids == i] = np.inf
-                for at in np.argsort(d, kind="stable")[:k]:
-                    if np.isfinite(d[at]):
-                        out.append((i, ids[at], d[at]))
-        return pd.DataFrame(out, columns=["record_id", "neighbour", "dist"]).astype({"record_id": "int64", "neighbour": "int64", "dist": float})
-
-    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(near, "record_id long, neighbour long, dist double")
-    return found.withColumn("nth", F.row_number().over(W.partitionBy("record_id").orderBy("dist", "neighbour"))).filter(F.col("nth") <= k)
+def knn(left: DataFrame, right: DataFrame, k: int = 1, v: str = "v") -> DataFrame:
+    """(record_id, neighbour, dist, nth): of each left row its k nearest right rows other than itself, exactly; ties to the smaller id."""
+    return search(left, right, k, Euclid(), v)[0].drop("value")
 
 
 def euclid_nn(train: DataFrame, test: DataFrame, v: str = "v") -> DataFrame:
-    """(record_id, nn_dist): distance of each test row to the nearest train row other than itself; train is a bounded sample."""
+    """(record_id, nn_dist): distance of each test row to the nearest train row other than itself, all of which are looked at through pivots."""
     return knn(test, train, 1, v).select("record_id", F.col("dist").alias("nn_dist"))
 
 
