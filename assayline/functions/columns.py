@@ -95,3 +95,47 @@ def chi2_p(chi2: pd.Series) -> pd.Series:
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided tail of the normal distribution."""
     return z.map(lambda x: None if x is None or math.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
+
+
+@F.pandas_udf(T.DoubleType())
+def signed_rank_p(statistic: pd.Series, ranks2: pd.Series, counts: pd.Series) -> pd.Series:
+    """Two-sided exact p of a signed-rank statistic; ranks2: twice the ranks (whole numbers, with ties), each as often as counts says.
+
+    The number of ways to reach each sum of twice the positive ranks is built up rank by rank.
+    """
+
+    def one(stat: float, ranks: list[int], ks: list[int]) -> float | None:
+        if stat is None or math.isnan(stat):
+            return None
+        ways = [1]
+        for r, k in zip(ranks, ks, strict=True):
+            for _ in range(k):
+                ways = [(ways[i] if i < len(ways) else 0) + (ways[i - r] if i >= r else 0) for i in range(len(ways) + r)]
+        return min(1.0, 2 * sum(ways[: int(round(2 * stat)) + 1]) / sum(ways))
+
+    return pd.Series([one(s, [int(x) for x in r], [int(x) for x in k]) for s, r, k in zip(statistic, ranks2, counts, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided tail of Student's t with df degrees of freedom: the regularised incomplete beta function at df / (df + t * t)."""
+
+    def beta(a: float, b: float, x: float) -> float:
+        """By its continued fraction (modified Lentz), on the side where that converges fast."""
+        if x <= 0 or x >= 1:
+            return float(x >= 1)
+        if x > (a + 1) / (a + b + 2):
+            return 1 - beta(b, a, 1 - x)
+        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+        tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+        f = d
+        for m in range(1, 500):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / ((1 + num * d) or tiny)
+                c = (1 + num / c) or tiny
+                f *= c * d
+            if abs(c * d - 1) < 1e-15:
+                break
+        return front * f
+
+    return pd.Series([None if x is None or n is None or math.isnan(x) or math.isnan(n) or n <= 0 else beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df, strict=True)], dtype=float)

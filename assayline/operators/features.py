@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayline.functions.columns import col, ratio
+from assayline.functions.columns import col, ratio, student_p
+from assayline.operators.ranks import running
 
 #: name -> (family, pattern). Fixed values that Java's and RE2's dialects read alike.
 PATTERNS = {
@@ -106,23 +106,28 @@ def standardize(df: DataFrame, cols: list[str], by: str | None = None) -> DataFr
     return df.withColumns(z).drop(*stats.columns)
 
 
-def label_correlation(df: DataFrame, cols: list[str], label: str = "label") -> DataFrame:
-    """(feature, rho, n): Spearman's rank correlation with the label, ties at their mean rank, null for a constant.
+def label_correlation(df: DataFrame, cols: list[str], label: str = "label", with_p: bool = False) -> DataFrame:
+    """(feature, rho, n): Spearman's rank correlation with the label, ties at their mean rank, null for a constant; with_p adds the two-sided p of Student's t with n - 2 degrees of freedom.
 
-    Ranks come from counts per distinct value, so that windows see values, not rows.
+    Ranks come from counts per distinct value, in ranges of values.
     """
     long = df.select(F.col(label).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])).alias("f")).select("y", "f.*").filter("x is not null and y is not null")
     c = long.groupBy("feature", "x", "y").agg(F.count("*").alias("k"))
 
     def mean_rank(v: str) -> DataFrame:
         g = c.groupBy("feature", v).agg(F.sum("k").alias("m"))
-        return g.select("feature", v, (F.coalesce(F.sum("m").over(W.partitionBy("feature").orderBy(v).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + (F.col("m") + 1) / 2).alias(f"r{v}"))
+        return running(g, ["feature"], [v], {"upto": "m"}).select("feature", v, (F.col("upto") - F.col("m") + (F.col("m") + 1) / 2).alias(f"r{v}"))
 
     r = c.join(mean_rank("x"), ["feature", "x"]).join(mean_rank("y"), ["feature", "y"])
     w = F.col("k").cast("double")
     s = r.groupBy("feature").agg(F.sum(w).alias("n"), F.sum(w * F.col("rx")).alias("a"), F.sum(w * F.col("ry")).alias("b"), F.sum(w * F.col("rx") * F.col("ry")).alias("ab"), F.sum(w * F.col("rx") * F.col("rx")).alias("aa"), F.sum(w * F.col("ry") * F.col("ry")).alias("bb"))
     rho = (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.nullif(F.sqrt((F.col("aa") - F.col("a") * F.col("a") / F.col("n")) * (F.col("bb") - F.col("b") * F.col("b") / F.col("n"))), F.lit(0.0))
-    return s.select("feature", F.round(rho, 6).alias("rho"), F.col("n").cast("long").alias("n"))
+    s = s.select("feature", rho.alias("r"), "n")
+    out = [F.round("r", 6).alias("rho"), F.col("n").cast("long").alias("n")]
+    if with_p:
+        t = F.abs("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
+        out.append(F.when(F.abs("r") >= 1, F.lit(0.0)).otherwise(student_p(t, F.col("n") - 2)).alias("p_value"))
+    return s.select("feature", *out)
 
 
 def vocab_summary(df: DataFrame, by: str) -> DataFrame:

@@ -1,16 +1,23 @@
 """Metrics, intervals, calibration, thresholds and paired tests as grouped aggregates over predictions (experiment, label, proba).
 
-What needs an order of scores starts from counts per distinct score, so the window that follows sees one row per score,
-not one per prediction.
+What needs an order of scores starts from counts per distinct score, which are dealt to ranges of scores: no task holds an
+experiment's scores, only a range of them (`ranks.running`).
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayline.functions.columns import chi2_p, draw, normal_p, ratio
+from assayline.functions.columns import chi2_p, normal_p, ratio, signed_rank_p
+from assayline.operators.ranks import in_ranges, running
 
 #: 40 thresholds as arange(.1, .9, .02) gives them; the out-of-fold grid has one more.
 STEP = (0.1 + 0.02) - 0.1
@@ -47,9 +54,7 @@ def score_counts(pred: DataFrame, by: list[str], score: str = "proba", weight: s
 
 def ranked(counts: DataFrame, by: list[str]) -> DataFrame:
     """Counts with tp and fp at each score and above, and totals p and n."""
-    down = W.partitionBy(*by).orderBy(F.desc("score"))
-    all_ = W.partitionBy(*by)
-    return counts.withColumns({"tp": F.sum("n1").over(down), "fp": F.sum("n0").over(down), "p": F.sum("n1").over(all_), "n": F.sum("n0").over(all_)})
+    return running(counts, by, [F.desc("score")], {"tp": "n1", "fp": "n0"}, {"p": "n1", "n": "n0"})
 
 
 def roc_auc(pred: DataFrame, by: list[str], score: str = "proba", weight: str | None = None) -> DataFrame:
@@ -132,27 +137,84 @@ def threshold_decomposition(pred: DataFrame, by: list[str], prevalence: float, s
     return two.join(tune_threshold(pred, by, score), by).select(*by, "mcc_default", "mcc_prevalence", F.col("mcc_tuned").alias("mcc_oracle"))
 
 
-#: Poisson(1) draws as thresholds of a uniform number: P(weight <= k).
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+#: A group of equal scores and labels draws its weight in pieces of so many rows at the most.
+PIECE = 256
+
+
+@lru_cache(maxsize=PIECE)
+def poisson_cdf(k: int) -> np.ndarray:
+    """P(a Poisson number of mean k is at most 0, 1, ...), up to where a draw of 32 bits can't tell it from 1."""
+    p = upto = math.exp(-k)
+    out, i = [upto], 0
+    while upto < 1 - 2.0**-33 and i < 4 * k + 40:
+        i += 1
+        p *= k / i
+        upto += p
+        out.append(upto)
+    return np.array(out)
+
+
+def group_weights(names: list[str], sizes: np.ndarray, n: int) -> np.ndarray:
+    """(groups, n): how often replicates draw a group's rows. Each row counts as often as a Poisson(1) number says, so k equal rows as a Poisson(k) number, of which one draw is enough; larger groups draw for each PIECE rows.
+
+    A draw is 32 bits of an md5 of the group's name, the piece and the replicate, four replicates to a digest.
+    """
+    group = np.repeat(np.arange(len(sizes)), -(-sizes // PIECE))
+    piece = np.arange(len(group)) - np.repeat(np.cumsum(-(-sizes // PIECE)) - -(-sizes // PIECE), -(-sizes // PIECE))
+    rows = np.minimum(sizes[group] - piece * PIECE, PIECE)
+    tails = [b"|%d" % i for i in range(-(-n // 4))]
+    out = np.zeros((len(sizes), n), np.int64)
+    for k in np.unique(rows):
+        for part in np.array_split(at := np.flatnonzero(rows == k), 1 + len(at) // 512):
+            digests = []
+            for i in part:
+                base = hashlib.md5(f"{names[group[i]]}|{piece[i]}".encode())
+                for t in tails:
+                    h = base.copy()
+                    h.update(t)
+                    digests.append(h.digest())
+            u = np.frombuffer(b"".join(digests), ">u4").reshape(len(part), -1)[:, :n] / 4294967296.0
+            np.add.at(out, group[part], np.searchsorted(poisson_cdf(int(k)), u, "right"))
+    return out
 
 
-def bootstrap_replicates(pred: DataFrame, by: list[str], n: int = 500, score: str = "proba", threshold: float = 0.5, row: str = "record_id") -> DataFrame:
-    """Per replicate the metrics of a reweighted sample. Each row's weight is a Poisson(1) draw from a hash of its id and the
-    replicate, so a replicate has about, not exactly, as many rows; replicates of one class are left out."""
-    u = draw(row, "b") / F.lit(4294967296.0)
-    w = sum(((u >= p).cast("int") for p in POISSON[1:]), (u >= POISSON[0]).cast("int"))
-    rows = pred.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("w", w).filter("w > 0")
+def bootstrap_replicates(pred: DataFrame, by: list[str], n: int = 500, score: str = "proba", threshold: float = 0.5) -> DataFrame:
+    """Per replicate the metrics of a reweighted sample; replicates of one class are left out.
+
+    Each row's weight is a Poisson(1) number, so a replicate has about, not exactly, as many rows. Weights are drawn for
+    groups of equal score and label, in ranges of scores: what leaves a range is one row a replicate, so rows times
+    replicates are never shuffled. Areas under curves add up over ranges, with the positives of the ranges above.
+    """
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.floor(F.col("score") * float(1 << 40)).cast("long").cast("string"))
+    counts = in_ranges(score_counts(pred, by, score), by, F.desc("score")).select("_part", *by, "score", name.alias("name"), "n0", "n1")
+
+    def draw(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("score", ascending=False)
+        names, q = x["name"].tolist(), x["score"].to_numpy(float)
+        k0, k1, above = x["n0"].to_numpy(np.int64), x["n1"].to_numpy(np.int64), q >= threshold
+        out = {c: np.zeros(n) for c in ("a0", "a1", "wins", "fp", "tp", "sq")}
+        rows = max(1, (1 << 21) // n)
+        for i in range(0, len(x), rows):  # of so many scores at a time, whose weights take some tens of MB
+            part = slice(i, i + rows)
+            w0 = group_weights([f"0|{v}" for v in names[part]], k0[part], n)
+            w1 = group_weights([f"1|{v}" for v in names[part]], k1[part], n)
+            higher = out["a1"] + np.cumsum(w1, 0) - w1
+            out["wins"] += (w0 * (higher + w1 / 2)).sum(0)
+            out["a0"] += w0.sum(0)
+            out["a1"] += w1.sum(0)
+            out["fp"] += w0[above[part]].sum(0)
+            out["tp"] += w1[above[part]].sum(0)
+            out["sq"] += (w1 * ((1 - q[part]) ** 2)[:, None] + w0 * (q[part] ** 2)[:, None]).sum(0)
+        return pd.DataFrame({c: x[c].iloc[0] for c in ("_part", *by)} | {"b": np.arange(n)} | out)
+
+    types = dict(counts.dtypes)
+    schema = ", ".join([f"_part {types['_part']}", *[f"`{c}` {types[c]}" for c in by], "b long", *[f"{c} double" for c in ("a0", "a1", "wins", "fp", "tp", "sq")]])
+    parts = counts.groupBy(*by, "_part").applyInPandas(draw, schema)
     keys = [*by, "b"]
-    c = score_counts(rows, keys, score, "w")
-    r = ranked(c, keys)
-    pos = F.col("score") >= threshold
-    wins = F.col("n0").cast("double") * (F.col("tp") - F.col("n1")) + F.col("n0").cast("double") * F.col("n1") / 2
-    out = r.groupBy(*keys).agg(
-        F.sum(F.when(pos, F.col("n1")).otherwise(0)).alias("_tp"), F.sum(F.when(pos, F.col("n0")).otherwise(0)).alias("_fp"), F.first("p").alias("p"), F.first("n").alias("n"), F.sum(wins).alias("wins"),
-        F.sum(F.col("n1") * (F.col("score") - 1) * (F.col("score") - 1) + F.col("n0") * F.col("score") * F.col("score")).alias("sq"),
-    ).filter("p > 0 and n > 0")
-    out = out.select(*keys, F.col("_tp").alias("tp"), F.col("_fp").alias("fp"), (F.col("p") - F.col("_tp")).alias("fn"), (F.col("n") - F.col("_fp")).alias("tn"), ratio(F.col("wins"), F.col("p").cast("double") * F.col("n")).alias("roc_auc"), (F.col("sq") / (F.col("p") + F.col("n"))).alias("brier"))
-    return score_columns(out, None)
+    before = F.coalesce(F.sum("a1").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    parts = parts.withColumn("wins", F.col("wins") + F.col("a0") * before)
+    out = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "wins", "fp", "tp", "sq")]).filter("a1 > 0 and a0 > 0")
+    return score_columns(out.select(*keys, "tp", "fp", (F.col("a1") - F.col("tp")).alias("fn"), (F.col("a0") - F.col("fp")).alias("tn"), ratio(F.col("wins"), F.col("a1") * F.col("a0")).alias("roc_auc"), (F.col("sq") / (F.col("a1") + F.col("a0"))).alias("brier")), None)
 
 
 def bootstrap_ci(pred: DataFrame, by: list[str], n: int = 500, **how) -> DataFrame:
@@ -185,19 +247,32 @@ def mcnemar(a: DataFrame, b: DataFrame, by: list[str], with_p: bool = True) -> D
     return t.withColumn("p_value", F.when(F.col("n_discordant") == 0, F.lit(1.0)).otherwise(F.round(chi2_p("chi2"), 6))) if with_p else t
 
 
+#: Up to so many pairs the signed-rank distribution is exact, above it is normal.
+EXACT = 25
+
+
 def wilcoxon_signed_rank(df: DataFrame, by: list[str], a: str, b: str, with_p: bool = False) -> DataFrame:
-    """Statistic, n and mean difference of pairs; zero differences go, ties share their mean rank; null with under 5 pairs."""
+    """Statistic, n and mean difference of pairs; zero differences go, ties share their mean rank; null with under 5 pairs.
+
+    with_p adds the two-sided p: of up to EXACT pairs from the distribution over all signs of their ranks, ties included,
+    of more from a normal one whose variance allows for ties.
+    """
     d = df.withColumn("d", F.col(a) - F.col(b))
     mean = d.groupBy(*by).agg(F.round(F.avg("d"), 6).alias("mean_diff"))
     c = d.filter("d <> 0").groupBy(*by, F.abs("d").alias("_m")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("k").over(W.partitionBy(*by).orderBy("_m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("rank", before + (F.col("k") + 1) / 2)
-    s = c.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("wp"), F.sum(F.col("rank") * (F.col("k") - F.col("up"))).alias("wm"))
-    s = s.join(mean, by).select(*by, "n", F.when(F.col("n") >= 5, F.least("wp", "wm")).alias("statistic"), "mean_diff")
+    c = running(c, by, ["_m"], {"_upto": "k"}, {"_n": "k"})
+    rank = F.col("_upto") - F.col("k") + (F.col("k") + 1) / 2
+    few = F.when(F.col("_n") <= EXACT, F.struct((rank * 2).cast("int").alias("rank2"), F.col("k").cast("int").alias("k")))
+    s = c.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(rank * F.col("up")).alias("wp"), F.sum(rank * (F.col("k") - F.col("up"))).alias("wm"), F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")).alias("ties"), F.collect_list(few).alias("ranks"))
+    s = s.join(mean, by) if by else s.crossJoin(mean)
+    s = s.withColumn("statistic", F.when(F.col("n") >= 5, F.least("wp", "wm")))
+    out = s.select(*by, "n", "statistic", "mean_diff")
     if with_p:
         n = F.col("n").cast("double")
-        s = s.withColumn("p_value", normal_p((F.col("statistic") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)))
-    return s
+        normal = normal_p((F.col("statistic") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
+        exact = signed_rank_p("statistic", F.transform("ranks", lambda x: x["rank2"]), F.transform("ranks", lambda x: x["k"]))
+        out = s.select(*by, "n", "statistic", "mean_diff", F.when(F.col("n") <= EXACT, exact).otherwise(normal).alias("p_value"))
+    return out
 
 
 def outcome_label(label: str = "label", pred: str = "pred") -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from assayline.functions.columns import draw
 from assayline.operators.features import standardize
 from assayline.operators.joins import knn, squared_distance
-from assayline.operators.ranks import nth_by_draw
+from assayline.operators.ranks import nth_by_draw, percentiles
+from assayline.plans.shared import keep
 
 
 def class_weight(df: DataFrame, by: str) -> DataFrame:
@@ -94,5 +95,7 @@ def sampling_coverage(everything: DataFrame, chosen: DataFrame, cols: list[str])
     z = standardize(everything, cols).select("record_id", F.array(*cols).alias("v"))
     # A chosen row is at distance 0 from itself, which a neighbour search leaves out.
     d = z.join(chosen.select("record_id"), "record_id", "left_anti")
-    d = knn(d, z.join(chosen.select("record_id"), "record_id", "left_semi")).select(F.col("dist").alias("d")).unionAll(chosen.select(F.lit(0.0).alias("d")))
-    return d.agg(*[F.round(x, 4).alias(n) for n, x in (("coverage_mean_dist", F.avg("d")), ("coverage_median_dist", F.median("d")), ("coverage_95th_dist", F.percentile("d", F.lit(0.95))), ("coverage_max_dist", F.max("d")))])
+    d = keep(knn(d, z.join(chosen.select("record_id"), "record_id", "left_semi")).select(F.col("dist").alias("d")).unionAll(chosen.select(F.lit(0.0).alias("d"))), "coverage")
+    s = d.agg(F.round(F.avg("d"), 4).alias("coverage_mean_dist"), F.round(F.max("d"), 4).alias("coverage_max_dist"))
+    q = percentiles(d, [], {"coverage_median_dist": ("d", 0.5), "coverage_95th_dist": ("d", 0.95)})
+    return s.crossJoin(F.broadcast(q.select(*[F.round(c, 4).alias(c) for c in q.columns])))  # one row each

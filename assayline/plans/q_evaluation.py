@@ -90,18 +90,20 @@ def g7(spark, sf):
     return metrics.curves(_pred(spark, sf), [ONE])
 
 
-POISSON = " + ".join(f"(u >= {p}::double)::int" for p in metrics.POISSON)
-BOOT = f"""b as (select *, {POISSON} as w from (select record_id, label, proba, experiment, b, {draw_sql("record_id::varchar", "b::varchar")} / 4294967296.0::double as u from v_events, range({{n}}) t(b))),
- c as (select experiment, b, proba as score, sum(case when label = 0 then w else 0 end) as n0, sum(case when label = 1 then w else 0 end) as n1 from b where w > 0 group by all),
+BOOT = f"""g as (select experiment, label, proba, count(*) as k from v_events group by all), s as (select *, least(256, k - piece * 256) as m from (select *, unnest(range((k + 255) // 256)) as piece from g)),
+ p as (select m, i, sum(exp(-m + i * ln(m) - lgamma(i + 1))) over (partition by m order by i) as c from (select distinct m from s), range(0, 1064) t(i) where i < 4 * m + 40), q0 as (select m, list(c order by i) as cdf from p where c <= 0.9999999999 or i = 0 group by m),
+ u as (select experiment, label, proba, b, cdf, ('0x' || substr(md5(concat_ws('|', label, experiment, floor(proba * 1099511627776)::bigint, piece, b // 4)), 1 + 8 * (b % 4), 8))::bigint / 4294967296.0::double as u from s join q0 using (m), range({{n}}) t(b)),
+ w as (select experiment, label, proba, b, len(list_filter(cdf, lambda c: u >= c)) as w from u),
+ c as (select experiment, b, proba as score, sum(case when label = 0 then w else 0 end) as n0, sum(case when label = 1 then w else 0 end) as n1 from w where w > 0 group by all),
  r as (select *, sum(n1) over (partition by experiment, b order by score desc) as tp0, sum(n1) over (partition by experiment, b) as p, sum(n0) over (partition by experiment, b) as n from c),
  m as (select experiment, b, sum(case when score >= 0.5 then n1 else 0 end) as tp, sum(case when score >= 0.5 then n0 else 0 end) as fp, max(p) as p, max(n) as n, sum(n0::double * (tp0 - n1) + n0::double * n1 / 2) as wins, sum(n1 * (score - 1) * (score - 1) + n0 * score * score) as sq from r group by all having max(p) > 0 and max(n) > 0),
  q as ({scores("select *, p - tp as fn, n - fp as tn from m", "experiment, b, wins / (p::double * n) as roc_auc, sq / (p + n) as brier", 15)}),
  l as (unpivot q on mcc, bacc, sens, spec, brier, roc_auc into name metric value value)"""
 
 
-@query("g8_bootstrap_ci", f"+ {BOOT.format(n=50)} select experiment, metric, round(avg(value), 4) as mean, round(quantile_cont(value, 0.025), 4) as lo, round(quantile_cont(value, 0.975), 4) as hi from l group by all", "v_events")
+@query("g8_bootstrap_ci", f"+ {BOOT.format(n=500)} select experiment, metric, round(avg(value), 4) as mean, round(quantile_cont(value, 0.025), 4) as lo, round(quantile_cont(value, 0.975), 4) as hi from l group by all", "v_events")
 def g8(spark, sf):
-    return metrics.bootstrap_ci(_events(spark, sf), [ONE], 50)
+    return metrics.bootstrap_ci(_events(spark, sf), [ONE])
 
 
 @query("g9_fold_summary", f"+ x as ({cells('experiment, grp', 'v_pred')}), y as ({scores('select * from x', 'experiment, grp')}), l as (unpivot y on mcc, bacc, sens into name metric value value) select experiment, metric, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as std, round(quantile_cont(value, 0.025), 4) as lo, round(quantile_cont(value, 0.975), 4) as hi, count(value) as n from l group by all", "v_pred")
@@ -146,6 +148,13 @@ def g14(spark, sf):
 OUTCOME = "case when label = 1 and {0} = 1 then 'TP' when label = 1 and {0} = 0 then 'FN' when label = 0 and {0} = 0 then 'TN' when label = 0 and {0} = 1 then 'FP' end"
 
 
+@query("g14_wilcoxon_p")
+def g14p(spark, sf):
+    e = _events(spark, sf).withColumn("few", F.col("record_id") < 20)  # groups of each kind: exact and normal
+    d = e.withColumns({"a": F.floor(F.col("proba") * 100), "b": F.floor(F.col("proba_b") * 100)})
+    return metrics.wilcoxon_signed_rank(d, [ONE, "few"], "a", "b", with_p=True)
+
+
 @query("g16_outcome_label", f"select record_id, {OUTCOME.format('(proba >= 0.5)::int')} as outcome from v_events", "v_events")
 def g16(spark, sf):
     return _events(spark, sf).select("record_id", metrics.outcome_label().alias("outcome"))
