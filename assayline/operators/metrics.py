@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.columns import chi2_p, normal_p, ratio, signed_rank_p
 from assayline.operators.ranks import in_ranges, running
+from assayline.plans.shared import keep
 
 #: 40 thresholds as arange(.1, .9, .02) gives them; the out-of-fold grid has one more.
 STEP = (0.1 + 0.02) - 0.1
@@ -137,8 +138,8 @@ def threshold_decomposition(pred: DataFrame, by: list[str], prevalence: float, s
     return two.join(tune_threshold(pred, by, score), by).select(*by, "mcc_default", "mcc_prevalence", F.col("mcc_tuned").alias("mcc_oracle"))
 
 
-#: A group of equal scores and labels draws its weight in pieces of so many rows at the most.
-PIECE = 256
+#: A group of equal scores and labels draws its weight in pieces of so many rows at the most; distinct scores of a range.
+PIECE, RANGE = 256, 2048
 
 
 @lru_cache(maxsize=PIECE)
@@ -186,7 +187,8 @@ def bootstrap_replicates(pred: DataFrame, by: list[str], n: int = 500, score: st
     replicates are never shuffled. Areas under curves add up over ranges, with the positives of the ranges above.
     """
     name = F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.floor(F.col("score") * float(1 << 40)).cast("long").cast("string"))
-    counts = in_ranges(score_counts(pred, by, score), by, F.desc("score")).select("_part", *by, "score", name.alias("name"), "n0", "n1")
+    counts = keep(score_counts(pred, by, score), "scores")
+    counts = in_ranges(counts, by, F.desc("score"), parts=1 + counts.count() // RANGE).select("_part", *by, "score", name.alias("name"), "n0", "n1")
 
     def draw(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("score", ascending=False)

@@ -27,11 +27,16 @@ def nth_by_draw(df: DataFrame, by: list[str], order: Column, ties: list[str], na
     return rows.withColumn(name, (F.col("_inside") + F.col("_ahead")).cast("long")).drop("_key", "_draw", "_buckets", "_bucket", "_inside", "_ahead")
 
 
-def in_ranges(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
-    """df with _key, its group, and _part, numbers of ranges that ascend in (group, order). Spark samples the cuts; the table is written, so that they stay."""
+def in_ranges(df: DataFrame, by: list[str], *order: Column | str, parts: int | None = None) -> DataFrame:
+    """df with _key, its group, and _part, numbers of ranges that ascend in (group, order). Spark samples the cuts; the table is written, so that they stay.
+
+    Without `parts` there are as many ranges as spark.sql.shuffle.partitions says, small ones put together up to
+    spark.sql.adaptive.advisoryPartitionSizeInBytes.
+    """
     key = F.struct(*by) if by else F.struct(F.lit(0))
     rows = df.withColumn("_key", key)
-    return keep(rows.repartitionByRange("_key", *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ranged = rows.repartitionByRange(parts, "_key", *order) if parts else rows.repartitionByRange("_key", *order)
+    return keep(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def running(df: DataFrame, by: list[str], order: list[Column | str], sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:

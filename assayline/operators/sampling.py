@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayline.functions.columns import draw
 from assayline.operators.features import standardize
 from assayline.operators.joins import knn, squared_distance
-from assayline.operators.ranks import nth_by_draw, percentiles
+from assayline.operators.ranks import nth_by_draw, percentiles, running
 from assayline.plans.shared import keep
 
 
@@ -29,18 +29,23 @@ def random_undersample(df: DataFrame, by: list[str], seed: int = 42) -> DataFram
     return nth_by_draw(df, [*by, "label"], draw(seed, "record_id"), ["record_id"], "_nth").join(n, by).filter("_nth <= _least").drop("_nth", "_least")
 
 
-def near_miss(df: DataFrame, m: int = 3, k: int = 3) -> DataFrame:
-    """All positives, and as many negatives: those among each positive's m nearest negatives whose mean distance to their k nearest positives is largest."""
+def near_miss(df: DataFrame, m: int = 3, k: int = 3, seed: int = 42) -> DataFrame:
+    """All positives, and as many negatives: those among each positive's m nearest negatives whose mean distance to their k nearest positives is largest, the smaller record_id of equals. Random undersampling if a class has too few rows for that."""
     pos, neg = df.filter("label = 1"), df.filter("label = 0")
-    near = neg.join(knn(pos, neg, m).select(F.col("neighbour").alias("record_id")).distinct(), "record_id", "left_semi")
-    far = knn(near, pos, k).groupBy("record_id").agg(F.avg("dist").alias("far"))
-    keep = far.orderBy(F.desc("far"), "record_id").limit(pos.count()).select("record_id")
-    return pos.unionByName(neg.join(keep, "record_id", "left_semi"))
+    n = df.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
+    if n["p"] < k or n["n"] < m:
+        return random_undersample(df.withColumn("_all", F.lit(1)), ["_all"], seed).drop("_all")
+    near = keep(neg.join(knn(pos, neg, m).select(F.col("neighbour").alias("record_id")).distinct(), "record_id", "left_semi"), "near")
+    far = knn(near, pos, k).groupBy("record_id").agg(F.round(F.avg("dist"), 12).alias("far")).withColumn("one", F.lit(1))
+    chosen = running(far, [], [F.desc("far"), "record_id"], {"nth": "one"}).filter(F.col("nth") <= n["p"]).select("record_id")
+    return pos.unionByName(neg.join(chosen, "record_id", "left_semi"))
 
 
 def smote_tomek(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """Positives filled up to the number of negatives by points between a positive and one of its k nearest positives, then rows of Tomek links removed. Made rows have negative ids."""
+    """Positives filled up to the number of negatives by points between a positive and one of its k nearest positives, then rows of Tomek links removed. Made rows have negative ids. Random undersampling if positives have too few rows for k neighbours."""
     pos = df.filter("label = 1")
+    if pos.count() <= k:
+        return random_undersample(df.withColumn("_all", F.lit(1)), ["_all"], seed).select("record_id", "v", "label")
     near = knn(pos, pos, k).select(F.col("record_id").alias("i"), F.col("neighbour").alias("j"))
     n = df.agg((F.count_if(F.col("label") == 0) - F.count_if(F.col("label") == 1)).alias("missing"), F.count_if(F.col("label") == 1).alias("p"))
     rounds = near.crossJoin(F.broadcast(n)).withColumn("times", F.ceil(F.col("missing") / F.greatest(F.col("p") * k, F.lit(1)))).filter("times > 0").withColumn("t", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
@@ -56,38 +61,69 @@ def smote_tomek(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     return both.join(tomek, "record_id", "left_anti")
 
 
-def kmeans_medoid_sample(df: DataFrame, cols: list[str], n: int, most: int = 50, seed: int = 42) -> DataFrame:
-    """n diverse rows, or all if there are no more: standardized columns in min(n, most) clusters, of each its rows nearest to the centre; once a cluster has no more rows, the others give more."""
-    k = max(2, min(n, most))
-    z = standardize(df, cols)
-    x = VectorAssembler(inputCols=cols, outputCol="_x").transform(z)
-    model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="_c").fit(x)
+def drawn(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n rows, those of the smallest hashes of record_id; all if there are no more."""
+    return nth_by_draw(df, [], draw(seed, "record_id"), ["record_id"], "_nth").filter(F.col("_nth") <= n).drop("_nth")
+
+
+def kmeans_medoid_sample(df: DataFrame, cols: list[str], n: int, seed: int = 42) -> DataFrame:
+    """n diverse rows, or all if there are no more: standardized columns in n clusters, of each the row nearest to its centre, the smaller record_id of equals.
+
+    Seeds are those of k-means||, and assignment skips centres by the distances between them. Where rows coincide there are
+    fewer clusters than n; what then misses is drawn from the rest by a hash. The driver holds n centres.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    if n < 2:
+        return drawn(df, n, seed)
+    x = keep(VectorAssembler(inputCols=cols, outputCol="_x").transform(standardize(df, cols)).select("record_id", "_x"), "kmeans")
+    model = KMeans(k=n, seed=seed, initMode="k-means||", featuresCol="_x", predictionCol="_c").fit(x)
     centres = df.sparkSession.createDataFrame([(i, [float(y) for y in c]) for i, c in enumerate(model.clusterCenters())], "_c int, _v array<double>")
-    d = model.transform(x).select("record_id", "_c", F.array(*cols).alias("_z")).join(F.broadcast(centres), "_c")
-    ranked = d.select("record_id", F.row_number().over(W.partitionBy("_c").orderBy(squared_distance(F.col("_z"), F.col("_v")), "record_id")).alias("_r"))
-    chosen = ranked.orderBy("_r", "record_id").limit(n).select("record_id")
+    near = model.transform(x).join(centres, "_c").select("_c", "record_id", squared_distance(vector_to_array("_x"), F.col("_v")).alias("_d"))
+    chosen = keep(near.groupBy("_c").agg(F.min_by("record_id", F.struct("_d", "record_id")).alias("record_id")).select("record_id"), "medoids")
+    missing = n - chosen.count()
+    if missing:
+        rest = df.select("record_id").join(chosen, "record_id", "left_anti")
+        chosen = chosen.unionByName(drawn(rest, missing, seed))
     return df.join(chosen, "record_id", "left_semi")
 
 
 def profile_quotas(df: DataFrame, n: int, profile: str = "profile") -> DataFrame:
-    """(profile, quota): n shared out by the profiles of positives, 1 at the least."""
+    """(profile, k, quota): n shared out by the k positives of each profile, 1 at the least."""
     pos = df.filter("label = 1").groupBy(profile).agg(F.count("*").alias("k"))
     total = pos.agg(F.sum("k").alias("t"))
-    return pos.crossJoin(F.broadcast(total)).select(profile, F.greatest(F.lit(1), F.round(F.col("k").cast("double") / F.col("t") * n)).cast("int").alias("quota"))
-
-
-def profile_stratified_sample(df: DataFrame, n: int, profile: str = "profile", seed: int = 42) -> DataFrame:
-    """Negatives whose profiles are distributed as those of positives."""
-    neg = nth_by_draw(df.filter("label = 0"), [profile], draw(seed, "record_id"), ["record_id"], "_r")
-    return neg.join(profile_quotas(df, n, profile), profile).filter(F.col("_r") <= F.col("quota")).drop("_r", "quota")
-
-
-def combined_sample(df: DataFrame, cols: list[str], n: int, w: float = 0.5, profile: str = "profile") -> DataFrame:
-    """n negatives, or all if there are no more: at most round(w * n) by profile, the rest by clusters from those that remain."""
-    part = round(w * n)
-    first = profile_stratified_sample(df, part, profile).orderBy(draw(42, "record_id"), "record_id").limit(part)
-    rest = df.filter("label = 0").join(first.select("record_id"), "record_id", "left_anti")
-    return first.unionByName(kmeans_medoid_sample(rest, cols, n - first.count()))
+    return pos.crossJoin(F.broadcast(total)).select(profile, "k", F.greatest(F.lit(1), F.round(F.col("k").cast("double") / F.col("t") * n)).cast("int").alias("quota"))
+
+
+def profile_draw(df: DataFrame, n: int, profile: str = "profile", seed: int = 42) -> DataFrame:
+    """At most n negatives, or all if there are no more than n: of each profile that positives have its quota, by a hash; profiles with more positives first (then by name), cut at n."""
+    neg = df.filter("label = 0")
+    if neg.count() <= n:
+        return neg
+    quotas = profile_quotas(df, n, profile).join(neg.groupBy(profile).agg(F.count("*").alias("_have")), profile)
+    quotas = quotas.withColumn("_take", F.least(F.col("quota").cast("long"), "_have"))
+    ahead = running(quotas, [], [F.desc("k"), profile], {"_upto": "_take"}).select(profile, "_take", (F.col("_upto") - F.col("_take")).alias("_ahead"))
+    rows = nth_by_draw(neg, [profile], draw(seed, "record_id"), ["record_id"], "_nth").join(ahead, profile)
+    return rows.filter((F.col("_nth") <= F.col("_take")) & (F.col("_ahead") + F.col("_nth") <= n)).select(*df.columns)
+
+
+def profile_stratified_sample(df: DataFrame, cols: list[str], n: int, profile: str = "profile", seed: int = 42) -> DataFrame:
+    """n negatives, or all if there are no more, whose profiles are distributed as those of positives; what quotas leave open is filled with diverse rows from the rest."""
+    first = keep(profile_draw(df, n, profile, seed), "by-profile")
+    missing = n - first.count()
+    if missing <= 0:
+        return first
+    rest = df.filter("label = 0").join(first.select("record_id"), "record_id", "left_anti").select(*df.columns)
+    return first.unionByName(kmeans_medoid_sample(rest, cols, missing, seed))
+
+
+def combined_sample(df: DataFrame, cols: list[str], n: int, w: float = 0.5, profile: str = "profile", seed: int = 42) -> DataFrame:
+    """n negatives, or all if there are no more: round(w * n) of them by profile, one at the least, the others diverse rows from the rest."""
+    part = max(1, round(w * n))
+    first = keep(profile_stratified_sample(df, cols, part, profile, seed), "by-profile")
+    rest = df.filter("label = 0").join(first.select("record_id"), "record_id", "left_anti").select(*df.columns)
+    return first.unionByName(kmeans_medoid_sample(rest, cols, n - part, seed)) if n > part else first
 
 
 def sampling_coverage(everything: DataFrame, chosen: DataFrame, cols: list[str]) -> DataFrame:

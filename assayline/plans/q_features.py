@@ -174,11 +174,17 @@ def h6(spark, sf):
     return _counts(spark, sf).select("record_id", features.profile_key(list(features.PATTERNS)).alias("profile"))
 
 
-@query("h7_profile_stratified_sample", f"""+ c as ({COUNTS}), p as (select record_id, 1 - label as label, {PROFILE} as profile from c where label is not null), q as (select profile, greatest(1, round(count(*)::double / (select count(*) from p where label = 1) * 100))::int as quota from p where label = 1 group by profile),
- r as (select *, row_number() over (partition by profile order by {draw_sql("'42'", "record_id::varchar")}, record_id) as nth from p where label = 0) select record_id, profile from r join q using (profile) where nth <= quota""", "v_docs")
+@query("h7_profile_stratified_sample", f"""+ c as ({COUNTS}), p as (select record_id, 1 - label as label, {PROFILE} as profile from c where label is not null), q as (select profile, count(*) as k, greatest(1, round(count(*)::double / (select count(*) from p where label = 1) * 100))::int as quota from p where label = 1 group by profile),
+ r as (select *, row_number() over (partition by profile order by {draw_sql("'42'", "record_id::varchar")}, record_id) as nth from p where label = 0), s as (select record_id, profile, row_number() over (order by k desc, profile, nth) as i from r join q using (profile) where nth <= quota)
+ select record_id, profile from s where i <= 100 and (select count(*) from r) > 100 union all select record_id, profile from r where (select count(*) from r) <= 100""", "v_docs")
 def h7(spark, sf):
     c = _counts(spark, sf).filter("label is not null").withColumn("label", 1 - F.col("label"))
-    return sampling.profile_stratified_sample(c.select("record_id", "label", features.profile_key(list(features.PATTERNS)).alias("profile")), 100).select("record_id", "profile")
+    return sampling.profile_draw(c.select("record_id", "label", features.profile_key(list(features.PATTERNS)).alias("profile")), 100).select("record_id", "profile")
+
+
+@query("h7_profile_stratified_filled")
+def h7_filled(spark, sf):
+    return sampling.profile_stratified_sample(_negatives(spark, sf), NUMBERS, 100).select("record_id", "profile")
 
 
 @query("h8_combined_sample")

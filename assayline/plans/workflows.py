@@ -139,7 +139,7 @@ def sampling_cv_eval(df: DataFrame, model: str = "logistic", k: int = 3) -> Data
 def sampling_grid(df: DataFrame, cols: list[str], ratios: tuple[int, ...] = (1, 2), model: str = "logistic") -> DataFrame:
     """Ways to choose negatives by ratio, each scored by CV; best MCC, then best balanced accuracy, first."""
     c = df.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
-    ways = {"kmeans": lambda n: sampling.kmeans_medoid_sample(df.filter("label = 0"), cols, n), "profile": lambda n: sampling.profile_stratified_sample(df, n), "combined": lambda n: sampling.combined_sample(df, cols, n)}
+    ways = {"kmeans": lambda n: sampling.kmeans_medoid_sample(df.filter("label = 0"), cols, n), "profile": lambda n: sampling.profile_stratified_sample(df, cols, n), "combined": lambda n: sampling.combined_sample(df, cols, n)}
     out = None
     for r in [r for r in ratios if r <= min(5, c["n"] // max(c["p"], 1))]:
         for name, f in ways.items():

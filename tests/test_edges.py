@@ -196,7 +196,7 @@ def test_samples_are_filled_up(spark):
     """One hot cluster and two far rows; no negative has the positives' profile, or each has one of its own."""
     rows = [(i, 0, "n", float(i % 10), float(i // 10)) for i in range(100)] + [(100, 0, "n", 900.0, 0.0), (101, 0, "n", 0.0, 900.0), (102, 1, "p", 1.0, 1.0)]
     df = spark.createDataFrame(rows, "record_id long, label int, profile string, a double, b double")
-    assert sampling.kmeans_medoid_sample(df.filter("label = 0"), ["a", "b"], 60, most=3).count() == 60
+    assert sampling.kmeans_medoid_sample(df.filter("label = 0"), ["a", "b"], 60).count() == 60
     assert sampling.combined_sample(df, ["a", "b"], 60).count() == 60
     many = df.unionByName(df.filter("label = 0").withColumns({"label": F.lit(1), "record_id": F.col("record_id") + 1000})).withColumn("profile", (F.col("record_id") % 1000).cast("string"))
     assert sampling.combined_sample(many, ["a", "b"], 60).select("record_id").distinct().count() == 60
@@ -246,5 +246,4 @@ def test_tanimoto_blocks(spark):
     for i, x in sets:
         if i % 3 == 0:
             want[i] = max((len(set(x or ()) & set(y)) / len(set(x or ()) | set(y)) for j, y in sets if j % 3 and y), default=0.0)
-    for block in (8192, 7):
-        assert {r["record_id"]: r["max_sim"] for r in joins.tanimoto_max(train, test, block=block).collect()} == want
+    assert {r["record_id"]: r["max_sim"] for r in joins.tanimoto_max(train, test).collect()} == want
