@@ -12,19 +12,21 @@ from assayline.plans.shared import keep
 def nth_by_draw(df: DataFrame, by: list[str], order: Column, ties: list[str], name: str = "nth", bucket_rows: int = 20_000) -> DataFrame:
     """df with `name`, the number from 1 of each row in its group by (order, ties), order being a draw from [0, 2**32).
 
-    The same as row_number over one window a group, but a group's draws are cut into ranges of about bucket_rows rows: rows
-    are numbered within a range, and ranges by the counts of those before, so a hot group is spread over many tasks. Null is
-    a group like others.
+    The same as row_number over one window a group, but a group's draws are cut into ranges of about bucket_rows rows (4,096
+    ranges at the most): rows are numbered within a range, and ranges by the counts of those before, so a hot group is spread
+    over many tasks. One count of narrow slots gives the ranges and what lies before them. Null is a group like others.
     """
     key = F.struct(*by) if by else F.struct(F.lit(0))
-    rows = df.withColumns({"_key": key, "_draw": order})
-    sizes = rows.groupBy("_key").agg(F.ceil(F.count("*") / F.lit(bucket_rows)).alias("_buckets"))
-    rows = rows.join(sizes, "_key").withColumn("_bucket", F.floor(F.col("_draw") * F.col("_buckets") / F.lit(1 << 32)))
-    counts = rows.groupBy("_key", "_bucket").agg(F.count("*").alias("_k"))
-    counts = counts.select("_key", "_bucket", (F.sum("_k").over(W.partitionBy("_key").orderBy("_bucket")) - F.col("_k")).alias("_ahead"))
+    rows = df.withColumns({"_key": key, "_draw": order}).withColumn("_slot", F.shiftright("_draw", 20).cast("int"))
+    own = W.partitionBy("_key")
+    slots = rows.groupBy("_key", "_slot").agg(F.count("*").alias("_k"))
+    slots = slots.select("_key", "_slot", F.sum("_k").over(own).alias("_size"), (F.sum("_k").over(own.orderBy("_slot")) - F.col("_k")).alias("_ahead"))
+    bits = F.least(F.lit(12), F.ceil(F.log2(F.ceil(F.col("_size") / F.lit(bucket_rows))))).cast("int")
+    slots = slots.withColumn("_bits", bits).withColumn("_bucket", F.expr("shiftright(_slot, 12 - _bits)"))
+    slots = slots.select("_key", "_slot", "_bucket", F.min("_ahead").over(W.partitionBy("_key", "_bucket")).alias("_ahead"))
     inside = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy("_draw", *ties))
-    rows = rows.withColumn("_inside", inside).join(counts, ["_key", "_bucket"])
-    return rows.withColumn(name, (F.col("_inside") + F.col("_ahead")).cast("long")).drop("_key", "_draw", "_buckets", "_bucket", "_inside", "_ahead")
+    rows = rows.join(slots, ["_key", "_slot"]).withColumn("_inside", inside)
+    return rows.withColumn(name, (F.col("_inside") + F.col("_ahead")).cast("long")).drop("_key", "_draw", "_slot", "_bucket", "_inside", "_ahead")
 
 
 def in_ranges(df: DataFrame, by: list[str], *order: Column | str, parts: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.columns import draw
 from assayline.operators.ranks import nth_by_draw
+from assayline.plans.shared import keep
 
 
 def assign_groups(df: DataFrame, key: str = "key", sep: str = "|") -> DataFrame:
@@ -102,19 +103,40 @@ def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label: str = "la
 
 
 def leave_source_out(df: DataFrame, source: str = "domain", least: int = 10) -> DataFrame:
-    """df once per held-out source, with role train or test; sources with a side of under `least` rows or of one class are left out."""
+    """(held_out, role, n, n_pos): rows and positives of each source as the test side, and of all others as the training side, by subtraction from the totals; sources with a side of under `least` rows or of one class are left out.
+
+    Membership is a predicate (`role_of`), so rows are never copied once a source.
+    """
     g = df.groupBy(source).agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    everything = W.partitionBy()
-    g = g.withColumns({"n_rest": F.sum("n").over(everything) - F.col("n"), "p_rest": F.sum("p").over(everything) - F.col("p")})
-    fine = (F.col("n") >= least) & (F.col("n_rest") >= least) & (F.col("p") > 0) & (F.col("p") < F.col("n")) & (F.col("p_rest") > 0) & (F.col("p_rest") < F.col("n_rest"))
-    held = g.filter(fine).agg(F.array_sort(F.collect_set(source)).alias("held"))
-    return df.crossJoin(held).withColumn("held_out", F.explode("held")).drop("held").withColumn("role", F.when(F.col(source) == F.col("held_out"), "test").otherwise("train"))
+    total = g.agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"))
+    g = g.crossJoin(F.broadcast(total)).withColumns({"n_rest": F.col("_n") - F.col("n"), "p_rest": F.col("_p") - F.col("p")})  # one row
+    fine = (F.col("n") >= least) & (F.col("n_rest") >= least) & (F.col("p") > 0) & (F.col("p") < F.col("n")) & (F.col("p_rest") > 0) & (F.col("p_rest") < F.col("n_rest")) & F.col(source).isNotNull()
+    sides = F.explode(F.array(F.struct(F.lit("test").alias("role"), "n", F.col("p").alias("n_pos")), F.struct(F.lit("train").alias("role"), F.col("n_rest").alias("n"), F.col("p_rest").alias("n_pos"))))
+    return g.filter(fine).select(F.col(source).alias("held_out"), sides.alias("s")).select("held_out", "s.*")
+
+
+def role_of(source: str, held_out) -> Column:
+    """train or test of a row while one source is held out; rows without a source train."""
+    return F.when(F.col(source) == F.lit(held_out), "test").otherwise("train")
 
 
 def learning_fractions(df: DataFrame, fractions: tuple[float, ...] = (0.1, 0.2, 0.3, 0.5, 0.7, 1.0), fold: str = "fold", seed: int = 42, least: int = 10) -> DataFrame:
-    """(fold, fraction, record_id): for each fold and fraction an own draw from its training rows, `least` rows at the least."""
-    rows = df.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
-    rows = nth_by_draw(rows, [fold, "fraction"], draw(seed, F.col("fraction").cast("string"), "record_id"), ["record_id"])
-    n = df.groupBy(F.struct(F.col(fold)).alias("_of")).agg(F.count("*").alias("n"))
-    rows = rows.withColumn("_of", F.struct(F.col(fold))).join(n, "_of").drop("_of")
-    return rows.filter(F.col("nth") <= F.greatest(F.floor(F.col("n") * F.col("fraction")), F.lit(least))).drop("nth", "n")
+    """(fold, fraction, record_id): for each fold and fraction an own draw from its training rows, `least` rows at the least.
+
+    A row is in if its draw isn't above the cut of its fold and fraction, so rows are drawn once and only members leave as
+    rows of their own. Cuts come from counts of 4,096 ranges of draws; only the range in which a cut lies is put in order.
+    """
+    every = [F.struct(F.lit(f).alias("fraction"), draw(seed, F.lit(f).cast("string"), "record_id").alias("draw")) for f in fractions]
+    rows = keep(df.select(F.col(fold).alias("fold"), "record_id", F.array(*every).alias("draws")), "draws")
+    drawn = rows.select("fold", "record_id", F.explode("draws").alias("d")).select("fold", "record_id", "d.fraction", "d.draw", F.shiftright("d.draw", 20).cast("int").alias("slot"))
+    per = W.partitionBy("fold", "fraction")
+    slots = drawn.groupBy("fold", "fraction", "slot").agg(F.count("*").alias("k"))
+    slots = slots.withColumns({"n": F.sum("k").over(per), "upto": F.sum("k").over(per.orderBy("slot"))})
+    slots = slots.withColumn("want", F.least("n", F.greatest(F.floor(F.col("n") * F.col("fraction")), F.lit(least))))
+    edge = slots.filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("k") < F.col("want")))
+    near = drawn.join(F.broadcast(edge.select("fold", "fraction", "slot", (F.col("want") - F.col("upto") + F.col("k")).alias("rest"))), ["fold", "fraction", "slot"])  # one row a fold and fraction
+    near = near.withColumn("nth", F.row_number().over(per.orderBy("draw", "record_id"))).filter("nth = rest")
+    cuts = near.groupBy("fold").agg(F.collect_list(F.struct("fraction", "draw", "record_id")).alias("cuts"))
+    below = lambda d, c: (d["fraction"] == c["fraction"]) & ((d["draw"] < c["draw"]) | ((d["draw"] == c["draw"]) & (F.col("record_id") <= c["record_id"])))
+    kept = rows.join(F.broadcast(cuts), "fold").select("fold", "record_id", F.explode(F.filter("draws", lambda d: F.exists("cuts", lambda c: below(d, c)))).alias("d"))
+    return kept.select(F.col("fold").alias(fold), "d.fraction", "record_id")

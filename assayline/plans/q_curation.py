@@ -402,7 +402,7 @@ def e8(spark, sf):
 
 @query("e9_leave_source_out", "select h.domain as held_out, case when v.domain = h.domain then 'test' else 'train' end as role, count(*) as n, sum(v.label)::bigint as n_pos from v_records v, (select distinct domain from v_records) h group by all", "v_records")
 def e9(spark, sf):
-    return splits.leave_source_out(fx.records(spark, sf)).groupBy("held_out", "role").agg(F.count("*").alias("n"), F.sum("label").alias("n_pos"))
+    return splits.leave_source_out(fx.records(spark, sf))
 
 
 @query("e10_learning_fractions", f"""+ f as (select record_id, ((row_number() over (partition by label order by {draw_sql("'42'", "record_id::varchar")}, record_id) - 1) % 5)::int as fold from v_events), x as (select *, unnest([0.1::double, 0.2, 0.3, 0.5, 0.7, 1.0]) as fraction from f),
