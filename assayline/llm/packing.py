@@ -38,8 +38,9 @@ class ChunkTokenizer(dict):
     That holds for tokenizers whose file has the steps stated above; with any other file whole texts are encoded.
 
     This vocabulary's tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in a
-    row. Chunks repeat, so each is tokenized once and kept, up to about `keep` bytes of them; then the store is emptied. A
-    chunk of more than a hundredth of that is not kept.
+    row. Chunks repeat, so each is tokenized once and kept, up to about `keep` bytes of them in two generations: once the
+    newer one takes half of that, it becomes the older one, and what was the older one goes; a chunk found there moves to
+    the newer one, so that frequent chunks stay. A chunk of more than a hundredth of `keep` is not kept.
     """
 
     def __init__(self, path: str, keep: int = 12_000_000) -> None:
@@ -48,7 +49,7 @@ class ChunkTokenizer(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.keep, self.held, self.tokenizer = keep, 0, Tokenizer.from_file(path)
+        self.keep, self.held, self.older, self.tokenizer = keep, 0, {}, Tokenizer.from_file(path)
         self.model = self.tokenizer.model.tokenize
         spec = json.loads(self.tokenizer.to_str())
         self.plain = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
@@ -57,7 +58,9 @@ class ChunkTokenizer(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         """A plain word is one unit for the model, in lower case, so it goes there directly."""
-        if _PLAIN.fullmatch(chunk):
+        if (ids := self.older.get(chunk)) is not None:
+            pass
+        elif _PLAIN.fullmatch(chunk):
             word = chunk.lower()
             ids = self._ids([t.id for t in self.model(word if word.isascii() else word.translate(self.bytes_of))])
         elif m := _MARKED.fullmatch(chunk):
@@ -68,9 +71,9 @@ class ChunkTokenizer(dict):
         if size * 100 <= self.keep:
             # An entry's objects and its place in the table take about 200 bytes.
             self.held += size + 200
-            if self.held > self.keep:
+            if 2 * self.held > self.keep:
+                self.older, self.held = dict(self), size + 200
                 self.clear()
-                self.held = size + 200
             self[chunk] = ids
         return ids
 
