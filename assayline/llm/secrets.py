@@ -40,7 +40,7 @@ IDENTIFIERS = (
 SEQUENCES = "0123456789 9876543210 1234567890 abcdefghijklmnopqrstuvwxyz zyxwvutsrqponmlkjihgfedcba qwertyuiop asdfghjkl zxcvbnm changeme example placeholder redacted your-api-key-here your_secret_here xxxxxxxxxxxxxxxx 00000000000000000000"
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~!@#$%^&*-]{12,}", re.ASCII)
 _MAIL = re.compile(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.", re.ASCII)
-_WORD = re.compile(r"[^\W\d_]{3,24}")
+_WORD = r"\p{L}{3,24}"
 _HEX, _LETTERS, _BOTH = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnopqrstuvwxyz"
 #: Levels of compression whose added bytes are averaged, as whole bytes are a coarse measure of a short string.
 LEVELS = (6, 9)
@@ -152,38 +152,21 @@ def vocabulary(docs: DataFrame, *, size: int = 32_768, contexts: int = 8) -> str
     bounded by `size`.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: dict[str, int] = {}
-        seen: dict[str, int] = {}
-
-        def rows() -> pd.DataFrame:
-            # A number of 64 bits with a sign.
-            return pd.DataFrame({"word": list(n), "n": list(n.values()), "seen": [(x ^ (1 << 63)) - (1 << 63) for x in seen.values()]}).astype({"word": str, "n": "int64", "seen": "int64"})
-
-        for b in batches:
-            for text in b["text"]:
-                if isinstance(text, str):
-                    before = ""
-                    for word in _WORD.findall(text.lower()):
-                        n[word] = n.get(word, 0) + 1
-                        # Not hash(), which differs between workers.
-                        seen[word] = seen.get(word, 0) | 1 << (len(before) * 31 + sum(map(ord, before[:3])) * 7) % 64
-                        before = word
-            if len(n) > 50_000:
-                yield rows()
-                n, seen = {}, {}
-        yield rows()
-
-    words = docs.select("text").mapInPandas(count, "word string, n long, seen long").groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
+    before = F.concat(F.array(F.lit("")), F.col("words"))
+    pairs = docs.select(words.alias("words")).select(F.explode(F.arrays_zip("words", F.slice(before, F.lit(1), F.size("words")).alias("before"))).alias("p"))
+    pairs = pairs.select(F.col("p.words").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(p.before), 64) as int))").alias("class"))
+    words = pairs.groupBy("word").agg(F.count("*").alias("n"), F.bit_or("class").alias("seen"))
     words = put(words.filter(F.bit_count("seen") >= contexts).select("word", "n", F.floor(F.log2("n") * 8).alias("bin")), "secret-words")
-    # Words of the upper bins of counts, as many bins as hold no more words than can fit: the driver gets no more of them on a larger corpus.
-    room, least = size // 4, None
+    # The size // 4 most frequent words, so that the driver gets no more of them on a larger corpus: whole bins of counts, and of the first bin that doesn't fit its most frequent ones.
+    room, last = size // 4, None
     for r in words.groupBy("bin").count().orderBy(F.desc("bin")).collect():
-        room -= r["count"]
-        if room < 0:
+        if r["count"] > room:
+            last = r["bin"]
             break
-        least = r["bin"]
-    found = sorted(words.filter(F.col("bin") >= least).collect(), key=lambda r: (-r["n"], r["word"])) if least is not None else []
+        room -= r["count"]
+    found = words.collect() if last is None else words.filter(F.col("bin") > last).collect() + words.filter(F.col("bin") == last).orderBy(F.desc("n"), "word").limit(room).collect()
+    found.sort(key=lambda r: (-r["n"], r["word"]))
     out, used = [], 0
     for r in found:
         used += len(r["word"]) + 1
