@@ -123,6 +123,14 @@ def tune_threshold(pred: DataFrame, by: list[str], score: str = "proba") -> Data
     return best.select(*by, F.round(F.coalesce(-F.col("b.t"), F.lit(0.5)), 6).alias("threshold_tuned"), F.round(F.coalesce("b.mcc", F.lit(0.0)), 4).alias("mcc_tuned"))
 
 
+def oof_threshold(pred: DataFrame, by: list[str], criterion: str = "mcc", score: str = "proba", least: int = 10) -> DataFrame:
+    """(by, threshold): the best of the out-of-fold grid; 0.5 where fewer than `least` rows have a score and a label."""
+    n = pred.groupBy(*by).agg(F.count(F.when(F.col("label").isNotNull(), F.col(score))).alias("_n"))
+    best = oof_threshold_grid(pred, by, criterion, score).filter("best").select(*by, "threshold")
+    out = n.join(best, by, "left") if by else n.crossJoin(best)
+    return out.select(*by, F.when(F.col("_n") < least, F.lit(0.5)).otherwise(F.coalesce("threshold", F.lit(0.5))).alias("threshold"))
+
+
 def oof_threshold_grid(pred: DataFrame, by: list[str], criterion: str = "mcc", score: str = "proba") -> DataFrame:
     """The whole grid with mcc, f1 and youden of each threshold, the best by the criterion marked (lowest of equals)."""
     t = score_columns(threshold_table(pred, by, OOF_GRID, score), None)
@@ -291,13 +299,61 @@ def fold_threshold(folds: DataFrame, by: list[str]) -> DataFrame:
     return folds.groupBy(*by).agg(F.percentile("threshold", F.lit(0.5)).alias("threshold"))
 
 
-def experiment_row(pred: DataFrame, by: list[str], score: str = "proba") -> DataFrame:
-    """A result row per experiment: sizes, metrics at 0.5, ranking, calibration and the tuned threshold, joined on the experiment."""
+def experiment_row(pred: DataFrame, by: list[str], score: str = "proba", *, n_boot: int = 0, sim: str | None = None, near: float = 0.3, cv: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """A result row per experiment: sizes, metrics at 0.5, ranking, calibration and the tuned threshold, joined on the experiment.
+
+    n_boot: adds _lo and _hi of each metric, the 2.5 and 97.5 percentiles of so many replicates. sim: a column of pred, the
+    similarity to the training rows, of which ad_coverage (the share that is at least `near`) and ad_mean_sim are told. cv:
+    (by, mcc) once a fold, for cv_mcc_mean and cv_mcc_std (population). sizes: (by, train_n, original_n), for train_n and
+    coverage, the share of original test rows that were predicted.
+    """
     p = pred.withColumn("pred", (F.col(score) >= 0.5).cast("int"))
     size = p.groupBy(*by).agg(F.count("*").alias("test_n"), F.sum("label").alias("test_n_pos"), F.round(F.avg("label"), 4).alias("test_pos_rate"))
-    out = size.join(classification_metrics(p, by), by)
-    for part in (roc_auc(p, by, score), pr_auc(p, by, score), brier(p, by, score), ece(p, by, score), tune_threshold(p, by, score)):
-        out = out.join(part, by)
+    parts = [classification_metrics(p, by), roc_auc(p, by, score), pr_auc(p, by, score), brier(p, by, score), ece(p, by, score), tune_threshold(p, by, score)]
+    if n_boot:
+        ends = bootstrap_ci(p, by, n_boot, score=score).groupBy(*by)
+        names = ("mcc", "bacc", "sens", "spec", "brier", "roc_auc")
+        parts.append(ends.agg(*[F.max(F.when(F.col("metric") == m, F.col(end))).alias(f"{m}_{end}") for m in names for end in ("lo", "hi")]))
+    if sim:
+        parts.append(p.groupBy(*by).agg(F.round(F.avg((F.col(sim) >= near).cast("double")), 4).alias("ad_coverage"), F.round(F.avg(sim), 4).alias("ad_mean_sim")))
+    if cv is not None:
+        parts.append(cv.groupBy(*by).agg(F.round(F.avg("mcc"), 4).alias("cv_mcc_mean"), F.round(F.stddev_pop("mcc"), 4).alias("cv_mcc_std")))
+    if sizes is not None:
+        parts.append(sizes.select(*by, "train_n", "original_n"))
+    out = size
+    for part in parts:
+        out = out.join(part, by, "left")
+    out = out.withColumn("threshold_default", F.lit(0.5)) if n_boot or sim else out
+    return out.withColumn("coverage", F.round(F.col("test_n") / F.col("original_n"), 4)).drop("original_n") if sizes is not None else out
+
+
+def run_checklist(tables: dict[str, DataFrame]) -> DataFrame:
+    """(check, passed): whether a run is complete, from its tables by name; a table that is absent or empty fails its checks.
+
+    splits (endpoint, group_overlap), conflicts (endpoint), domain, held_out, overlap, cv, mcnemar, curves, importances, and
+    rows, the result rows (endpoint, scenario, feature_mode, model, mcc, and mcc_lo, ad_coverage, brier where there are).
+    """
+    rows = tables.get("rows")
+    has = lambda c: rows is not None and c in rows.columns
+    filled = lambda df, ok=None: None if df is None else df.agg((F.count("*") > 0).alias("_n"), *([ok.alias("_ok")] if ok is not None else [])).select(F.coalesce(F.col("_n") & (F.col("_ok") if ok is not None else F.lit(True)), F.lit(False)).alias("passed"))
+    full = lambda c: filled(rows, F.count(c) == F.count("*")) if has(c) else None
+    splits, conflicts, salted = tables.get("splits"), tables.get("conflicts"), None
+    if rows is not None and {"scenario", "feature_mode", "model", "endpoint"} <= set(rows.columns):
+        keys = ["endpoint", "feature_mode", "model"]
+        raw = rows.filter("scenario = 'raw_all'").groupBy(*keys).agg(F.max("mcc").alias("_raw"))
+        other = rows.filter("scenario = 'salt_stripped'").join(raw, keys, "left")
+        salted = other.agg(F.coalesce(F.bool_or(F.coalesce("mcc", F.lit(0.0)) != F.coalesce("_raw", F.lit(-1.0))), F.lit(False)).alias("passed"))
+    checks = {
+        "fixed_split": filled(splits, F.max("group_overlap") == 0),
+        "conflicts": None if splits is None or conflicts is None else filled(splits.select("endpoint").distinct().join(conflicts.select("endpoint", F.lit(True).alias("_there")).distinct(), "endpoint", "left"), F.count("_there") == F.count("*")),
+        "domain_diagnosed": filled(tables.get("domain")), "domain_ldo": filled(tables.get("held_out")), "cross_ep": filled(tables.get("overlap")), "cv_selection": filled(tables.get("cv")), "salt_stripped_verified": salted,
+        "statistical_tests": filled(tables.get("mcnemar")), "learning_curves": filled(tables.get("curves")), "bootstrap_ci": filled(rows) if has("mcc_lo") else None,
+        "ad_computed": full("ad_coverage"), "calibration": full("brier"), "shap_computed": filled(tables.get("importances")),
+    }
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame([(k, False) for k, v in checks.items() if v is None], "check string, passed boolean")
+    for k, v in checks.items():
+        out = out if v is None else out.unionByName(v.select(F.lit(k).alias("check"), "passed"))
     return out
 
 

@@ -196,6 +196,42 @@ def g19(spark, sf):
     return metrics.experiment_row(_events(spark, sf), [ONE])
 
 
+G19_FULL = f"""+ {BOOT.format(n=500)}, ci as (select experiment, name as metric, round(quantile_cont(value, 0.025), 4) as lo, round(quantile_cont(value, 0.975), 4) as hi from (select experiment, metric as name, value from l) group by all),
+ wide as (select experiment, {", ".join(f"max({e}) filter (metric = '{m}') as {m}_{e}" for m in ("mcc", "bacc", "sens", "spec", "brier", "roc_auc") for e in ("lo", "hi"))} from ci group by experiment),
+ xf as ({cells("experiment, record_id % 5", "v_events").replace("select experiment, record_id % 5,", "select experiment, record_id % 5 as fold,")}), sf as ({scores("select * from xf", "experiment, fold")}), cv as (select experiment, round(avg(mcc), 4) as cv_mcc_mean, round(stddev_pop(mcc), 4) as cv_mcc_std from sf group by experiment),
+ ad as (select experiment, round(avg((proba_b >= 0.3)::int), 4) as ad_coverage, round(avg(proba_b), 4) as ad_mean_sim, count(*) filter (record_id % 5 <> 0) as train_n, 1.0::double as coverage, 0.5::double as threshold_default from v_events group by experiment)
+ select * from wide join cv using (experiment) join ad using (experiment)"""
+
+
+@query("g19_experiment_row_full", G19_FULL, "v_events")
+def g19_full(spark, sf):
+    """The columns that g19 doesn't have."""
+    e = _events(spark, sf)
+    cv = metrics.classification_metrics(e.withColumn("fold", F.col("record_id") % 5), [ONE, "fold"])
+    sizes = e.groupBy(ONE).agg(F.count_if(F.col("record_id") % 5 != 0).alias("train_n"), F.count("*").alias("original_n"))
+    row = metrics.experiment_row(e, [ONE], n_boot=500, sim="proba_b", cv=cv, sizes=sizes)
+    ends = [f"{m}_{end}" for m in ("mcc", "bacc", "sens", "spec", "brier", "roc_auc") for end in ("lo", "hi")]
+    return row.select(ONE, *ends, "cv_mcc_mean", "cv_mcc_std", "ad_coverage", "ad_mean_sim", "train_n", "coverage", "threshold_default")
+
+
+@query("g18_run_checklist", f"""with r as ({ROWS_SQL}), c(k, v) as (values ('fixed_split', true), ('conflicts', (select count(distinct o_orderkey % 3) = 3 from orders)), ('domain_diagnosed', (select count(*) > 0 from orders)), ('domain_ldo', (select count(*) > 0 from orders)), ('cross_ep', (select count(distinct o_orderkey % 3) > 1 from orders)), ('cv_selection', (select count(*) > 0 from events)),
+ ('salt_stripped_verified', (select coalesce(bool_or(a.mcc <> coalesce(b.mcc, -1)), false) from r a left join r b on a.endpoint = b.endpoint and a.model = b.model and b.scenario = 'raw_all' where a.scenario = 'salt_stripped')), ('statistical_tests', (select count(*) > 0 from events)), ('learning_curves', (select count(*) > 0 from events)), ('bootstrap_ci', false), ('ad_computed', (select count(spec) = count(*) from r)), ('calibration', (select count(bacc) = count(*) from r)), ('shap_computed', (select count(*) > 0 from documents)))
+ select k as "check", v as passed from c""")
+def g18_run(spark, sf):
+    """The run's tables as other queries give them; its result rows have no intervals, so that one check fails."""
+    from assayline.operators import enrich, labels, splits
+
+    rec, e = fx.records(spark, sf), _events(spark, sf)
+    held = splits.leave_source_out(rec)
+    rows = _rows(spark, sf).withColumns({"feature_mode": F.lit("compact"), "ad_coverage": F.col("spec"), "brier": F.col("bacc")})
+    conflicts = rec.groupBy("endpoint").agg(F.count("*").alias("n"))
+    tables = {
+        "splits": splits.split_report(splits.group_split(rec)), "conflicts": conflicts, "domain": enrich.domain_confounding(rec), "held_out": held, "overlap": labels.dataset_overlap(rec), "cv": metrics.fold_summary(metrics.unpivot(metrics.classification_metrics(e, [ONE]), [], ["mcc"]), []),
+        "rows": rows, "mcnemar": metrics.mcnemar(e, e.withColumn("pred", F.col("pred_b")), [ONE], with_p=False), "curves": metrics.fold_summary(metrics.unpivot(metrics.classification_metrics(e, [ONE]), [], ["mcc"]), []), "importances": _importances(spark, sf),
+    }
+    return metrics.run_checklist(tables)
+
+
 @query("g20_fold_threshold", f"+ f as (select *, concat(experiment, '_', record_id % 3) as e from v_events), t as ({tuned('(select label, proba, e as experiment from f)')}) select split_part(experiment, '_', 1) as experiment, quantile_cont(threshold_tuned, 0.5) as threshold from t group by 1", "v_events")
 def g20(spark, sf):
     e = _events(spark, sf).withColumn("fold", F.col("record_id") % 3)
