@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +98,19 @@ def feature_modes(df: DataFrame, modes: dict[str, list[str]]) -> DataFrame:
     return df
 
 
+def bit_modes(df: DataFrame, cols: list[str], sizes: tuple[int, ...] = (512, 1024, 2048), text: str = "text") -> DataFrame:
+    """df with a vector column fp<n> for each size: the numbers of cols, missing ones 0, and n bits of word shingles after them. Vectors are sparse, so a mode costs what is set."""
+    numbers = VectorAssembler(inputCols=cols, outputCol="_numbers")
+    df = numbers.transform(df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}))
+    for n in sizes:
+        df = hashed_shingle_bits(df, text, n_bits=n)
+        names = F.transform(F.coalesce("bits", F.array().cast("array<int>")), lambda b: b.cast("string"))
+        flags = CountVectorizerModel.from_vocabulary([str(i) for i in range(n)], inputCol="_names", outputCol="_flags").setBinary(True)
+        df = flags.transform(df.withColumn("_names", names))
+        df = VectorAssembler(inputCols=["_numbers", "_flags"], outputCol=f"fp{n}").transform(df).drop("_names", "_flags", "bits")
+    return df.drop("_numbers")
+
+
 def standardize(df: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
     """z-scores with the population's standard deviation; 0 for null, and for a column that doesn't vary."""
     stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))])
@@ -132,7 +145,7 @@ def label_correlation(df: DataFrame, cols: list[str], label: str = "label", with
 
 def vocab_summary(df: DataFrame, by: str) -> DataFrame:
     """Of classified records, per dataset: valid ones, those with vocabulary hits and with parts, rates, and the hits in order as 'word:count'."""
-    base = df.groupBy(by).agg(F.count_if("valid").alias("n_valid"), F.count_if("has_vocab").alias("n_with_vocab"), F.round(F.avg(F.col("has_vocab").cast("double")), 4).alias("vocab_rate"), F.round(F.avg(F.col("has_parts").cast("double")), 4).alias("parts_rate"))
+    base = df.groupBy(by).agg(F.count_if("valid").alias("n_valid"), F.count_if("has_vocab").alias("n_with_vocab"), F.round(F.avg(F.col("has_vocab").cast("double")), 4).alias("vocab_rate"), F.round(F.avg(F.col("has_parts").cast("double")), 4).alias("parts_rate"), F.round(F.avg(F.col("needs_norm").cast("double")), 4).alias("norm_rate"))
     hits = df.select(by, F.explode("vocab_hits").alias("hit")).groupBy(by, "hit").agg(F.count("*").alias("k"))
     top = hits.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("neg"), "hit"))), lambda x: F.concat(x["hit"], F.lit(":"), (-x["neg"]).cast("string"))), "; ").alias("top"))
     return base.join(top, by, "left")

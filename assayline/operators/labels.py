@@ -92,6 +92,14 @@ def rollup_studies(df: DataFrame, entity: str = "entity", most: int = 2) -> Data
     return per.groupBy(entity).agg(F.min("label").alias("label"), F.max("label").alias("_hi"), F.count("*").alias("n_sources")).filter("label = _hi").drop("_hi")
 
 
+def external_rows(ext: DataFrame, train: DataFrame, key: str = "key", least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """External rows whose key isn't in train, none if fewer than `least` are left; and one row (n_given, n_removed, n_left, enough)."""
+    left = remove_overlap(ext, train, key)
+    n = ext.agg(F.count("*").alias("n_given")).crossJoin(F.broadcast(left.agg(F.count("*").alias("n_left"))))  # one row each
+    n = n.select("n_given", (F.col("n_given") - F.col("n_left")).alias("n_removed"), "n_left", (F.col("n_left") >= least).alias("enough"))
+    return left.crossJoin(F.broadcast(n.select(F.col("enough").alias("_enough")))).filter("_enough").drop("_enough"), n
+
+
 def remove_overlap(ext: DataFrame, train: DataFrame, key: str = "key") -> DataFrame:
     return ext.join(train.select(key), key, "left_anti")
 

@@ -31,7 +31,7 @@ def estimator(model: str, seed: int = 42, weight: str | None = None, n_features:
     if model == "logistic":
         return LogisticRegression(**{"maxIter": 30, "regParam": 0.01} | common | params)
     if model == "ann":
-        return MultilayerPerceptronClassifier(**{"layers": [n_features, 16, 8, 2], "maxIter": 30, "seed": seed} | common | params)
+        return MultilayerPerceptronClassifier(**{"layers": [n_features, 128, 64, 2], "maxIter": 60, "seed": seed} | common | params)
     raise ValueError(f"unknown model {model!r}")
 
 
@@ -57,11 +57,19 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).withColumn("weight", F.col("_n") / (F.when(F.col("label") == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p")) * 2)).drop("_n", "_p")
 
 
+def copied(df: DataFrame, weight: str, seed: int = 42) -> DataFrame:
+    """df with rows as often as their weight, scaled so that the smallest is 1, says: for learners that know no weights. What is left of a whole number is drawn by a hash of the row's features."""
+    least = df.agg(F.min(weight).alias("_least"))
+    u = draw(seed, F.xxhash64("features").cast("string")) / F.lit(4294967296.0)
+    times = F.floor(F.col(weight) / F.col("_least") + u).cast("int")
+    return df.crossJoin(F.broadcast(least)).withColumn("_times", times).withColumn("_times", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times", "_least")  # one row
+
+
 def fit(train: DataFrame, model: str, seed: int = 42, **params) -> Scorer:
-    """train: features (vector), label. Classes are weighted to equal weight."""
+    """train: features (vector), label. Classes are weighted to equal weight; for ann, which takes no weights, rows of the smaller class are repeated."""
     n = len(train.first()["features"]) if model == "ann" else 0
     t = balanced(train)
-    fitted = estimator(model, seed, "weight", n, **params).fit(t)
+    fitted = estimator(model, seed, "weight", n, **params).fit(copied(t, "weight", seed) if model == "ann" else t)
     if model != "svm":
         return Scorer(fitted)
     return Scorer(fitted, LogisticRegression(featuresCol="_margin", labelCol="label").fit(_margin(fitted.transform(t)).select("_margin", "label")))
@@ -89,22 +97,22 @@ def cv_mcc(df: DataFrame, model: str, fold: str = "fold", k: int = 5, **params)
     return classification_metrics(scored.withColumn("pred", (F.col("proba") >= 0.5).cast("int")), [fold])
 
 
-def random_search(df: DataFrame, model: str, n_iter: int = 4, k: int = 3, most_svm: int | None = None, seed: int = 42) -> tuple[DataFrame, dict]:
-    """Scores of some of the grid's combinations, drawn by hash, and the best of them. most_svm, if given, is the number of rows above which svm runs with its first setting alone."""
+def random_search(df: DataFrame, model: str, n_iter: int = 10, k: int = 3, fold: str = "fold", seed: int = 42, folder: str | None = None) -> tuple[DataFrame, dict]:
+    """Mean MCC over the folds of some of the grid's settings, drawn by hash, and the best of them, the earlier of equals. df has its folds (group folds keep groups whole); fits run side by side, and with a folder an interrupted search goes on."""
+    from assayline.plans.grid import run_cells
+
     spark = df.sparkSession
     grid = [{}]
     for name, values in GRIDS.get(model, {}).items():
         grid = [g | {name: v} for g in grid for v in values]
-    if model == "svm" and most_svm is not None and df.count() > most_svm:
-        grid = grid[:1]
-    chosen = spark.createDataFrame([(i,) for i in range(len(grid))], "i int").orderBy(draw(seed, "i"), "i").limit(n_iter).collect()
-    rows = []
-    for r in chosen:
-        s = cv_mcc(df, model, k=k, **grid[r["i"]]).agg(F.avg("mcc").alias("m")).first()["m"]
-        rows.append((model, r["i"], str(grid[r["i"]]), float(s)))
-    table = spark.createDataFrame(rows, "model string, i int, params string, mcc double")
-    best = max(rows, key=lambda x: (x[3], -x[1]))
-    return table, grid[best[1]]
+    order = spark.createDataFrame([(i,) for i in range(len(grid))], "i int").orderBy(draw(seed, "i"), "i").limit(n_iter).collect()
+
+    def cell(i: int):
+        return lambda: cv_mcc(df, model, fold, k, **grid[i]).agg(F.avg("mcc").alias("mcc")).select(F.lit(model).alias("model"), F.lit(i).alias("i"), F.lit(str(grid[i])).alias("params"), "mcc")
+
+    table = run_cells(spark, {f"setting-{r['i']}": cell(r["i"]) for r in order}, folder).drop("cell")
+    best = max(table.collect(), key=lambda r: (r["mcc"], -r["i"]))
+    return table, grid[best["i"]]
 
 
 def final_refit(train: DataFrame, model: str, params: dict, resample: Callable[[DataFrame], DataFrame] | None = None) -> Scorer:

@@ -87,7 +87,8 @@ def a9(spark, sf):
     return tb.audit_dataset(fx.records(spark, sf))
 
 
-@query("a10_classify_columns")
+@query("a10_classify_columns", """with n as (select count(distinct p_name) as name, count(distinct p_brand) as brand, count(distinct p_type) as type, 101 as size_text from part) select 'p_partkey' as "column", 'feature' as role union all select 'p_size', 'feature' union all select 'p_retailprice', 'feature' union all select 'label', 'meta' union all select 'size_text', 'feature'
+ union all select 'p_name', case when name > 100 then 'excluded' else 'meta' end from n union all select 'p_brand', case when brand > 100 then 'excluded' else 'meta' end from n union all select 'p_type', case when type > 100 then 'excluded' else 'meta' end from n""")
 def a10(spark, sf):
     return tb.classify_columns(fx.table(spark, sf, "part").withColumn("label", F.lit(1)).withColumn("size_text", F.col("p_size").cast("string")))
 
@@ -191,6 +192,12 @@ def _customers(spark, sf):
 JOINED = "select c_custkey as record_id, case when c_custkey % 3 <> 0 then c_name end as name, c_nationkey, case when c_custkey % 2 = 0 then 'aux' || c_custkey end as name_aux, case when c_custkey % 2 = 0 then c_nationkey * 2 end as score from customer"
 
 
+@query("c9_external_rows", "+ l as (select count(*) as n from v_records where endpoint = 'e1' and key not in (select key from v_records where endpoint = 'e0')) select count(*) as n_given, count(*) - any_value(l.n) as n_removed, any_value(l.n) as n_left, any_value(l.n) >= 20 as enough from v_records, l where endpoint = 'e1'", "v_records")
+def c9_rows(spark, sf):
+    r = fx.records(spark, sf)
+    return labels.external_rows(r.filter("endpoint = 'e1'"), r.filter("endpoint = 'e0'"))[1]
+
+
 @query("d1_join_left", JOINED)
 def d1(spark, sf):
     return joins.join_left(*_customers(spark, sf))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from assayline.functions.columns import fisher_exact_p
@@ -10,7 +11,7 @@ from assayline.plans import fixtures as fx
 from assayline.plans import workflows as wf
 from assayline.plans.q_curation import CLASSIFIED
 from assayline.plans.registry import draw_sql, query
-from assayline.plans.shared import keep
+from assayline.plans.shared import keep, scratch
 
 COUNTS = "select record_id, label, domain, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::int as {n}_count" for n, (_, p) in features.PATTERNS.items()) + " from v_docs"
 PRESENT = ", ".join(f"({n}_count >= {k})::int as {n}_{s}" for n in features.PATTERNS for k, s in ((1, "present"), (2, "ge2"), (3, "ge3")))
@@ -92,13 +93,25 @@ NUMBERS = ["length", "tokens", "digits", "upper", "punct", "mean_token", "distin
 
 @query("f8_feature_modes")
 def f8(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
     d = _described(spark, sf)
     out = features.feature_modes(d, {"compact": NUMBERS[:3], "broad": NUMBERS})
     return out.select("record_id", *[F.size(vector_to_array(c)).alias(c) for c in ("compact", "broad")])
 
 
+def _grams(n: int) -> str:
+    return f"len(list_distinct(list_transform(list_concat(w, list_transform(range(1, greatest(len(w) - 1, 1) + 1), lambda i: array_to_string(w[i:i + 1], ' '))), lambda g: ('0x' || substr(md5(g), 1, 8))::bigint % {n})))"
+
+
+@query("f8_bit_modes", f"""+ w as (select record_id, {LW} as w, list_filter(string_split(text, ' '), lambda x: x <> '') as v, length(text) as n from v_docs)
+ select record_id, {", ".join(f"{n + 2}::int as size_{n}, {_grams(n)}::int as set_{n}" for n in (512, 1024, 2048))}, round((n + len(v))::double, 6) as total from w where w is not null""", "v_docs")
+def f8_bits(spark, sf):
+    """Sizes of the modes' vectors, how many of their bits are set, and the sum of their numbers."""
+    d = fx.docs(spark, sf).select("record_id", "text").join(_described(spark, sf).select("record_id", "length", "tokens"), "record_id").filter("text is not null")
+    out = features.bit_modes(d, ["length", "tokens"])
+    sums = lambda c: F.aggregate(F.slice(vector_to_array(c), 3, 4096), F.lit(0.0), lambda a, x: a + x).cast("int")
+    return out.select("record_id", *[x for n in (512, 1024, 2048) for x in (F.size(vector_to_array(f"fp{n}")).alias(f"size_{n}"), sums(f"fp{n}").alias(f"set_{n}"))], F.round(F.col("length") + F.col("tokens"), 6).alias("total"))
+
+
 @query("f10_standardize", "select p_partkey as record_id, round(coalesce((p_size - avg(p_size) over ()) / nullif(stddev_pop(p_size) over (), 0), 0), 6) as p_size, round(coalesce((p_retailprice - avg(p_retailprice) over ()) / nullif(stddev_pop(p_retailprice) over (), 0), 0), 6) as p_retailprice from part")
 def f10(spark, sf):
     p = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_size").cast("double"), F.col("p_retailprice").cast("double"))
@@ -114,7 +127,7 @@ def f11(spark, sf):
     return features.label_correlation(_described(spark, sf), CORR)
 
 
-@query("f12_vocab_summary", f"with c as ({CLASSIFIED}), d as (select c.*, lang from c join documents on doc_id = record_id), h as (select lang, x, count(*) as k from (select lang, unnest(vocab_hits) as x from d) group by all), t as (select lang, string_agg(x || ':' || k, '; ' order by k desc, x) as top from h group by lang) select d.lang as domain, count(*) filter (valid) as n_valid, count(*) filter (len(vocab_hits) > 0) as n_with_vocab, round(avg((len(vocab_hits) > 0)::int), 4) as vocab_rate, round(avg((n_fragments > 1)::int), 4) as parts_rate, any_value(top) as top from d left join t using (lang) group by d.lang")
+@query("f12_vocab_summary", f"with c as ({CLASSIFIED}), d as (select c.*, lang from c join documents on doc_id = record_id), h as (select lang, x, count(*) as k from (select lang, unnest(vocab_hits) as x from d) group by all), t as (select lang, string_agg(x || ':' || k, '; ' order by k desc, x) as top from h group by lang) select d.lang as domain, count(*) filter (valid) as n_valid, count(*) filter (len(vocab_hits) > 0) as n_with_vocab, round(avg((len(vocab_hits) > 0)::int), 4) as vocab_rate, round(avg((n_fragments > 1)::int), 4) as parts_rate, round(avg((key_raw <> key_normal)::int), 4) as norm_rate, any_value(top) as top from d left join t using (lang) group by d.lang")
 def f12(spark, sf):
     d = fx.docs(spark, sf)
     return features.vocab_summary(keys.classify_record(d).join(d.select("record_id", "domain"), "record_id"), "domain")
@@ -143,7 +156,9 @@ def _vec(spark, sf):
     return fx.vectors(spark, sf).filter("split = 'train'").withColumn("label", (F.col("record_id") % 4 == 0).cast("int"))
 
 
-@query("h3_near_miss")
+@query("h3_near_miss", """+ x as (select *, (record_id % 4 = 0)::int as y from v_vec where split = 'train'), p as (select * from x where y = 1), n as (select * from x where y = 0), a as (select n.record_id, row_number() over (partition by p.record_id order by list_distance(p.v, n.v), n.record_id) as i from p, n), c as (select distinct record_id from a where i <= 3),
+ f as (select n.record_id, list_distance(n.v, p.v) as d, row_number() over (partition by n.record_id order by list_distance(n.v, p.v), p.record_id) as i from n join c using (record_id), p), g as (select record_id, row_number() over (order by round(avg(d), 12) desc, record_id) as i from f where i <= 3 group by record_id)
+ select record_id, 1 as label from p union all select record_id, 0 from g where i <= (select count(*) from p)""", "v_vec")
 def h3(spark, sf):
     return sampling.near_miss(_vec(spark, sf)).select("record_id", "label")
 
@@ -203,10 +218,21 @@ def h10(spark, sf):
     return wf.sampling_grid(_negatives(spark, sf), NUMBERS, (1, 2))
 
 
+def _imbalance(spark, sf):
+    d = keep(splits.group_split(wf.vectors(_negatives(spark, sf), NUMBERS)).withColumn("endpoint", F.when(F.col("domain").isin("en", "de"), "germanic").otherwise("romance")), "split")
+    v = lambda f: lambda x: x.join(f(x.select("record_id", "label", vector_to_array("features").alias("v"))).select("record_id"), "record_id", "left_semi")
+    ways = {"none": lambda x: x, "undersample": lambda x: sampling.random_undersample(x, ["split"]), "near_miss": v(sampling.near_miss)}
+    return wf.imbalance_study(d, ways)
+
+
 @query("h11_imbalance_study")
 def h11(spark, sf):
-    d = keep(splits.group_split(wf.vectors(_negatives(spark, sf), NUMBERS)), "split")
-    return wf.imbalance_study(d, {"none": lambda x: x, "undersample": lambda x: sampling.random_undersample(x, ["split"])})
+    return _imbalance(spark, sf)[0]
+
+
+@query("h11_false_positives")
+def h11_fp(spark, sf):
+    return _imbalance(spark, sf)[1]
 
 
 @query("h12_sampling_cv_eval")
@@ -318,10 +344,15 @@ for _name in models.MODELS:
     _fit_query(_name)
 
 
+def _group_folds(spark, sf, k: int):
+    """Rows with folds that keep sources whole."""
+    d = _train(spark, sf).drop("split")
+    return keep(d.join(splits.group_kfold(d, k).select("grp", "fold"), "grp"), "folds")
+
+
 @query("j2_random_search")
 def j2(spark, sf):
-    d = keep(splits.stratified_kfold(_train(spark, sf), 2), "folds")
-    return models.random_search(d, "logistic", 2, 2)[0]
+    return models.random_search(_group_folds(spark, sf, 3), "logistic")[0]
 
 
 @query("j3_feature_importance")
@@ -359,12 +390,19 @@ def _labelled(spark, sf):
 
 @query("k5_external_validation")
 def k5(spark, sf):
-    return wf.external_validation(*_labelled(spark, sf))
+    return wf.external_validation(*_labelled(spark, sf))["zones"]
+
+
+@query("k5_external_row")
+def k5_row(spark, sf):
+    out = wf.external_validation(*_labelled(spark, sf))
+    return out["row"].crossJoin(F.broadcast(out["domain"])).crossJoin(F.broadcast(out["counts"]))  # one row each
 
 
 @query("k6_fn_augmentation")
 def k6(spark, sf):
     d = wf.vectors(_negatives(spark, sf), NUMBERS).select("record_id", "label", "features")
+    d = d.join(_bits(spark, sf).select("record_id", "bits"), "record_id")
     return wf.fn_augmentation(keep(d.filter("record_id % 3 <> 0"), "train"), keep(d.filter("record_id % 3 = 0"), "pool"))
 
 
@@ -374,10 +412,13 @@ def k7(spark, sf):
     return wf.scenario_selection({"raw_all": wf.vectors(d, NUMBERS), "no_metal": wf.vectors(d.filter("profile not like '%junk%'"), NUMBERS)}, k=2)
 
 
+SCENARIOS = {"raw_all": "true", "no_metal": "profile not like '%junk%'"}
+
+
 @query("k8_locked_test_grid")
 def k8(spark, sf):
-    d = keep(splits.group_split(_negatives(spark, sf)), "grid")
-    return wf.locked_test_grid(d, {"compact": NUMBERS[:3], "broad": NUMBERS}, ("logistic",))
+    d = keep(splits.group_split(_negatives(spark, sf)).withColumn("endpoint", F.col("domain")), "grid")
+    return wf.locked_test_grid(d, {n: F.expr(e) for n, e in SCENARIOS.items()}, {"compact": NUMBERS[:3], "broad": NUMBERS}, ("logistic", "rf"))
 
 
 @query("k9_learning_curve")
@@ -387,7 +428,7 @@ def k9(spark, sf):
 
 @query("k10_leave_source_out_eval")
 def k10(spark, sf):
-    return wf.leave_source_out_eval(_train(spark, sf).drop("split"), n_boot=10)
+    return wf.leave_source_out_eval(_train(spark, sf).drop("split"))
 
 
 @query("k11_oof_predictions")
@@ -398,22 +439,54 @@ def k11(spark, sf):
 
 @query("k12_nested_cv")
 def k12(spark, sf):
-    d = keep(splits.stratified_kfold(_train(spark, sf).drop("split"), 2), "folds")
-    return wf.nested_cv(d, "logistic", lambda x: sampling.random_undersample(x.withColumn("all", F.lit(1)), ["all"]), k=2, n_iter=1)
+    return wf.nested_cv(_group_folds(spark, sf, 3), "logistic", lambda x: sampling.random_undersample(x.withColumn("all", F.lit(1)), ["all"]))
+
+
+def _ablation(spark, sf):
+    d = keep(splits.group_split(_negatives(spark, sf)), "ablation")
+    return wf.ablation_study(d, {"compact": NUMBERS[:3], "tabular": NUMBERS}, ("logistic", "rf"), k=2)
 
 
 @query("k13_ablation_study")
 def k13(spark, sf):
-    return wf.ablation_study(_negatives(spark, sf), {"compact": NUMBERS[:3], "tabular": NUMBERS}, ("logistic",), k=2)
+    return _ablation(spark, sf)[1]
+
+
+@query("k13_ablation_rows")
+def k13_rows(spark, sf):
+    return _ablation(spark, sf)[0]
 
 
 @query("k14_fold_report")
 def k14(spark, sf):
-    return wf.fold_report(_bits(spark, sf, True).withColumn("all", F.lit(1)), resample=lambda x: sampling.random_undersample(x, ["all"]))
+    return wf.fold_report(_bits(spark, sf, True).withColumn("all", F.lit(1)), resample=lambda x: sampling.random_undersample(x, ["all"]))[0]
+
+
+@query("k14_fold_scores")
+def k14_scores(spark, sf):
+    d = _bits(spark, sf, True).filter("label is not null").withColumn("all", F.lit(1))
+    return wf.fold_report(d, resample=lambda x: sampling.random_undersample(x, ["all"]), model="logistic")[0]
+
+
+@query("k14_bit_manifest", f"""+ w as (select record_id, label, {LW} as w from v_docs where label is not null and record_id % 5 <> 0), b as (select record_id, label, list_distinct(list_transform(list_concat(w, list_transform(range(1, greatest(len(w) - 1, 1) + 1), lambda i: array_to_string(w[i:i + 1], ' '))), lambda g: ('0x' || substr(md5(g), 1, 8))::bigint % 1024)) as bits from w),
+ f as (select *, (row_number() over (partition by label order by {draw_sql("'42'", "record_id::varchar")}, record_id) - 1) % 3 as fold from b), n as (select k, count(*) as n from f, range(3) t(k) where fold <> k group by k),
+ c as (select k, bit, count(*) as m from (select k, unnest(bits) as bit from f, range(3) t(k) where fold <> k) group by all), s as (select c.k, bit from c join n using (k) where m / n.n::double between 0.05 and 0.95)
+ select bit::int as bit, array_to_string(list(k order by k), ',') as folds, count(*) as n_folds from s group by bit""", "v_docs")
+def k14_manifest(spark, sf):
+    d = _bits(spark, sf, True).filter("label is not null")
+    return wf.fold_report(d)[1].withColumn("folds", F.array_join(F.transform("folds", lambda x: x.cast("string")), ","))
 
 
 @query("k16_build_feature_table", f"select record_id, label, domain, grp, length(text)::int as length, len(bits)::int as n_bits from v_docs join (select record_id, list_distinct(list_transform(list_concat(w, list_transform(range(1, greatest(len(w) - 1, 1) + 1), lambda i: array_to_string(w[i:i + 1], ' '))), lambda g: ('0x' || substr(md5(g), 1, 8))::bigint % 256)) as bits from (select record_id, {LW} as w from v_docs)) using (record_id)", "v_docs")
 def k16(spark, sf):
     d = fx.docs(spark, sf)
-    wide = wf.build_feature_table(d, features.text_descriptors(d).select("record_id", "length"))
+    wide, _ = wf.build_feature_table(d, features.text_descriptors(d).select("record_id", "length"))
     return wide.select("record_id", "label", "domain", "grp", "length", F.size("bits").alias("n_bits"))
+
+
+@query("k16_block_audit", "select case when doc_id % 5 = 0 then 'test' else 'train' end as split, count(*) as n, unnest(['bits', 'descriptors']) as block, unnest([1, 2]) as n_columns, unnest([0, 0]) as n_null from documents group by 1")
+def k16_audit(spark, sf):
+    """The table is written split by split and read again before it is audited."""
+    d = fx.docs(spark, sf).withColumn("split", F.when(F.col("record_id") % 5 == 0, "test").otherwise("train"))
+    aux = features.text_descriptors(d).select("record_id", F.col("length").alias("d_length"), F.col("tokens").alias("d_tokens"))
+    return wf.build_feature_table(d, aux, blocks={"bits": "bits", "descriptors": "d_"}, path=scratch(spark, "features"))[1].withColumn("n_columns", F.col("n_columns").cast("int"))
