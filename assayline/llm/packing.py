@@ -43,7 +43,7 @@ class ChunkTokenizer(dict):
     the newer one, so that frequent chunks stay. A chunk of more than a hundredth of `keep` is not kept.
     """
 
-    def __init__(self, path: str, keep: int = 12_000_000) -> None:
+    def __init__(self, path: str, keep: int = 48_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
