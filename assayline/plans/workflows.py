@@ -19,6 +19,15 @@ def vectors(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features").transform(df)
 
 
+def bit_vectors(df: DataFrame, bits: list[int]) -> DataFrame:
+    """df with features: a sparse vector that has 1 for each of the given bits that a row has."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    names = F.transform(F.coalesce("bits", F.array().cast("array<int>")), lambda b: b.cast("string"))
+    model = CountVectorizerModel.from_vocabulary([str(b) for b in bits] or ["none"], inputCol="_names", outputCol="features").setBinary(True)
+    return model.transform(df.withColumn("_names", names)).drop("_names")
+
+
 def predicted(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.withColumn("pred", (F.col("proba") >= threshold).cast("int"))
 
@@ -206,8 +215,7 @@ def external_validation(train: DataFrame, ext: DataFrame, model: str = "logistic
     ext, counts = labels.external_rows(ext, train, "text")
     tr, te = hashed_shingle_bits(train, n_bits=n_bits), hashed_shingle_bits(ext, n_bits=n_bits)
     bits = [r["bit"] for r in bit_prevalence_filter(tr, 0.05, 0.95).orderBy("bit").collect()]  # at most n_bits
-    one = {f"b{b}": F.array_contains("bits", b).cast("double") for b in bits}
-    tr, te = keep(vectors(tr.withColumns(one), list(one)), "train"), keep(vectors(te.withColumns(one), list(one)), "ext")
+    tr, te = keep(bit_vectors(tr, bits), "train"), keep(bit_vectors(te, bits), "ext")
     scored = models.fit_score(tr, te, model)
     oof = metrics.tune_threshold(models.oof_predictions(splits.stratified_kfold(tr, 3), model, k=3), []).first()["threshold_tuned"]
     sims, near = domain.ad_similarity(tr, te)
@@ -264,8 +272,7 @@ def fold_report(df: DataFrame, k: int = 3, resample: Callable[[DataFrame], DataF
 
         def cell(i: int) -> Callable[[], DataFrame]:
             def run() -> DataFrame:
-                one = {f"b{b}": F.array_contains("bits", b).cast("double") for b in own[i]}
-                x = vectors(folded.withColumns(one), list(one)).select("record_id", "fold", "label", "features", *([c for c in ("all",) if c in folded.columns]))
+                x = bit_vectors(folded, own[i]).select("record_id", "fold", "label", "features", *([c for c in ("all",) if c in folded.columns]))
                 train = x.filter(F.col("fold") != i)
                 scored = predicted(models.fit_score(keep(resample(train) if resample else train, "resampled"), x.filter(F.col("fold") == i), model))
                 return metrics.classification_metrics(scored, ["fold"]).select("fold", "mcc", "bacc", "sens", "spec")
