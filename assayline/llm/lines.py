@@ -96,14 +96,15 @@ def line_runs(words: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def deletions(docs: DataFrame, *, line_words: int = 3, block_words: int = 10) -> DataFrame:
-    """(doc_id, version, gone): numbers of the lines to delete from each document; version is a hash of its text.
+    """(doc_id, version, gone, aligned): numbers of the lines to delete from each document, and those of them that lie in aligned blocks; version is a hash of its text.
 
     Lines of at least line_words words are compared, trimmed; other lines neither count nor break a block. A document is a
     doc_id and a text, so an id that stands for two texts is two documents; they are in order of doc_id, then version. Each
     shortest run of compared lines with at least block_words words has a first holder, a grouped minimum that is exact for
     any number of holders. Every later document is aligned with the first holder of each of its runs, so n holders give
     n - 1 pairs, not n * n, and aligned blocks of at least block_words words go from the later document. What no alignment
-    in order can hold, blocks that moved or repeat, goes by the runs themselves, of which any block is made.
+    in order can hold, blocks that moved or repeat, goes by the runs themselves: lines that are gone but not aligned. Long
+    texts take time in proportion to their lines, but for lines that repeat within a text.
     """
     small_batches(docs.sparkSession)
     line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.regexp_count(x, F.lit(WORD)).alias("words"), F.unhex(F.md5(F.trim(x))).alias("h")))
@@ -141,31 +142,35 @@ def deletions(docs: DataFrame, *, line_words: int = 3, block_words: int = 10) ->
             yield pd.DataFrame(out, columns=["doc", "at"])
 
     aligned = pairs.select("doc", "pos", "words", "h", "other").mapInPandas(align, f"doc {kind}, at array<int>")
-    gone = aligned.union(held.select("doc", "at")).select("doc", F.explode("at").alias("pos"))
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("gone")).select("doc.doc_id", "doc.version", "gone")
+    gone = aligned.withColumn("how", F.lit(True)).union(held.select("doc", "at", F.lit(False))).select("doc", "how", F.explode("at").alias("pos"))
+    sets = [F.array_sort(F.collect_set(x)).alias(n) for n, x in (("gone", F.col("pos")), ("aligned", F.when(F.col("how"), F.col("pos"))))]
+    return gone.groupBy("doc").agg(*sets).select("doc.doc_id", "doc.version", "gone", "aligned")
 
 
-def dedup_lines(docs: DataFrame, **how) -> DataFrame:
-    """docs, with text without its deleted lines, and n_lines, n_deleted, deleted_lines (numbers from 0, comma-joined).
+def dedup_lines(docs: DataFrame, *, with_aligned: bool = False, **how) -> DataFrame:
+    """docs, with text without its deleted lines, and n_lines, n_deleted, deleted_lines (numbers from 0, comma-joined); with_aligned adds n_aligned, how many of them lie in aligned blocks (the others moved or repeat).
 
     A document whose lines all go keeps an empty text. Null text: stays null, 0 lines. Null doc_id: left as it is. Rows
     that repeat a doc_id with an equal text are one document, and all its rows are changed alike; those of one doc_id with
-    other texts are documents of their own. Empty table: empty result. Columns named like the three new ones are replaced;
+    other texts are documents of their own. Empty table: empty result. Columns named like the new ones are replaced;
     all others stay, whatever their names.
     """
-    gone = put(deletions(docs, **how).select(F.struct("doc_id", "version").alias("doc"), "gone"), "lines-gone")
-    docs = docs.drop("n_lines", "n_deleted", "deleted_lines")
+    gone = put(deletions(docs, **how).select(F.struct("doc_id", "version").alias("doc"), "gone", F.size("aligned").alias("aligned")), "lines-gone")
+    docs = docs.drop("n_lines", "n_deleted", "deleted_lines", *(["n_aligned"] if with_aligned else []))
     # No bound is known for this table, so it isn't to be broadcast at any size.
     rows = docs.select(F.struct(*docs.columns).alias("own"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version")).alias("doc")).join(gone.hint("merge"), "doc", "left")
     lines = F.split("own.text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))  # by a set, so in time in proportion to the lines
+    left = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
+    rows = rows.withColumn("_lines", F.when(F.col("gone").isNotNull(), lines))
     text = F.when(F.col("gone").isNull(), F.col("own.text")).otherwise(left)
     new = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_deleted": F.coalesce(F.size("gone"), F.lit(0)), "deleted_lines": F.coalesce(F.array_join("gone", ","), F.lit(""))}
+    new |= {"n_aligned": F.coalesce("aligned", F.lit(0))} if with_aligned else {}
     return rows.select(*[text.alias(c) if c == "text" else F.col("own")[c].alias(c) for c in docs.columns], *[x.alias(c) for c, x in new.items()])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), with_aligned=True)
 
 
 QUERIES = {"op8_line_dedup": op8_line_dedup}

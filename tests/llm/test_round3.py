@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from assayline.llm import common, merkle, simhash, variants
+from assayline.llm import common, lines, merkle, simhash, variants
 from tests.llm.test_operators import SCHEMA, awkward
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -318,3 +318,25 @@ def test_manifest_finds_tampering(spark):
     got = {r["doc_id"]: r["verified"] for r in merkle.manifest(df, F.col("doc_id") % 3 == 0).collect()}
     assert got == {i: not (i % 3 == 0 and i % 5) for i in range(40)}
     assert all(r["verified"] for r in merkle.manifest(df).collect())
+
+
+# Line deduplication
+
+
+def test_alignment_and_runs(spark):
+    """Which of the two took a line is told: a block in order goes by the alignment, one that moved by its run alone."""
+    a, b = "one two three four five six\nseven eight nine ten eleven", "red orange yellow green blue\nindigo violet white black grey"
+    rows = [(1, f"{a}\nfirst own line here\n{b}"), (2, f"{a}\nsecond own line here\n{b}"), (3, f"{b}\nthird own line here\n{a}")]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), with_aligned=True).collect()}
+    assert [(got[i]["n_deleted"], got[i]["n_aligned"]) for i in (1, 2, 3)] == [(0, 0), (4, 4), (4, 2)]
+    assert got[2]["text"] == "second own line here" and got[3]["text"] == "third own line here"
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"line {i} of a long text that is there twice" for i in range(40_000))
+    df = spark.createDataFrame([(1, text), (2, f"{text}\nand an own last line")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in lines.dedup_lines(df, with_aligned=True).collect()}
+    assert got[2]["text"] == "and an own last line" and got[2]["n_aligned"] == got[2]["n_deleted"] == 40_000 and time.time() - began < 60
