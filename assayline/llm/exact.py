@@ -122,7 +122,12 @@ def home(docs: DataFrame) -> str | None:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the rows that `dedup` drops. Anything but a Parquet folder as read is written down first, so rows are compared with rows of docs alone."""
+    """docs without the rows that `dedup` drops. Anything but a Parquet folder as read is written down first, so rows are compared with rows of docs alone.
+
+    Null text counts as empty, and of empty texts one row stays. A null doc_id is the smallest; among rows alike in doc_id
+    and text one stays. Texts of any length are compared whole. Empty table: empty result. All columns stay as they are,
+    whatever their names.
+    """
     path = home(docs)
     if path is None:
         docs = put(docs, "dedup-docs")

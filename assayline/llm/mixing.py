@@ -99,6 +99,10 @@ def mix_rows(docs: DataFrame, quality: DataFrame | None = None, *, seed: str = S
     Those taken once more are the ones up to the last such key of their source, so each row is decided by its weight and a
     table of one row per source. Rows alike in doc_id and size at that place are taken alike. Weights are joined to the
     documents, whose texts are shuffled once for that, at every size of the tables.
+
+    Null text has size 0 and is taken as its key says, with no words; null source is a source, the last; null doc_id has the
+    weight of unlabelled documents. Texts may be of any length: of them only the size is ranked. Empty table: empty result.
+    All columns stay as they are, whatever their names.
     """
     quality = None if quality is None else put(quality.select("doc_id", "weight"), "mix-weights")
     plan = mix(docs, quality, seed=seed, **how)

@@ -247,7 +247,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, *, bucket_rows: int = 2_000
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize and pack whole documents; the pieces are kept in the shared folder, so each text is tokenized once."""
+    """Tokenize and pack whole documents; the pieces are kept in the shared folder, so each text is tokenized once.
+
+    Null and empty text: one piece, the end id alone. Null doc_id and repeated rows are packed like others, each for itself.
+    Longer texts are cut, however long. Empty table: empty result. Columns but doc_id and text, whatever their names, don't
+    come along.
+    """
     if tokenizer_path is None:
         import public_tokenizers
 

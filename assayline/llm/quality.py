@@ -148,7 +148,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects, all columns as they are, whatever their names. Texts are read twice and not shuffled, unless the site table is too large to broadcast."""
+    """docs without those that the classifier rejects, all columns as they are, whatever their names. Texts are read twice and not shuffled, unless the site table is too large to broadcast.
+
+    A document stays if its probability is at least 0.5, a tie included. Null text is judged as an empty one, a null doc_id
+    without a label of its own, repeated rows each; very long texts by the shapes of the whole. Empty table: empty result.
+    """
     small_batches(spark)
     model = fit(put(evidence_table(docs), "quality-features"), labels)
     rows = docs.select(F.struct(*docs.columns).alias("own")).select("own", F.col("own.source").alias("source"), F.col("own.lang").alias("lang"), features(F.col("own.text")).alias("f"))
