@@ -215,7 +215,7 @@ def h9(spark, sf):
 
 @query("h10_sampling_grid")
 def h10(spark, sf):
-    return wf.sampling_grid(_negatives(spark, sf), NUMBERS, (1, 2))
+    return wf.sampling_grid(_negatives(spark, sf), NUMBERS)
 
 
 def _imbalance(spark, sf):
@@ -273,7 +273,8 @@ def i2(spark, sf):
     return _cells(spark, sf).select("domain", F.round(enrich.odds_ratio(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 6).alias("odds_ratio"))
 
 
-@query("i3_fisher_exact_p")
+@query("i3_fisher_exact_p", f"""with t as ({TABLE}), x as (select *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) as x from t), p as (select domain, a, x, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) as lp from x),
+ s as (select domain, lp as seen from p where x = a) select domain, round(least(1.0::double, sum(exp(lp)) filter (lp <= seen + 1e-7)), 6) as fisher_p from p join s using (domain) group by domain""")
 def i3(spark, sf):
     return _cells(spark, sf).select("domain", F.round(fisher_exact_p("a", "b", "c", "d"), 6).alias("fisher_p"))
 

@@ -38,15 +38,18 @@ def cv_summary(df: DataFrame, model: str, k: int = 5, **params) -> DataFrame:
     return m.agg(*[F.round(F.avg(c), 4).alias(f"{c}_mean") for c in ("mcc", "bacc", "sens", "spec")], F.round(F.stddev_pop("mcc"), 4).alias("mcc_std"), F.count("*").alias("n_folds"))
 
 
-def random_vs_group_split(df: DataFrame, model: str = "logistic", k: int = 3, r: int = 1) -> DataFrame:
-    """MCC under random and under group folds, and by how much random folds overestimate."""
-    group = splits.repeated_group_folds(df, k=k, r=r)
-    out = None
-    for rep in range(r):
-        by_group = df.join(group.filter(F.col("rep") == rep).drop("rep"), "grp")
-        for kind, folded in (("random", splits.stratified_kfold(df, k, 42 + rep)), ("group", by_group)):
-            m = models.cv_mcc(keep(folded, "folds"), model, k=k).select(F.lit(kind).alias("kind"), F.lit(rep).alias("rep"), "fold", "mcc")
-            out = m if out is None else out.unionByName(m)
+def random_vs_group_split(df: DataFrame, model: str = "logistic", k: int = 5, r: int = 5, folder: str | None = None) -> DataFrame:
+    """MCC under random and under group folds, r times k of each, and by how much random folds overestimate."""
+    group = keep(splits.repeated_group_folds(df, k=k, r=r), "group-folds")
+
+    def cell(kind: str, rep: int) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
+            folded = splits.stratified_kfold(df, k, 42 + rep) if kind == "random" else df.join(group.filter(F.col("rep") == rep).drop("rep"), "grp")
+            return models.cv_mcc(keep(folded, "folds"), model, k=k).select(F.lit(kind).alias("kind"), F.lit(rep).alias("rep"), "fold", "mcc")
+
+        return run
+
+    out = run_cells(df.sparkSession, {f"{kind}-{rep}": cell(kind, rep) for kind in ("random", "group") for rep in range(r)}, folder)
     p = out.groupBy().pivot("kind", ["random", "group"]).agg(F.round(F.avg("mcc"), 4).alias("mean"), F.round(F.stddev_pop("mcc"), 4).alias("std"), F.count("mcc").alias("n"))
     gap = F.round(F.col("random_mean") - F.col("group_mean"), 4)
     return p.withColumns({"overestimation": gap, "overestimation_pct": F.round(F.lit(100.0) * gap / F.greatest(F.col("group_mean"), F.lit(0.01)), 2)})
@@ -193,16 +196,20 @@ def sampling_cv_eval(df: DataFrame, model: str = "logistic", k: int = 3) -> Data
     return cv_summary(keep(splits.stratified_kfold(df, k), "folds"), model, k)
 
 
-def sampling_grid(df: DataFrame, cols: list[str], ratios: tuple[int, ...] = (1, 2), model: str = "logistic") -> DataFrame:
-    """Ways to choose negatives by ratio, each scored by CV; best MCC, then best balanced accuracy, first."""
+def sampling_grid(df: DataFrame, cols: list[str], ratios: tuple[int, ...] = (1, 2, 3, 5), model: str = "logistic", folder: str | None = None) -> DataFrame:
+    """Ways to choose negatives by ratio, each scored by CV; best MCC, then best balanced accuracy, first. Ratios that the negatives don't suffice for are left out."""
     c = df.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
     ways = {"kmeans": lambda n: sampling.kmeans_medoid_sample(df.filter("label = 0"), cols, n), "profile": lambda n: sampling.profile_stratified_sample(df, cols, n), "combined": lambda n: sampling.combined_sample(df, cols, n)}
-    out = None
-    for r in [r for r in ratios if r <= min(5, c["n"] // max(c["p"], 1))]:
-        for name, f in ways.items():
-            s = vectors(df.filter("label = 1").unionByName(f(r * c["p"])), cols)
-            m = sampling_cv_eval(keep(s, "sample"), model).select(F.lit(name).alias("method"), F.lit(r).alias("ratio"), "mcc_mean", "bacc_mean")
-            out = m if out is None else out.unionByName(m)
+
+    def cell(way: str, r: int) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
+            sample = vectors(df.filter("label = 1").unionByName(ways[way](r * c["p"])), cols)
+            return sampling_cv_eval(keep(sample, "sample"), model).select(F.lit(way).alias("method"), F.lit(r).alias("ratio"), "mcc_mean", "bacc_mean")
+
+        return run
+
+    fine = [r for r in ratios if r <= min(5, c["n"] // max(c["p"], 1))] or [1]
+    out = run_cells(df.sparkSession, {f"{w}-{r}": cell(w, r) for r in fine for w in ways}, folder).drop("cell")
     return out.orderBy(F.desc("mcc_mean"), F.desc("bacc_mean"), "method", "ratio")
 
 
