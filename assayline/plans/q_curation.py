@@ -397,10 +397,10 @@ def e6(spark, sf):
     return splits.fold_uniqueness(splits.repeated_group_folds(fx.records(spark, sf)))
 
 
-@query("e7_group_kfold", f"""+ g as (select grp, count(*) as size from v_records group by grp), s as (select size, row_number() over (order by size desc) as i from g),
+@query("e7_group_kfold", f"""with recursive v_records as (select o_custkey::varchar as grp from orders), g as (select grp, count(*) as size from v_records group by grp), s as (select size, row_number() over (order by size desc) as i from g),
  t as (select 0::bigint as i, [0, 0, 0, 0, 0]::bigint[] as loads, 0::bigint as fold, 0::bigint as size union all select s.i, list_transform(loads, lambda x, j: case when j = list_position(loads, list_min(loads)) then x + s.size else x end), list_position(loads, list_min(loads)) - 1, s.size from t join s on s.i = t.i + 1),
  c as (select size, fold, count(*) as n from t where i > 0 group by all), b as (select size, fold, sum(n) over (partition by size order by fold) as upto from c), n as (select grp, size, row_number() over (partition by size order by {draw_sql("'42'", "grp")}, grp) as nth from g)
- select n.grp, n.size, min(b.fold)::int as fold from n join b on b.size = n.size and b.upto >= n.nth group by all""", "v_records")
+ select n.grp, n.size, min(b.fold)::int as fold from n join b on b.size = n.size and b.upto >= n.nth group by all""")
 def e7(spark, sf):
     return splits.group_kfold(fx.records(spark, sf))
 
