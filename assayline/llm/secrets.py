@@ -41,7 +41,13 @@ SEQUENCES = "0123456789 9876543210 1234567890 abcdefghijklmnopqrstuvwxyz zyxwvut
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~!@#$%^&*-]{12,}", re.ASCII)
 _MAIL = re.compile(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.", re.ASCII)
 _WORD = r"\p{L}{3,24}"
+_OPENS = re.compile(r"""\w{0,24}["'\])]{0,3}[\x20\t]*(?:[:=>]|is|are)+[\x20\t]*["'(\[{|>]{0,3}[\x20\t\r]*""", re.ASCII)
+_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----([A-Za-z0-9+/=\s:,-]{1,20000}?)-----END", re.ASCII)
+_BEFORE = re.compile(r"(?<![A-Za-z0-9+/_=.~!@#$%^&*-])([A-Za-z0-9+/_=.~!@#$%^&*-]{12,200})[\"'`)\],]{0,3}(?:\x20[a-z]{1,8}){0,3}\x20(?=[A-Za-z])", re.ASCII)
+_PATH, _ENDING, _SET = re.compile(r"[~.]{0,2}/"), re.compile(r"\.[A-Za-z0-9]{1,5}$"), re.compile(r"([A-Za-z_]{1,40})=([A-Za-z0-9+/_.~!@#$%^*-]+)")
 _HEX, _LETTERS, _BOTH = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnopqrstuvwxyz"
+#: Characters that a sensitive word's context reaches to; what the bound rises by at its end.
+REACH, DECAY = 200, 0.1
 #: Levels of compression whose added bytes are averaged, as whole bytes are a coarse measure of a short string.
 LEVELS = (6, 9)
 #: Characters of a block of text; a candidate's surroundings are its block and the two beside it.
@@ -93,53 +99,93 @@ class Novelty:
         return self.added(candidate, around) / len(candidate) / self.baseline(alphabet, -(-len(candidate) // 8) * 8, around)
 
 
-def candidates(text: str, known: list[tuple[int, int, str]], least: int = 12) -> list[tuple[int, int]]:
-    """Strings of at least `least` characters, a letter among them and no address, that come after a sensitive word on their line and overlap no known span. known is sorted by start."""
-    found, at = [], 0
+def _windows(text: str) -> Iterator[tuple[int, int, int, bool]]:
+    """(start, stop, end, fades): stretches in which a string may be a secret by what stands around it; it must begin before stop and may go on to end. They ascend by start, but for those before a word.
+
+    On a line after a sensitive word, REACH characters of it; the line below a name that its line ends with (`name:`); and
+    the body of a private key's block.
+    """
+    at = 0
     for m in SENSITIVE.finditer(text):
         if m.end() <= at:
             continue
-        stop = text.find("\n", m.end())
-        stop = stop if stop >= 0 else len(text)
-        for c in _CANDIDATE.finditer(text, m.end(), stop):
-            # What stands before an equals sign is the name of the rest, unless it is padding.
-            start, end = c.span()
-            cut = text.rfind("=", start, len(c.group().rstrip("=")) + start) + 1
-            start = cut or start
-            end = start + len(text[start:end].rstrip(".!-"))
-            if end - start >= least and any(map(str.isalpha, text[start:end])) and not _MAIL.search(text[start:end]):
-                found.append((start, end))
+        end = text.find("\n", m.end())
+        end = end if end >= 0 else len(text)
+        stop, last = m.end(), m
+        while last and last.start() < min(stop + REACH, end):  # sensitive words near one another share a stretch
+            stop = last.end()
+            last = SENSITIVE.search(text, stop, min(stop + REACH, end))
+        yield m.end(), min(stop + REACH, end), end, True
         at = stop
-    out, i, reach = [], 0, 0
-    for start, end in found:
+        if end < len(text) and _OPENS.fullmatch(text, stop, end):
+            below = text.find("\n", end + 1)
+            below = below if below >= 0 else len(text)
+            yield end + 1, min(end + 1 + REACH, below), below, True
+    for m in _BLOCK.finditer(text):
+        yield m.start(1), m.end(1), m.end(1), False
+
+
+def candidates(text: str, known: list[tuple[int, int, str]], least: int = 12) -> list[tuple[int, int, int]]:
+    """(start, end, far): strings of at least `least` characters, a letter among them and no address, that stand where a secret may, far characters from what makes it so, and overlap no known span. known is sorted by start.
+
+    Beside the stretches of `_windows`, a string before a sensitive word counts, with at most three short words between. Of
+    addresses and paths only what a sensitive name is set to counts, so a long path isn't one string.
+    """
+    found: dict[int, tuple[int, int]] = {}
+
+    def add(start: int, end: int, far: int) -> None:
+        # What stands before an equals sign is the name of the rest, unless it is padding.
+        word = text[start:end]
+        cut = word.rfind("=", 0, len(word.rstrip("="))) + 1
+        if word.startswith("//") or word.count("/") > 1 and (_PATH.match(word) or _ENDING.search(word)) or len(_SET.findall(word)) > 1:
+            named = [m for m in _SET.finditer(word) if SENSITIVE.search(m[1])]
+            if not named:
+                return
+            cut, end = named[0].start(2), start + named[0].end(2)
+        start += cut
+        end = start + len(text[start:end].rstrip(".!-"))
+        if end - start >= least and any(map(str.isalpha, text[start:end])) and not _MAIL.search(text[start:end]) and start not in found:
+            found[start] = end, far
+
+    for start, stop, end, fades in _windows(text):
+        for c in _CANDIDATE.finditer(text, start, end):
+            if c.start() >= stop:
+                break
+            add(*c.span(), c.start() - start if fades else 0)
+    for m in _BEFORE.finditer(text):
+        if SENSITIVE.match(text, m.end()):
+            add(*m.span(1), m.end() - m.end(1))
+    out, i, reach, past = [], 0, 0, 0
+    for start, (end, far) in sorted(found.items()):
         while i < len(known) and known[i][0] < end:
             reach = max(reach, known[i][1])
             i += 1
-        if reach <= start:
-            out.append((start, end))
+        if reach <= start and past <= start:
+            out.append((start, end, far))
+            past = end
     return out
 
 
 def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty, *, least: float = 0.85, wordlike: float = 0.95) -> list[tuple[int, int, str]]:
-    """Candidates whose novelty is at least `least`; `wordlike` for those of letters in one case, which may be rare words."""
+    """Candidates whose novelty is at least `least`, and the more the farther they are from their context; `wordlike` for those of letters in one case, which may be rare words."""
     spots = candidates(text, known)
     if not spots:
         return []
     found, masked, last = [], [], 0
-    for start, end in spots:  # a candidate is no part of any surroundings
+    for start, end, _ in spots:  # a candidate is no part of any surroundings
         masked += [text[last:start], " " * (end - start)]
         last = end
     hidden = "".join([*masked, text[last:]]).lower()
     if len(hidden) != len(text):  # some letters get longer in lower case
         hidden = "".join([*masked, text[last:]])
     around, at = "", -1
-    for start, end in spots:
+    for start, end, far in spots:
         word = text[start:end]
         if start // STRIDE != at:
             at = start // STRIDE
             around = hidden[max(0, (at - 1) * STRIDE) : (at + 2) * STRIDE]
         bound = wordlike if word.isalpha() and (word[1:].islower() or word.isupper()) else least
-        if novelty(word, around) >= bound:
+        if novelty(word, around) >= bound + DECAY * min(1.0, far / REACH):
             found.append((start, end, "novel"))
     return found
 
