@@ -204,7 +204,7 @@ def neighbours(vectors: DataFrame, queries: F.Column, *, k: int = 10, leaf_rows:
     one leaf of the tree, however many points that leaf gets. The tree is fitted on a sample of about sample_rows points,
     by hash.
 
-    How many leaves a query visits, best bin first, is calibrated: `probes` query points, by hash, are compared with all
+    How many leaves a query visits, best bin first, is calibrated: `probes` points, by hash, are compared with all
     points, and of their true neighbours' leaves the place in that order is noted. For half of the probes visits widen until
     the share of neighbours within them reaches `recall`; the column `recall` is that share for the other half, null if
     there is none. A query goes on past that number until its leaves hold k others.
@@ -245,7 +245,7 @@ def neighbours(vectors: DataFrame, queries: F.Column, *, k: int = 10, leaf_rows:
     # As many rows as the tree has leaves.
     sizes = indexed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
     held_ids = {r["leaf"]: r["ids"] for r in sizes}
-    places, measured = probed(indexed, asked, tree, k, probes)
+    places, measured = probed(indexed, n, tree, k, probes)
     leaves = len(tree.leaves())
     visits = 1
     while visits < leaves and places and np.mean([x < visits for x in places]) < recall:
@@ -311,12 +311,12 @@ def neighbours(vectors: DataFrame, queries: F.Column, *, k: int = 10, leaf_rows:
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.d").alias("score"), F.lit(found_share).cast("double").alias("recall"))
 
 
-def probed(indexed: DataFrame, asked: DataFrame, tree: Tree, k: int, probes: int) -> tuple[list[int], list[int]]:
-    """Of the k true neighbours of some queries the places of their leaves in the best-first order: for the half of the queries that calibrates, and for the other. About `probes` queries by hash against all points, in blocks; a task sends k + 1 rows of each."""
-    few = asked.filter(unit("probe", "id") < F.lit(probes) / F.lit(float(max(asked.count(), 1)))).orderBy("id").collect()
+def probed(indexed: DataFrame, n: int, tree: Tree, k: int, probes: int) -> tuple[list[int], list[int]]:
+    """Of the k true neighbours of some points the places of their leaves in the best-first order: for the half of these points that calibrates, and for the other. About `probes` of the n points by hash, however few queries there are, against all points, in blocks; a task sends k + 1 rows of each."""
+    few = indexed.filter(unit("probe", "rep") < F.lit(probes) / F.lit(float(max(n, 1)))).select(F.col("rep").alias("id"), "v").orderBy("id").collect()
     if not few:
         return [], []
-    held = asked.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in few], float))
+    held = indexed.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in few], float))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best, ids, leaf = Nearest(held.value, k + 1), [], []
