@@ -17,6 +17,8 @@ from assayline.llm.common import put, small_batches, table, unit
 VOCABULARY = "piece_bpe_32k.model"
 #: Up to this many characters a word's sums are plain numbers, many words at a time; for a longer one they are logarithms.
 SHORT = 36
+#: Bounds in bytes, whatever the number of languages: sums of a block of words, and the sums of words that a worker keeps.
+BLOCK_BYTES, KEPT_BYTES = 24 << 20, 24 << 20
 #: Probability of a character that is no piece, the same in every language.
 UNKNOWN = 1e-8
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -93,7 +95,8 @@ class Lattice:
             if size >= SHORT:
                 out[order[lo]] = self._long_sums("▁" + found[order[lo]], np.log(p), False)[0][-1]
             else:
-                while hi < len(order) and len(found[order[hi]]) == size and hi - lo < 20_000:
+                most = min(20_000, max(1, BLOCK_BYTES // (8 * (size + 2) * p.shape[1])))
+                while hi < len(order) and len(found[order[hi]]) == size and hi - lo < most:
                     hi += 1
                 part = ["▁" + found[i] for i in order[lo:hi]]
                 m, edges = self.edges(part)
@@ -205,8 +208,9 @@ def train(docs: DataFrame, pieces: Broadcast, *, per_lang: int = 2000, rounds: i
                         for lang, word, k in zip(g["lang"], g["word"], g["k"], strict=True):
                             total += lattice.expected_long(word, (np.arange(p.shape[1]) == langs.index(lang)) * float(k), p)
                         continue
-                    for lo in range(0, len(g), 4000):
-                        part = g.iloc[lo : lo + 4000]
+                    most = min(4000, max(1, BLOCK_BYTES // (64 * SHORT * p.shape[1])))
+                    for lo in range(0, len(g), most):
+                        part = g.iloc[lo : lo + most]
                         weight = np.zeros((len(part), p.shape[1]))
                         weight[np.arange(len(part)), [langs.index(x) for x in part["lang"]]] = part["k"]
                         total += lattice.expected(part["word"].tolist(), weight, p)
@@ -227,6 +231,7 @@ def predict(docs: DataFrame, pieces: Broadcast, langs: list[str], p: np.ndarray,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice, p = Lattice(pieces.value), model.value
+        most = max(1, min(keep, KEPT_BYTES // (8 * max(1, p.shape[1]))))
         known: dict[str, int] = {}
         scores = np.zeros((0, p.shape[1]))
         for b in batches:
@@ -235,7 +240,7 @@ def predict(docs: DataFrame, pieces: Broadcast, langs: list[str], p: np.ndarray,
             for lo in range(0, len(texts), 500):
                 counted = [Counter(words(t)) if isinstance(t, str) else {} for t in texts[lo : lo + 500]]
                 new = list(set().union(*counted) - known.keys())
-                if len(known) + len(new) > keep:
+                if len(known) + len(new) > most:
                     known, scores, new = {}, scores[:0], list(set().union(*counted))
                 if new and langs:
                     if len(known) + len(new) > len(scores):
