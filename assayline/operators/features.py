@@ -59,7 +59,7 @@ def hashed_shingle_bits(df: DataFrame, text: str = "text", width: int = 2, n_bit
         df = df.withColumn(f"_g{k}", F.when(n >= k, longer).otherwise(F.array(F.array_join("_g1", " "))))
     grams = [F.col(f"_g{k}") for k in range(1, width + 1)]
     bit = lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"), F.lit(n_bits)).cast("int")
-    return df.withColumn("bits", F.array_sort(F.array_distinct(F.transform(F.concat(*grams), bit)))).drop(*[f"_g{k}" for k in range(1, width + 1)])
+    return df.withColumn("bits", F.array_sort(F.array_distinct(F.transform(F.array_distinct(F.concat(*grams)), bit)))).drop(*[f"_g{k}" for k in range(1, width + 1)])
 
 
 def bit_counts(bits: DataFrame, label: str | None = None) -> DataFrame:

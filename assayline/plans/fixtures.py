@@ -47,6 +47,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Train and test documents with the hashed bits of the words of their whole texts."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.array_distinct(F.transform(F.split("text", " "), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"), F.lit(4096)))).alias("bits"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.array_distinct(F.transform(F.array_distinct(F.split("text", " ")), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"), F.lit(4096)))).alias("bits"))
     d = keep(d, "bits")  # hashed once; read several times
     return d.filter("record_id % 5 <> 0"), d.filter("record_id % 5 = 0")

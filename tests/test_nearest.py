@@ -63,7 +63,8 @@ def test_empty_sides(spark):
 def test_groups_of_queries():
     """Every cell has a group of its own or shares one, no group's numbers overlap, and large cells are dealt to several."""
     pivots = np.array([[float(i)] for i in range(6)])
-    rows = nearest.grouped_cells(pivots, {0: 10, 1: 20, 3: 9000, 4: 5, 5: 4096}, nearest.Euclid())
+    q = nearest.QUERIES
+    rows = nearest.grouped_cells(pivots, {0: 10, 1: 20, 3: 2 * q + 800, 4: 5, 5: q}, nearest.Euclid())
     assert sorted(r[0] for r in rows) == [0, 1, 3, 4, 5]
     assert {r[0]: r[2] for r in rows}[3] == 3
     used = {}
