@@ -91,7 +91,7 @@ def f7(spark, sf):
 NUMBERS = ["length", "tokens", "digits", "upper", "punct", "mean_token", "distinct_ratio"]
 
 
-@query("f8_feature_modes")
+@query("f8_feature_modes", "select doc_id as record_id, 3 as compact, 7 as broad from documents")
 def f8(spark, sf):
     d = _described(spark, sf)
     out = features.feature_modes(d, {"compact": NUMBERS[:3], "broad": NUMBERS})
@@ -127,6 +127,11 @@ def f11(spark, sf):
     return features.label_correlation(_described(spark, sf), CORR)
 
 
+@query("f11_label_correlation_p")
+def f11_p(spark, sf):
+    return features.label_correlation(_described(spark, sf), CORR, with_p=True)
+
+
 @query("f12_vocab_summary", f"with c as ({CLASSIFIED}), d as (select c.*, lang from c join documents on doc_id = record_id), h as (select lang, x, count(*) as k from (select lang, unnest(vocab_hits) as x from d) group by all), t as (select lang, string_agg(x || ':' || k, '; ' order by k desc, x) as top from h group by lang) select d.lang as domain, count(*) filter (valid) as n_valid, count(*) filter (len(vocab_hits) > 0) as n_with_vocab, round(avg((len(vocab_hits) > 0)::int), 4) as vocab_rate, round(avg((n_fragments > 1)::int), 4) as parts_rate, round(avg((key_raw <> key_normal)::int), 4) as norm_rate, any_value(top) as top from d left join t using (lang) group by d.lang")
 def f12(spark, sf):
     d = fx.docs(spark, sf)
