@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, insort
+import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm.common import put, small_batches, table, unit
+from assayline.llm.common import put, small_batches, table
 
 # The base kinds in their order; what the trees add comes after them.
 KINDS = ("email", "ip", "card", "phone", "like_email", "like_ip", "like_number")
@@ -46,6 +48,13 @@ _OTHER = re.compile(r"order|invoice|isbn|version|release|\bv\.?\s*$|page|total|p
 #: 40 characters before a candidate and 20 after it are its context.
 BEFORE, AFTER = 40, 20
 
+# The steps of each feature of `describe`, in its order. The trees ask whether a value reaches a step, so like candidates are counted together and no sample is needed to find where to cut.
+_COUNT = (*range(1, 25), 28, 32, 40, 48, 64, 96, 128, 256, 1024)
+_SHARE = tuple(i / 20 for i in range(1, 21))
+STEPS = ((1, 2), _COUNT, _COUNT, _SHARE, *[_COUNT] * 3, _COUNT[:10], *[_COUNT] * 5, *[(1,)] * 11)
+#: Rows of counted candidates in a task of a fit; a row is about 400 numbers there.
+FIT_ROWS = 20_000
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -134,6 +143,18 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     return out
 
 
+def steps_reached(features: list[float]) -> list[int]:
+    """How many steps of each feature its value reaches."""
+    return [bisect_right(s, x) for s, x in zip(STEPS, features, strict=True)]
+
+
+def marks_of(steps: str) -> F.Column:
+    """The features of the trees: for each step of each feature 1 if it is reached, else 0, declared as of two values, which Spark's trees cut without drawing rows."""
+    reached = F.zip_with(steps, F.array(*[F.lit(len(s)) for s in STEPS]), lambda n, m: F.transform(F.sequence(F.lit(1), m), lambda i: (i <= n).cast("double")))
+    size = sum(map(len, STEPS))
+    return array_to_vector(F.flatten(reached)).alias("features", metadata={"ml_attr": {"attrs": {"binary": [{"idx": i} for i in range(size)]}, "num_attrs": size}})
+
+
 def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
@@ -148,37 +169,42 @@ def extract(docs: DataFrame) -> DataFrame:
             for key, text in zip(b["doc_id"], b["text"], strict=True):
                 text = text if isinstance(text, str) else ""
                 base = base_spans(text)
-                out.append((uid, key, base, candidates(text, base)))
+                # What a candidate is judged by puts it into a fold, so copies share theirs.
+                out.append((uid, key, base, [(f, s, e, label, zlib.crc32(text[max(0, s - BEFORE) : e + AFTER].encode("utf-8", "replace")) & 1, steps_reached(x)) for f, s, e, label, x in candidates(text, base)]))
                 uid += 1
             frame = pd.DataFrame(out, columns=["uid", "doc_id", "base", "cands"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), base=[[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in frame["base"]], cands=[[dict(zip(("family", "start", "end", "label", "f"), c, strict=True)) for c in x] for x in frame["cands"]])
+            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), base=[[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in frame["base"]], cands=[[dict(zip(("family", "start", "end", "label", "fold", "steps"), c, strict=True)) for c in x] for x in frame["cands"]])
 
     span = "array<struct<kind: int, start: int, end: int>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, f"uid long, doc_id long, base {span}, cands array<struct<family: int, start: int, end: int, label: int, f: array<double>>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, f"uid long, doc_id long, base {span}, cands array<struct<family: int, start: int, end: int, label: int, fold: int, steps: array<tinyint>>>")
 
 
-def select_more(rows: DataFrame, *, sample: int = 20_000, precision: float = 0.99) -> DataFrame | None:
+def select_more(rows: DataFrame, *, precision: float = 0.99) -> DataFrame | None:
     """(uid, more): candidates of unknown label that the trees select; None if there is nothing to learn from.
 
-    Trees are boosted on about `sample` labelled candidates at most, by hash. Half of them calibrates, per family, the lowest
-    score from which on `precision` of the labelled candidates are positives, halfway to the next lower one and 0.5 at the
-    least; a family of few such positives (under 5) takes
-    the bound of all families together, one of none gets no additions. What is added has a format that the base rules don't
-    know, and looks by shape and context like what they do.
+    Trees are boosted on all labelled candidates, equal ones counted as one with a weight. For the bounds, trees of either
+    half score the other half, so each labelled candidate has a score, to four digits, of trees that didn't see it. From
+    these comes, per family, the lowest score from which on `precision` of the labelled candidates are positives, halfway
+    to the next lower one and 0.5 at the least; a family of few such positives (under 5) takes
+    the bound of all families together, one of none gets no additions. If one half has labels of one kind only, the other
+    goes unscored. What is added has a format that the base rules don't know, and looks by shape and context like what they
+    do.
     """
-    each = rows.select("uid", F.explode("cands").alias("c")).select("uid", "c.*").withColumn("draw", unit("pii", "uid", "start", "end", "family"))
-    n = rows.agg(F.sum(F.size(F.filter("cands", lambda c: c["label"] >= 0)))).first()[0] or 0
-    share = min(1.0, sample / max(n, 1))
-    known = put(each.filter((F.col("label") >= 0) & (F.col("draw") < share)).select("family", F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"), (F.col("draw") < share / 2).alias("fit")), "pii-sample")
-    seen = known.filter("fit").agg(F.min("label"), F.max("label")).first()
-    if seen[0] is None or seen[0] == seen[1]:
+    each = rows.select("uid", F.explode("cands").alias("c")).select("uid", "c.*")
+    known = put(each.filter("label >= 0").groupBy("family", "fold", "steps", F.col("label").cast("double").alias("label")).agg(F.count("*").cast("double").alias("n")), "pii-known")
+    parts = known.groupBy("fold", "label").count().collect()
+    kinds = {k: {r["label"] for r in parts if r["fold"] == k} for k in (0, 1)}
+    if not any(len(x) == 2 for x in kinds.values()):
         return None
-    model = GBTClassifier(maxIter=12, maxDepth=3, seed=1).fit(known.filter("fit"))
-    score = vector_to_array(F.col("probability"))[1].alias("p")
-    marks = model.transform(known.filter("not fit")).select("family", "label", score).toPandas()
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-sum(r["count"] for r in parts) // FIT_ROWS))
+    known = known.repartition(tasks).select("family", "fold", "label", "n", marks_of("steps"))
+    trees, score = GBTClassifier(weightCol="n", maxIter=12, maxDepth=3, seed=1), F.round(vector_to_array(F.col("probability"))[1], 4).alias("p")
+    scored = [trees.fit(known.filter(F.col("fold") == k)).transform(known.filter(F.col("fold") != k)).select("family", "label", "n", score) for k in (0, 1) if len(kinds[k]) == 2]
+    # One row per family and score, so at most 10,001 a family.
+    marks = reduce(DataFrame.union, scored).groupBy("family", "p").agg(F.sum(F.col("label") * F.col("n")).alias("sum"), F.sum("n").alias("count")).toPandas()
 
     def bound(g: pd.DataFrame) -> float | None:
-        g = g.groupby("p")["label"].agg(["sum", "count"]).sort_index(ascending=False).cumsum()
+        g = g.groupby("p")[["sum", "count"]].sum().sort_index(ascending=False).cumsum()
         good = g.index[(g["sum"] >= precision * g["count"]) & (g["sum"] >= 1)]
         if not len(good):
             return None
@@ -187,13 +213,13 @@ def select_more(rows: DataFrame, *, sample: int = 20_000, precision: float = 0.9
 
     common, least = bound(marks), {}
     for family, g in marks.groupby("family"):
-        own = bound(g) if g["label"].sum() >= 5 else common if g["label"].sum() else None
+        own = bound(g) if g["sum"].sum() >= 5 else common if g["sum"].sum() else None
         if own is not None:
             least[int(family)] = own
     if not least:
         return None
     limit = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
-    more = model.transform(each.filter("label < 0").withColumn("features", array_to_vector("f"))).select("uid", "family", "start", "end", score)
+    more = trees.fit(known).transform(each.filter("label < 0").select("uid", "family", "start", "end", marks_of("steps"))).select("uid", "family", "start", "end", score)
     more = more.filter(F.col("p") >= limit[F.col("family")])
     return more.groupBy("uid").agg(F.collect_list(F.struct("p", "family", "start", "end")).alias("more"))
 

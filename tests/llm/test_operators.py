@@ -537,6 +537,16 @@ def test_pii_adds(spark):
     assert all(share[f] >= 0.8 for f in ("at", "at2", "at3", "phone", "phone2", "ip")), share
 
 
+def test_pii_all_labels(spark):
+    """Four addresses among 100,000 numbers of which the rules know the label: all of them teach and set the bounds, however many others there are."""
+    rng = random.Random(11)
+    d = lambda k: "".join(rng.choices("0123456789", k=k))
+    docs = ["\n".join(f"call +1 ({d(3)}) {d(3)}-{d(4)} today" if rng.random() < 0.5 else f"and so the order {d(4)} {d(4)} {d(4)} was shipped" for _ in range(1000)) for _ in range(100)]
+    docs += [f"please call host {i}.2.30.4 today" for i in (11, 12, 13, 14)] + [f"please call host {i}[.]2[.]30[.]4 today" for i in range(20, 40)]
+    got = pii.find(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).filter("doc_id >= 100").collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == {100 + i: f"{'ip' if i < 4 else 'like_ip'}:17:{26 if i < 4 else 32}" for i in range(24)}
+
+
 def test_pii_long():
     """Long texts full of spans and candidates, in linear time; overlapping proposals are kept apart by score."""
     for part in ("x@y.z 4111 1111 1111 1111 ", "call (555) 010-1234 or a [at] b [dot] c ", "1.2.3.4 +1 555 123 4567 ", "1 2 3 4 ", "a", "1", "a@", "1.", "a:b:", "at ", "([at] "):
