@@ -62,9 +62,9 @@ def scan_experiments(spark: SparkSession, run_dir: str, name: str, schema: T.Str
 def content_fingerprint(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
     """A hash of the rows of each `by`, whatever their order: 16 hex digits of the sum and count of row hashes.
 
-    Row hashes are 15 hex digits of sha256, added as whole numbers, so that rows are combined before a shuffle and no group is collected.
+    Row hashes are 12 hex digits of sha256, added as whole numbers of up to 38 digits, so that rows are combined before a shuffle, no group is collected and no group is too large for its sum.
     """
-    row = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256), 1, 12), 16, 10).cast("long")
+    row = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256), 1, 12), 16, 10).cast("decimal(28,0)")
     total = F.sum(row).cast("string")
     return df.groupBy(by).agg(F.count("*").alias("n"), F.substring(F.sha2(F.concat_ws("|", total, F.count("*").cast("string")), 256), 1, 16).alias("fingerprint"))
 
