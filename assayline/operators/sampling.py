@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from assayline.operators.joins import knn, squared_distance
 from assayline.operators.ranks import nth_by_draw, percentiles, running
 from assayline.plans.shared import keep
 
+#: Clusters that one fit has, whose centres the driver holds; and one within a task.
+CENTRES, TASK_CENTRES = 1000, 128
+
 
 def class_weight(df: DataFrame, by: str) -> DataFrame:
     """df with pos_weight (n_neg / max(n_pos, 1)) and balanced weights n / (2 * n of the row's class)."""
@@ -66,11 +71,76 @@ def drawn(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return nth_by_draw(df, [], draw(seed, "record_id"), ["record_id"], "_nth").filter(F.col("_nth") <= n).drop("_nth")
 
 
+def _shares(sizes: np.ndarray, n: int) -> np.ndarray:
+    """n shared out by sizes; at most the size where n isn't above their sum."""
+    upto = np.cumsum(sizes, dtype=np.int64) * n // sizes.sum()
+    return np.diff(upto, prepend=0)
+
+
+def _lloyd(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """The cluster of each of the points x with weights w, and its squared distance to that cluster's centre: k-means++ seeds, then Lloyd's steps."""
+    picked, gap = [int(rng.choice(len(x), p=w / w.sum()))], np.full(len(x), np.inf)
+    while True:
+        gap = np.minimum(gap, ((x - x[picked[-1]]) ** 2).sum(1))
+        if len(picked) == k or not gap.any():
+            break
+        picked.append(int(min(np.searchsorted(np.cumsum(gap * w), rng.random() * (gap @ w), "right"), len(x) - 1)))
+    centres, own = x[picked], None
+    squares = (x * x).sum(1)
+    for _ in range(rounds):
+        d = squares[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(1)[None, :]
+        before, own = own, d.argmin(1)
+        if before is not None and (own == before).all():
+            break
+        total = np.bincount(own, w, len(centres))
+        means = np.stack([np.bincount(own, w * c, len(centres)) for c in x.T], 1)
+        centres = np.where(total[:, None] > 0, means / np.maximum(total, 1)[:, None], centres)
+    return own, ((x - centres[own]) ** 2).sum(1)
+
+
+def _medoids(ids: np.ndarray, x: np.ndarray, w: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """ids of the points nearest to the centres of k clusters of different points x, the smaller one of equals. More clusters than TASK_CENTRES are made in parts of x, which are clusters too."""
+    if k >= len(x):
+        return ids
+    if k < 1:
+        return ids[:0]
+    rng = np.random.default_rng([seed, int(ids.min()) % (1 << 32), len(ids), k])
+    parts = min(TASK_CENTRES // 4, -(-k // TASK_CENTRES))
+    own, d = _lloyd(x, w, k if parts == 1 else parts, rng)
+    if parts > 1:
+        sizes = np.bincount(own)
+        if sizes.max() == len(x):  # what rounding can't tell apart is cut by its order
+            own = np.arange(len(x)) * parts // len(x)
+            sizes = np.bincount(own)
+        return np.concatenate([_medoids(ids[own == i], x[own == i], w[own == i], int(q), seed) for i, q in enumerate(_shares(sizes, k)) if sizes[i]])
+    order = np.lexsort((ids, d, own))
+    first = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])
+    return ids[order[first]]
+
+
+def _parted_medoids(x: DataFrame, n: int, seed: int) -> DataFrame:
+    """(record_id) of the medoids of n clusters, which are made within the cells of a coarser clustering, in tasks; a cell has a part of n by its different points. x: (record_id, _x)."""
+    points = x.groupBy(vector_to_array("_x").alias("v")).agg(F.min("record_id").alias("record_id"), F.count("*").cast("double").alias("w"))
+    points = keep(points.withColumn("_x", array_to_vector("v")), "points")
+    model = KMeans(k=min(CENTRES, max(2, -(-n // CENTRES))), seed=seed, initMode="k-means||", featuresCol="_x", predictionCol="cell", weightCol="w", maxIter=10).fit(points)
+    placed = keep(model.transform(points).select("cell", "record_id", "v", "w"), "cells")
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().orderBy("cell").collect()}  # at most CENTRES
+    asked = dict(zip(sizes, _shares(np.array([*sizes.values()]), n).tolist(), strict=True))
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("record_id")
+        return pd.DataFrame({"record_id": _medoids(rows["record_id"].to_numpy(), np.array(rows["v"].tolist(), float), rows["w"].to_numpy(), asked[key[0]], seed)})
+
+    return placed.groupBy("cell").applyInPandas(run, "record_id long")
+
+
 def kmeans_medoid_sample(df: DataFrame, cols: list[str], n: int, seed: int = 42) -> DataFrame:
     """n diverse rows, or all if there are no more: standardized columns in n clusters, of each the row nearest to its centre, the smaller record_id of equals.
 
     Seeds are those of k-means||, and assignment skips centres by the distances between them. Where rows coincide there are
-    fewer clusters than n; what then misses is drawn from the rest by a hash. The driver holds n centres.
+    fewer clusters than n; what then misses is drawn from the rest by a hash. Up to CENTRES clusters are one fit, whose
+    centres the driver holds; more are made within the cells of a coarser clustering (hierarchical k-means), so that time
+    grows with rows and not with rows times n.
     """
     total = df.count()
     if total <= n:
@@ -78,10 +148,13 @@ def kmeans_medoid_sample(df: DataFrame, cols: list[str], n: int, seed: int = 42)
     if n < 2:
         return drawn(df, n, seed)
     x = keep(VectorAssembler(inputCols=cols, outputCol="_x").transform(standardize(df, cols)).select("record_id", "_x"), "kmeans")
-    model = KMeans(k=n, seed=seed, initMode="k-means||", featuresCol="_x", predictionCol="_c").fit(x)
-    centres = df.sparkSession.createDataFrame([(i, [float(y) for y in c]) for i, c in enumerate(model.clusterCenters())], "_c int, _v array<double>")
-    near = model.transform(x).join(centres, "_c").select("_c", "record_id", squared_distance(vector_to_array("_x"), F.col("_v")).alias("_d"))
-    chosen = keep(near.groupBy("_c").agg(F.min_by("record_id", F.struct("_d", "record_id")).alias("record_id")).select("record_id"), "medoids")
+    if n > CENTRES:
+        chosen = keep(_parted_medoids(x, n, seed), "medoids")
+    else:
+        model = KMeans(k=n, seed=seed, initMode="k-means||", featuresCol="_x", predictionCol="_c").fit(x)
+        centres = df.sparkSession.createDataFrame([(i, [float(y) for y in c]) for i, c in enumerate(model.clusterCenters())], "_c int, _v array<double>")
+        near = model.transform(x).join(centres, "_c").select("_c", "record_id", squared_distance(vector_to_array("_x"), F.col("_v")).alias("_d"))
+        chosen = keep(near.groupBy("_c").agg(F.min_by("record_id", F.struct("_d", "record_id")).alias("record_id")).select("record_id"), "medoids")
     missing = n - chosen.count()
     if missing:
         rest = df.select("record_id").join(chosen, "record_id", "left_anti")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from assayline.operators import sampling
 from assayline.sources import tables
 
 
@@ -16,3 +18,19 @@ def test_fingerprint_of_a_large_group(spark):
     assert total > 2**63
     got = tables.content_fingerprint(spark.range(n).withColumn("g", F.lit("a")), "g", ["id"]).first()
     assert (got["n"], got["fingerprint"]) == (n, hashlib.sha256(f"{total}|{n}".encode()).hexdigest()[:16])
+
+
+def test_more_medoids_than_one_fit_has(spark, monkeypatch):
+    """No fit has as many clusters as rows are asked; n rows come back, which lie nearer to all rows than as many drawn ones; copies of a row count once."""
+    asked, fit = [], sampling.KMeans
+    monkeypatch.setattr(sampling, "KMeans", lambda **x: asked.append(x["k"]) or fit(**x))
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(3000, 2)) * np.exp(rng.normal(size=(3000, 1))), np.full((600, 2), 1.5)])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "record_id long, a double, b double")
+    got = sorted(r["record_id"] for r in sampling.kmeans_medoid_sample(df, ["a", "b"], 1500).collect())
+    assert len(got) == len(set(got)) == 1500 and max(asked) <= 1000
+    assert sum(i >= 3000 for i in got) == 1
+    z = (x - x.mean(0)) / x.std(0)
+    far = lambda ids: np.sqrt(((z[:, None] - z[ids][None]) ** 2).sum(2).min(1)).mean()
+    assert far(got) < 0.7 * far(rng.choice(3000, 1500, replace=False))
+    assert sampling.kmeans_medoid_sample(df, ["a", "b"], 3300).count() == 3300
