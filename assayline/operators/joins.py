@@ -53,11 +53,27 @@ def euclid_nn(train: DataFrame, test: DataFrame, v: str = "v") -> DataFrame:
     return knn(test, train, 1, v).select("record_id", F.col("dist").alias("nn_dist"))
 
 
-def pair_experiments(rows: DataFrame, by: str, name: str, value: str) -> DataFrame:
-    """All pairs of a group's rows, in name order."""
-    a = rows.select(by, F.col(name).alias("model_a"), F.col(value).alias("value_a"))
-    b = rows.select(by, F.col(name).alias("model_b"), F.col(value).alias("value_b"))
-    return a.join(b, by).filter("model_a < model_b")
+def pair_experiments(rows: DataFrame, by: str, name: str, value: str, tile: int = 1024) -> DataFrame:
+    """All pairs of a group's rows, in name order.
+
+    Rows of a group are dealt to parts of about `tile` rows by a hash of the name, and two parts meet in a tile of their own,
+    so that each pair is looked at once and a large group is spread over many tasks.
+    """
+    known = rows.select(by, F.col(name).alias("_n"), F.col(value).alias("_v")).filter(F.col(by).isNotNull() & F.col("_n").isNotNull())
+    sizes = known.groupBy(by).agg(F.count("*").alias("_k"))
+    n = sizes.agg(F.coalesce(F.sum(F.col("_k").cast("double") * F.col("_k") / 2), F.lit(0.0)).alias("pairs")).first()["pairs"]
+    dealt = known.join(sizes.select(by, F.ceil(F.col("_k") / tile).alias("_parts")), by)
+    part = F.pmod(F.xxhash64("_n"), F.col("_parts"))
+    dealt = dealt.withColumn("_p", part).select(by, "_n", "_v", "_parts", "_p")
+    first = dealt.select(by, F.col("_p").alias("_i"), F.explode(F.sequence("_p", F.col("_parts") - 1)).alias("_j"), F.col("_n").alias("_na"), F.col("_v").alias("_va"))
+    second = dealt.select(by, F.explode(F.sequence(F.lit(0).cast("long"), "_p")).alias("_i"), F.col("_p").alias("_j"), F.col("_n").alias("_nb"), F.col("_v").alias("_vb"))
+    if n > tile * tile:  # a fixed number of tasks, as rows are few for the pairs that they make
+        tasks, keys = int(min(20_000, 8 + n // (4 * tile * tile))), [by, "_i", "_j"]
+        first, second = first.repartition(tasks, *keys), second.repartition(tasks, *keys)
+    met = first.join(second, [by, "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("_na") < F.col("_nb")))  # equal names are in one part
+    least = F.col("_na") < F.col("_nb")
+    pick = lambda a, b: F.when(least, F.col(a)).otherwise(F.col(b))
+    return met.select(by, pick("_na", "_nb").alias("model_a"), pick("_va", "_vb").alias("value_a"), pick("_nb", "_na").alias("model_b"), pick("_vb", "_va").alias("value_b"))
 
 
 def lookup_ref_row(rows: DataFrame, ref: DataFrame, on: list[str], order: str) -> DataFrame:

@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from assayline.operators import sampling
+from assayline.operators import joins, nearest, sampling
 from assayline.sources import tables
 
 
@@ -34,3 +34,35 @@ def test_more_medoids_than_one_fit_has(spark, monkeypatch):
     far = lambda ids: np.sqrt(((z[:, None] - z[ids][None]) ** 2).sum(2).min(1)).mean()
     assert far(got) < 0.7 * far(rng.choice(3000, 1500, replace=False))
     assert sampling.kmeans_medoid_sample(df, ["a", "b"], 3300).count() == 3300
+
+
+def test_visits_are_not_written_out(spark, monkeypatch):
+    """Where nothing can be ruled out, what is kept between rounds is a row a group of queries, not one a query and block."""
+    rows = {}
+
+    def kept(df, name, keep=nearest.keep):
+        out = keep(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(nearest, "keep", kept)
+    x = np.random.default_rng(6).normal(size=(900, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "record_id long, v array<double>")
+    found, work = nearest.search(df, df, 2, nearest.Euclid(), block=32)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {(r["record_id"], r["nth"]): r["neighbour"] for r in found.collect()}
+    assert got == {(i, n + 1): int(j) for i, row in enumerate(d) for n, j in enumerate(np.argsort(row)[:2])}
+    assert work.first()["compared"] > 0.5 * 900 * 900 and rows["near-visits"] < 100
+
+
+def test_pairs_of_a_large_group_are_spread(spark):
+    """One group's pairs come from many tasks, each pair once; equal names and nulls make none."""
+    rows = [("g", f"n{i % 1900:04d}" if i else None, float(i)) for i in range(2000)] + [("h", "b", 1.0), ("h", "a", 2.0), (None, "x", 1.0), (None, "y", 2.0)]
+    out = joins.pair_experiments(spark.createDataFrame(rows, "g string, name string, score double"), "g", "name", "score")
+    per = {r["p"]: r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    names = [r[1] for r in rows if r[0] == "g" and r[1]]
+    same = sum(names.count(x) * (names.count(x) - 1) // 2 for x in set(names))
+    assert sum(per.values()) == len(names) * (len(names) - 1) // 2 - same + 1 and max(per.values()) < 0.8 * sum(per.values())
+    assert out.filter("model_a >= model_b").count() == 0 and out.distinct().count() == out.count()
+    assert [tuple(r) for r in out.filter("g = 'h'").collect()] == [("h", "a", 2.0, "b", 1.0)]
