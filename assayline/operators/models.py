@@ -53,8 +53,10 @@ def _margin(df: DataFrame) -> DataFrame:
 
 
 def balanced(df: DataFrame) -> DataFrame:
-    n = df.agg(F.count("*").alias("_n"), F.sum("label").alias("_p"))
-    return df.crossJoin(F.broadcast(n)).withColumn("weight", F.col("_n") / (F.when(F.col("label") == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p")) * 2)).drop("_n", "_p")
+    """df with weight, which gives both classes equal weight. Their two counts are read first, so that no job of a fit counts anew or waits for a broadcast of them."""
+    c = df.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
+    share = lambda k: F.lit(c["n"] / (2 * k) if k else None).cast("double")
+    return df.withColumn("weight", F.when(F.col("label") == 1, share(c["p"])).otherwise(share(c["n"] - c["p"])))
 
 
 def copied(df: DataFrame, weight: str, seed: int = 42) -> DataFrame:

@@ -14,9 +14,11 @@ from assayline.plans.shared import keep
 
 
 def vectors(df: DataFrame, cols: list[str]) -> DataFrame:
+    """df with features: a vector of the given columns, missing numbers being 0 (a text without words has no mean word)."""
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(df)
+    filled = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols})
+    return VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol="features").transform(filled).drop(*[f"_f_{c}" for c in cols])
 
 
 def bit_vectors(df: DataFrame, bits: list[int]) -> DataFrame:

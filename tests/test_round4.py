@@ -7,7 +7,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from assayline.operators import joins, nearest, sampling
+from assayline.operators import joins, models, nearest, sampling
+from assayline.plans import workflows as wf
 from assayline.sources import tables
 
 
@@ -66,3 +67,11 @@ def test_pairs_of_a_large_group_are_spread(spark):
     assert sum(per.values()) == len(names) * (len(names) - 1) // 2 - same + 1 and max(per.values()) < 0.8 * sum(per.values())
     assert out.filter("model_a >= model_b").count() == 0 and out.distinct().count() == out.count()
     assert [tuple(r) for r in out.filter("g = 'h'").collect()] == [("h", "a", 2.0, "b", 1.0)]
+
+
+def test_rows_without_some_number_are_fitted(spark):
+    """A text without words has no mean word: its number counts as 0, and its row stays in."""
+    df = spark.createDataFrame([(i, i % 2, None if i % 10 == 0 else float(i % 2) + i / 100) for i in range(60)], "record_id long, label int, x double")
+    v = wf.vectors(df, ["x"])
+    assert v.columns == ["record_id", "label", "x", "features"] and v.filter("record_id = 0").first()["features"].tolist() == [0.0]
+    assert models.fit_score(v, v, "logistic").count() == 60
